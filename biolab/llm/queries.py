@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import decontaminate, line_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.query,
     "op4_mix_sources": mixing.query,
     "op6_quality_rules": quality_rules.query,
+    "op10_line_dedup": line_dedup.query,
 }
 
 ORACLES = {
+    "op3_decontaminate": decontaminate.ORACLE,
     "op4_mix_sources": mixing.oracle(),
     "op6_quality_rules": quality_rules.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
 }
