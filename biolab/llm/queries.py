@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, quality_rules
+from . import decontaminate, line_dedup, mixing, near_dedup, quality_rules
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.query,
     "op3_decontaminate": decontaminate.query,
     "op4_mix_sources": mixing.query,
     "op6_quality_rules": quality_rules.query,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_near_dedup": near_dedup.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
     "op4_mix_sources": mixing.oracle(),
     "op6_quality_rules": quality_rules.ORACLE,
