@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._words import slices, text_bytes
 
 LIMIT = 512
-CACHE = 200_000
+CACHE = 500_000
 PIECE = 1 << 20
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A pre-token longer than this is merged without being cached.
@@ -64,7 +64,7 @@ class Counter(dict):
                 continue
             if self.merged(b) == 1:
                 self[text] = 1
-        self.proven = len(self)
+        self.proven = dict(self)
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 
@@ -118,18 +118,12 @@ class Counter(dict):
     def __missing__(self, token: str) -> int:
         n = self.merged(token.encode())
         if len(token) <= CACHED_CHARS:
-            if len(self) > self.proven + CACHE:
-                for k in [k for k in self if k not in self.kept()]:
-                    del self[k]
+            if len(self) > len(self.proven) + CACHE:
+                self.clear()
+                self.update(self.proven)
             self[token] = n
         return n
 
-    def kept(self) -> set:
-        """The proven strings come first in the table."""
-        from itertools import islice
-
-        return set(islice(self, self.proven))
-
     def pieces(self, text: str):
         at = 0
         while len(text) - at > PIECE:
