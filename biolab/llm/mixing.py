@@ -87,48 +87,53 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: floa
     return s.withColumn("target", F.least(F.col("most"), F.col("weight") * F.lit(level)))
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): how often the mix takes each document.
+def rates(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size) of all rows, and (of, source_size, target, rate, seed) of all sources, as ``of``.
 
-    The text is read once, for its size; what follows reads the table of sizes.
+    The text is read once, for its size; what follows reads the table of sizes. The source table is
+    marked for broadcast if a count proves it small.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
+    scratch = Scratch(docs.sparkSession, "mix")
     sizes = scratch.put("sizes", docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     sources = scratch.put("sources", targets(ranked_sources(sizes, scratch), weights, share, cap))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    sources = sources.withColumn("rate", rate).select("source", "source_size", "target", "rate")
+    sources = sources.withColumn("rate", rate).select(F.col("source").alias("of"), "source_size", "target", "rate")
     small = sources.count() <= BROADCAST_SOURCES
-    sources = F.broadcast(sources) if small else sources
-    both = sizes.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    both = sizes.join(F.broadcast(sources) if small else sources, F.col("source").eqNullSafe(F.col("of")))
     whole, part = F.floor("rate"), F.col("rate") - F.floor("rate")
     draws = [F.sum(F.when(uniform(F.col("doc_id"), k) < part, F.col("size")).otherwise(0)).alias(f"d{k}") for k in range(SEEDS)]
-    drawn = both.groupBy("source").agg(F.first("rate").alias("rate"), F.first("source_size").alias("n"), F.first("target").alias("target"), *draws)
-    miss = [F.struct(F.abs(whole * F.col("n") + F.col(f"d{k}") - F.col("target")).alias("miss"), F.lit(k).alias("seed")) for k in range(SEEDS)]
-    seeds = scratch.put("seeds", drawn.select(F.col("source").alias("of"), F.array_min(F.array(*miss))["seed"].alias("seed")))
-    seeds = F.broadcast(seeds) if small else seeds
+    drawn = both.groupBy("of", "source_size", "target", "rate").agg(*draws)
+    miss = [F.struct(F.abs(whole * F.col("source_size") + F.col(f"d{k}") - F.col("target")).alias("miss"), F.lit(k).alias("seed")) for k in range(SEEDS)]
+    seeds = scratch.put("seeds", drawn.select("of", "source_size", "target", "rate", F.array_min(F.array(*miss))["seed"].alias("seed")))
+    return sizes, F.broadcast(seeds) if small else seeds
+
+
+def copies_of(rate: str = "rate", seed: str = "seed") -> Column:
+    """How often a row with a doc_id and its source's rate and seed is taken."""
     picked = F.lit(None).cast("double")
     for k in range(SEEDS):
-        picked = F.when(F.col("seed") == k, uniform(F.col("doc_id"), k)).otherwise(picked)
-    out = both.join(seeds, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    copies = whole + F.when(picked < part, 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+        picked = F.when(F.col(seed) == k, uniform(F.col("doc_id"), k)).otherwise(picked)
+    return (F.floor(rate) + F.when(picked < F.col(rate) - F.floor(rate), 1).otherwise(0)).cast("long")
+
+
+def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies): how often the mix takes each row of ``docs``."""
+    sizes, sources = rates(docs, weights, share, cap)
+    both = sizes.join(sources, F.col("source").eqNullSafe(F.col("of")))
+    return both.select("doc_id", "source", "size", "source_size", "target", copies_of().alias("copies"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the plan says, with its copy number ``mix_copy``.
 
-    Rows that share a doc_id take the plan of that doc_id; sizes of such rows differ only if their texts do.
+    Only the source table is joined to the texts, so they aren't shuffled if it is broadcast.
     """
     held = [c for c in docs.columns if c != "mix_copy"]
-    takes = plan(docs, weights, share, cap).groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
-    takes = takes.withColumnsRenamed({"doc_id": "_id", "source": "_source"})
-    return (
-        docs.select(*held)
-        .join(takes, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-        .filter(F.col("_copies") > 0)
-        .select(*held, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("mix_copy"))
-    )
+    sources = rates(docs, weights, share, cap)[1].select(F.struct("of", "rate", "seed").alias("_mix"))
+    both = docs.select(*held).join(sources, F.col("source").eqNullSafe(F.col("_mix.of")))
+    taken = both.select(*held, F.col("_mix.rate").alias("_rate"), F.col("_mix.seed").alias("_seed"))
+    n = copies_of("_rate", "_seed")
+    return taken.withColumn("_copies", n).filter("_copies > 0").select(*held, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("mix_copy"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -85,10 +85,10 @@ def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     rate = F.col("n_failed") / F.col("n_pages")
     prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
     weight = F.when(F.col("v") > 0, F.col("m") * (1 - F.col("m")) / F.nullif(F.col("v"), F.lit(0.0)) - 1).otherwise(F.lit(PRIOR_MOST))
-    prior = prior.select("m", F.greatest(F.lit(PRIOR_LEAST), F.least(F.lit(PRIOR_MOST), weight)).alias("w"))
-    # prior is one row
-    shrunk = (F.col("n_failed") + F.col("m") * F.col("w")) / (F.col("n_pages") + F.col("w"))
-    return hosts.join(F.broadcast(prior)).select("host", "n_pages", "n_failed", shrunk.alias("shrunk_rate"), (shrunk <= limit).alias("host_kept"))
+    m, w = prior.select("m", F.greatest(F.lit(PRIOR_LEAST), F.least(F.lit(PRIOR_MOST), weight)).alias("w")).first()
+    m = 0.0 if m is None else m  # an empty table
+    shrunk = (F.col("n_failed") + m * w) / (F.col("n_pages") + w)
+    return hosts.select("host", "n_pages", "n_failed", shrunk.alias("shrunk_rate"), (shrunk <= limit).alias("host_kept"))
 
 
 def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, near_dedup, pii, quality_gam, quality_rules, token_counts
+from . import decontaminate, kneser_ney, line_dedup, mixing, near_dedup, pii, quality_gam, quality_rules, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_decontaminate": decontaminate.query,
     "op4_mix_sources": mixing.query,
     "op5_find_pii": pii.query,
     "op6_quality_rules": quality_rules.query,
     "op7_count_tokens": token_counts.query,
     "op8_quality_gam": quality_gam.query,
+    "op9_kneser_ney": kneser_ney.query,
     "op10_line_dedup": line_dedup.query,
 }
 
