@@ -1,14 +1,431 @@
-"""Registry of the engine's queries and their SQL oracles."""
+"""The engine's queries, each with SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from biolab.functions import columns
+from biolab.functions import fixed_values as V
+from biolab.operators import answers, conflicts, longitudinal, pages, text, validate
+from biolab.operators.resolve import parsed, resolve
+from biolab.sources import catalog, files, tabular
+from biolab.sources.measurements import measurements, reports
+
+from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _resolved(spark, d):
+    return resolve(parsed(measurements(spark, d)))
+
+
+def _numeric(spark, d):
+    return _resolved(spark, d).filter("value is not null")
+
+
+ID = ["doc_id", "ord"]
+TYPICAL = "CASE WHEN ord % 3 = 0 THEN 10.0::double WHEN ord % 3 = 1 THEN 500.0::double ELSE 20000.0::double END"
+
+
+@query(f"WITH {O.PARSED} SELECT doc_id, ord, raw_value, value, coalesce(number_ambiguous, false) AS number_ambiguous, strategy FROM parsed")
+def parse_number(spark, d):
+    return parsed(measurements(spark, d)).select(*ID, "raw_value", "value", F.coalesce("number_ambiguous", F.lit(False)).alias("number_ambiguous"), "strategy")
+
+
+@query(f"""WITH {O.PARSED}, t AS (SELECT *, {TYPICAL} AS mx, trim(regexp_replace(trim(raw_value), '^(<=)*(>=)*<*>*≤*≥*', '')) AS p FROM parsed),
+x AS (SELECT *, {O.num("replace(p, ',', '.')")} AS oc, {O.num("replace(p, '.', '')")} AS od FROM t)
+SELECT doc_id, ord, CASE WHEN number_ambiguous AND strategy = 'thousands_comma' AND value > 10 * mx AND oc <= 2 * mx THEN oc WHEN number_ambiguous AND strategy = 'decimal_dot' AND value < mx / 100 AND od BETWEEN mx / 10 AND 2 * mx THEN od ELSE value END AS value FROM x""")
+def parse_number_hint(spark, d):
+    typical = F.when(F.col("ord") % 3 == 0, 10.0).when(F.col("ord") % 3 == 1, 500.0).otherwise(20000.0)
+    return measurements(spark, d).select(*ID, columns.parse_number_with_hint(F.col("raw_value"), typical)["value"].alias("value"))
+
+
+@query(f"WITH {O.M} SELECT doc_id, ord, {O.comparator('raw_value')} AS comparator, trim(regexp_replace(trim(raw_value), '^(<=|>=|≤|≥|<|>)', '')) AS rest FROM m")
+def comparator_split(spark, d):
+    c = columns.split_comparator(F.col("raw_value"))
+    return measurements(spark, d).select(*ID, c["comparator"].alias("comparator"), c["rest"].alias("rest"))
+
+
+@query(f"WITH {O.M} SELECT doc_id, ord, {O.unit('raw_unit')} AS unit FROM m")
+def normalize_unit(spark, d):
+    return measurements(spark, d).select(*ID, columns.normalize_unit(F.col("raw_unit")).alias("unit"))
+
+
+_VARIANTS = """w AS (SELECT raw_name FROM m UNION ALL SELECT 'Serum ' || raw_name || ' (ELISA)' FROM m UNION ALL SELECT raw_name || ', Whole Blood' FROM m UNION ALL SELECT 'screening ' || raw_name || ' – oestrogen anaemia' FROM m)"""
+
+
+@query(f"WITH {O.M}, {_VARIANTS}, {O.name_steps('w')} SELECT raw_name, norm FROM names")
+def normalize_name(spark, d):
+    m = measurements(spark, d).select("raw_name")
+    forms = F.array("raw_name", F.concat(F.lit("Serum "), "raw_name", F.lit(" (ELISA)")), F.concat("raw_name", F.lit(", Whole Blood")), F.concat(F.lit("screening "), "raw_name", F.lit(" – oestrogen anaemia")))
+    return m.distinct().select(F.explode(forms).alias("raw_name")).distinct().select("raw_name", columns.normalize_name(F.col("raw_name")).alias("norm"))
+
+
+_RES = "doc_id, ord, raw_name, standardized_name, display_name, category, confidence, method, unit, unit_status, resolved"
+
+
+@query(f"WITH {O.RESOLVED} SELECT {_RES} FROM resolved")
+def resolve_full(spark, d):
+    return _resolved(spark, d).select(*_RES.split(", "))
+
+
+@query(f"WITH {O.RESOLVED} SELECT category, count(*) AS n, avg(value) AS mean FROM resolved WHERE method = 'exact_alias' GROUP BY category")
+def resolve_exact(spark, d):
+    return _resolved(spark, d).filter("method = 'exact_alias'").groupBy("category").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+
+
+@query(f"WITH {O.RESOLVED} SELECT standardized_name, count(*) AS n, count(DISTINCT raw_name) AS n_names FROM resolved WHERE method = 'normalized_pipeline' GROUP BY standardized_name")
+def resolve_normalized(spark, d):
+    return _resolved(spark, d).filter("method = 'normalized_pipeline'").groupBy("standardized_name").agg(F.count("*").alias("n"), F.countDistinct("raw_name").alias("n_names"))
+
+
+@query(f"WITH {O.RESOLVED} SELECT doc_id, ord, raw_name, value, unit, standardized_name, confidence FROM resolved WHERE method = 'disambiguation'")
+def disambiguate(spark, d):
+    return _resolved(spark, d).filter("method = 'disambiguation'").select(*ID, "raw_name", "value", "unit", "standardized_name", "confidence")
+
+
+@query(f"WITH {O.RESOLVED} SELECT standardized_name, unit_status, unit, count(*) AS n FROM resolved WHERE resolved GROUP BY ALL")
+def unit_provenance(spark, d):
+    return _resolved(spark, d).filter("resolved").groupBy("standardized_name", "unit_status", "unit").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {O.RESOLVED} SELECT doc_id, ord, raw_value FROM resolved WHERE value IS NULL")
+def not_numeric(spark, d):
+    return _resolved(spark, d).filter("value is null").select(*ID, "raw_value")
+
+
+@query(f"WITH {O.GROUPED} SELECT f.doc_id, f.standardized_name, f.ord, f.value, f.unit FROM firsts f JOIN grouped g USING (doc_id, standardized_name) WHERE NOT agree")
+def conflict_candidates(spark, d):
+    n = _numeric(spark, d)
+    return conflicts.conflicting(n, conflicts.groups(n)).select("doc_id", "standardized_name", F.explode("candidates").alias("c")).select("doc_id", "standardized_name", "c.ord", "c.value", "c.unit")
+
+
+@query(f"WITH {O.GROUPED} SELECT doc_id, standardized_name, ord, value, unit, comparator, n_readings FROM kept")
+def dedupe_keep_first(spark, d):
+    return conflicts.kept(conflicts.groups(_numeric(spark, d))).select("doc_id", "standardized_name", "ord", "value", "unit", "comparator", "n_readings")
+
+
+@query(f"""WITH {O.GROUPED} SELECT doc_id, standardized_name, count(*) AS n_readings, bool_and(abs(value - v0) < 0.0001 AND unit = u0) AS agree FROM firsts GROUP BY ALL""")
+def page_conflicts(spark, d):
+    return conflicts.groups(_numeric(spark, d), with_comparator=False).select("doc_id", "standardized_name", "n_readings", "agree")
+
+
+@query(f"WITH {O.PLAUSIBLE} SELECT doc_id, standardized_name, value, unit, plausible FROM plaus")
+def plausibility(spark, d):
+    return validate.plausibility(conflicts.kept(conflicts.groups(_numeric(spark, d)))).select("doc_id", "standardized_name", "value", "unit", "plausible")
+
+
+RANGES = ["4.3 - 5.4", "10-25.5", "<5.0", "> 1.0", "(2.6 - 24.9)", "<= 30", ">=12.5", "normal", "-5", ""]
+
+
+@query(f"""WITH {O.PARSED}, r AS (SELECT doc_id, ord, value, ord % 2 = 0 AS flagged, {O.arr(RANGES)}[(doc_id + ord) % {len(RANGES)} + 1] AS rr FROM parsed WHERE value IS NOT NULL),
+b AS (SELECT *, trim(trim(trim(rr), '()')) AS s FROM r),
+c AS (SELECT *, CASE WHEN s LIKE '<%' AND regexp_extract(s, '^[<>]=?\\s*(.*)$', 1) <> '' THEN '-inf'::double WHEN s LIKE '>%' THEN TRY_CAST(regexp_extract(s, '^[<>]=?\\s*(.*)$', 1) AS DOUBLE) ELSE TRY_CAST(nullif(regexp_extract(s, '^([0-9.]+) ?- ?([0-9.]+)$', 1), '') AS DOUBLE) END AS lo,
+ CASE WHEN s LIKE '<%' THEN TRY_CAST(regexp_extract(s, '^[<>]=?\\s*(.*)$', 1) AS DOUBLE) WHEN s LIKE '>%' THEN 'inf'::double ELSE TRY_CAST(nullif(regexp_extract(s, '^([0-9.]+) ?- ?([0-9.]+)$', 2), '') AS DOUBLE) END AS hi FROM b)
+SELECT doc_id, ord, value, CASE WHEN isfinite(lo) THEN lo END AS lo, CASE WHEN isfinite(hi) THEN hi END AS hi, coalesce((value < lo OR value > hi) AND NOT flagged, false) AS newly_flagged FROM c""")
+def reference_range(spark, d):
+    pick = F.element_at(F.array(*map(F.lit, RANGES)), ((F.col("doc_id") + F.col("ord")) % len(RANGES) + 1).cast("int"))
+    df = parsed(measurements(spark, d)).filter("value is not null").select(*ID, "value", (F.col("ord") % 2 == 0).alias("flagged"), pick.alias("reference_range"))
+    finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c)).alias(c)
+    return validate.reference_check(df).select(*ID, "value", finite("lo"), finite("hi"), "newly_flagged")
+
+
+def _checks(spark, d):
+    return validate.cross_checks(conflicts.kept(conflicts.groups(_numeric(spark, d))))
+
+
+@query(f"WITH {O.CROSS} SELECT doc_id, round(pct_sum, 6) AS pct_sum, pct_count, pct_warns FROM checks WHERE pct_count > 0")
+def cbc_sum(spark, d):
+    return _checks(spark, d).filter("pct_count > 0").select("doc_id", F.round("pct_sum", 6).alias("pct_sum"), F.col("pct_count").cast("long").alias("pct_count"), "pct_warns")
+
+
+@query(f"WITH {O.CROSS} SELECT doc_id, round(friedewald, 6) AS friedewald, friedewald_warns FROM checks")
+def friedewald(spark, d):
+    return _checks(spark, d).select("doc_id", F.round("friedewald", 6).alias("friedewald"), "friedewald_warns")
+
+
+@query(f"WITH {O.CROSS} SELECT doc_id, round(tc_hdl, 6) AS tc_hdl, tc_hdl_warns FROM checks")
+def tc_hdl_ratio(spark, d):
+    return _checks(spark, d).select("doc_id", F.round("tc_hdl", 6).alias("tc_hdl"), "tc_hdl_warns")
+
+
+_STATUS = "doc_id, resolved, unresolved, conflicts, ambiguous, unit_gaps, impossible, unusual, cross_warnings, status, found_nothing"
+
+
+@query(f"WITH {O.STATUS} SELECT {_STATUS} FROM status")
+def document_status(spark, d):
+    n = _resolved(spark, d)
+    return validate.document_status(n, conflicts.groups(n.filter("value is not null"))).select(*_STATUS.split(", "))
+
+
+@query(f"WITH {O.STATUS} SELECT patterns_suffice, status, count(*) AS n FROM status GROUP BY ALL")
+def regex_gate(spark, d):
+    n = _resolved(spark, d)
+    return validate.document_status(n, conflicts.groups(n.filter("value is not null"))).groupBy("patterns_suffice", "status").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {O.PARSED} SELECT doc_id, ord, CASE WHEN value = floor(value) AND abs(value) < 1e6 THEN printf('%.0f', value) ELSE printf('%.2f', round(value::decimal(20, 6), 2)) END AS shown FROM parsed WHERE value IS NOT NULL""")
+def display_value(spark, d):
+    return parsed(measurements(spark, d)).filter("value is not null").select(*ID, columns.display_value(F.col("value")).alias("shown"))
+
+
+@query()
+def json_envelope(spark, d):
+    """One JSON text for each document; defaults and empty parts are left out of it."""
+    n = _resolved(spark, d)
+    g = conflicts.groups(n.filter("value is not null"))
+    row = F.struct(
+        "ord", F.col("raw_name").alias("name"), "standardized_name", "display_name", "value", "unit", "category", "confidence",
+        F.when(F.col("comparator") != "=", F.col("comparator")).alias("comparator"), F.when(F.col("unit_status") != "Observed", F.col("unit_status")).alias("unit_status"),
+    )
+    found = conflicts.kept(g).groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("biomarkers"))
+    bad = conflicts.conflicting(n.filter("value is not null"), g).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("standardized_name", "display_name", "category", "candidates"))).alias("conflicts"))
+    status = validate.document_status(n, g).select("doc_id", "status", "resolved", "unresolved")
+    df = status.join(found, "doc_id", "left").join(bad, "doc_id", "left")
+    data = F.struct(F.concat(F.lit("order-"), F.col("doc_id")).alias("source"), "biomarkers", "conflicts")
+    meta = F.struct(F.col("resolved").alias("markers_found"), F.col("unresolved").alias("markers_unresolved"), F.col("status").alias("document_status"), F.lit("2.0").alias("catalog_version"))
+    return df.select("doc_id", F.to_json(F.struct(F.lit("2").alias("version"), "status", data.alias("data"), meta.alias("metadata"))).alias("envelope"))
+
+
+# ------------------------------------------------------------ catalog
+
+_OVER = [("tsh", "Thyrotropin", "TSH (3rd gen)", "thyroid", "3016-3", ["tsh3"], ["mIU/L"]), ("lp_a", "Lipoprotein (a)", "Lp(a)", "lipids", "10835-7", ["lpa"], ["nmol/L", "mg/dL"])]
+
+
+@query("WITH " + O.values("marker", "id, display_name, category, units, alias_count", [(i, n, c, ", ".join(u) or "-", len(a)) for i, _, n, c, _, a, u in catalog.SEED]) + " SELECT id, display_name, category, units, alias_count::int AS alias_count FROM marker ORDER BY id")
+def catalog_list(spark, d):
+    return catalog.listing(catalog.markers(spark, catalog.SEED)).select("id", "display_name", "category", "units", "alias_count")
+
+
+@query("WITH " + O.values("marker", "id, category", [(r[0], r[3]) for r in catalog.SEED]) + " SELECT category, count(*) AS n_markers FROM marker GROUP BY category ORDER BY category")
+def catalog_categories(spark, d):
+    return catalog.categories(catalog.markers(spark, catalog.SEED))
+
+
+@query("WITH " + O.values("m", "id, display_name, seq", [(r[0], r[2], i) for i, r in enumerate([*catalog.SEED, *_OVER])]) + " SELECT id, arg_max(display_name, seq) AS display_name FROM m GROUP BY id")
+def catalog_overlay(spark, d):
+    return catalog.markers(spark, [*catalog.SEED, *_OVER]).select("id", "display_name")
+
+
+# ------------------------------------------------------------ delimited and running text
+
+@query(f"""WITH {O.M}, r AS (SELECT doc_id, doc_id % 3 AS k, 'Test Name' || s || 'Result' || s || 'Units' || chr(10) || string_agg(CASE WHEN contains(raw_name, s) THEN '"' || raw_name || '"' ELSE raw_name END || s || '"' || raw_value || '"' || s || raw_unit, chr(10) ORDER BY ord) AS content, s
+ FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END AS s FROM m) GROUP BY doc_id, s),
+x AS (SELECT doc_id, s, len(string_split(content, chr(10))) AS n_lines, string_split(content, chr(10))[2] AS l2 FROM r)
+SELECT doc_id, CASE s WHEN ',' THEN 'comma' WHEN ';' THEN 'semicolon' ELSE 'tab' END AS delimiter, abs(len(l2) - len(replace(l2, s, '')) - 2) <= 1 AS delimited FROM x""")
+def csv_sniff(spark, d):
+    r = _tables(spark, d)
+    first = F.get(F.split("content", "\n"), 0)
+    name = F.when(tabular.delimiter(first) == ",", "comma").when(tabular.delimiter(first) == ";", "semicolon").otherwise("tab")
+    return r.select("doc_id", name.alias("delimiter"), tabular.looks_delimited(F.col("content")).alias("delimited"))
+
+
+def _tables(spark, d):
+    m = measurements(spark, d)
+    parts = [reports(m.filter(F.col("doc_id") % 3 == k), layout) for k, layout in enumerate(("comma", "semicolon", "tab"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"WITH {O.M} SELECT doc_id, ord, raw_name, trim(raw_value) AS raw_value, raw_unit FROM m")
+def csv_rows(spark, d):
+    return tabular.rows(_tables(spark, d))
+
+
+@query()
+def text_tokens(spark, d):
+    return text.candidates(reports(measurements(spark, d)))
+
+
+@query()
+def text_resolved(spark, d):
+    r = text.readings(reports(measurements(spark, d)))
+    return r.select("doc_id", "ord", "layout", "raw_name", "value", "comparator", "unit", "standardized_name", "confidence", "resolved")
+
+
+# ------------------------------------------------------------ pages
+
+def _paged(spark, d):
+    """Reports with page breaks, headings and identity numbers made of their keys."""
+    m = measurements(spark, d)
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    n = F.col("doc_id") % 7
+    ident = F.concat(F.lit("S"), F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.lit("A"))
+    before = F.when(F.row_number().over(w) % 4 == 1, F.concat(F.lit("\fPage 1 of 9\nLab Test Result\nJane Roe\n"), ident, F.lit("\nRemarks:\nfine\n\n"))).when((n == 3) & (F.row_number().over(w) % 4 == 3), F.lit("MRN: ABC1234\n")).otherwise("")
+    line = F.concat(before, F.concat_ws(" ", "raw_name", "raw_value", "raw_unit"))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"])
+    return m.select("doc_id", "ord", line.alias("line")).groupBy("doc_id").agg(F.array_join(rows, "\n").alias("content"))
+
+
+_PAGED = f"""{O.M}, pl AS (SELECT doc_id, ord, CASE WHEN ord % 4 = 1 THEN chr(12) || 'Page 1 of 9' || chr(10) || 'Lab Test Result' || chr(10) || 'Jane Roe' || chr(10) || 'S' || lpad(doc_id::varchar, 7, '0') || 'A' || chr(10) || 'Remarks:' || chr(10) || 'fine' || chr(10) || chr(10)
+ WHEN doc_id % 7 = 3 AND ord % 4 = 3 THEN 'MRN: ABC1234' || chr(10) ELSE '' END || raw_name || ' ' || raw_value || ' ' || raw_unit AS line FROM m),
+paged AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY ord) AS content FROM pl GROUP BY doc_id),
+pg AS (SELECT doc_id, k AS page, trim(string_split(content, chr(12))[k + 1], ' ' || chr(10)) AS text FROM paged, unnest(range(1, len(string_split(content, chr(12))))) AS r(k))"""
+
+
+@query(f"WITH {_PAGED} SELECT doc_id, page::int AS page, md5(text) AS text_md5 FROM pg")
+def pages_split(spark, d):
+    return pages.pages(_paged(spark, d)).select("doc_id", "page", F.md5("text").alias("text_md5"))
+
+
+@query(f"""WITH {_PAGED}, l AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(content, chr(10)) AS ls FROM paged), unnest(range(1, len(ls) + 1)) AS r(i))
+SELECT doc_id, line_no::int AS line_no, line FROM l WHERE NOT (line LIKE '%Page 1 of 9' OR line IN ('Lab Test Result', 'Jane Roe', 'Remarks:', 'fine') OR regexp_full_match(line, 'S[0-9]{{7}}A'))""")
+def clean_lines(spark, d):
+    return pages.clean_lines(_paged(spark, d))
+
+
+@query()
+def dense_split(spark, d):
+    return pages.split_dense(pages.pages(_paged(spark, d)), 120).select("doc_id", "page", "block", "text")
+
+
+@query(f"""WITH {_PAGED} SELECT doc_id, page::int AS page, 'S' || lpad(doc_id::varchar, 7, '0') || 'A' AS patient FROM pg""")
+def patient_id(spark, d):
+    return pages.pages(_paged(spark, d)).select("doc_id", "page", columns.patient_id(F.col("text")).alias("patient"))
+
+
+@query("SELECT doc_id, count(DISTINCT id) AS n_ids, arg_min(id, page) AS first_id, count(DISTINCT id) <= 1 AS single FROM (SELECT conv_id AS doc_id, turn AS page, CASE WHEN turn % 5 = 3 AND conv_id % 4 = 0 THEN 'MRN-' || conv_id || '77' ELSE 'AB' || lpad(conv_id::varchar, 6, '0') END AS id FROM conversations) GROUP BY doc_id")
+def single_patient(spark, d):
+    other = (F.col("turn") % 5 == 3) & (F.col("conv_id") % 4 == 0)
+    head = F.when(other, F.concat(F.lit("patient id: mrn-"), "conv_id", F.lit("77 "))).otherwise(F.concat(F.lit("Patient ID # ab"), F.lpad(F.col("conv_id").cast("string"), 6, "0"), F.lit(" ")))
+    return pages.patients(_read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), head.alias("text")))
+
+
+@query(f"SELECT doc_id, md5({O.redact('text')}) AS redacted_md5 FROM documents")
+def redact_pii(spark, d):
+    return _read(spark, d, "documents").select("doc_id", F.md5(columns.redact(F.col("text"))).alias("redacted_md5"))
+
+
+@query("SELECT role, count(*) AS n, count(*) FILTER (x <> text) AS changed, (sum(len(x) - len(replace(x, '<PHONE>', ''))) // 7)::bigint AS phones FROM (SELECT role, text, " + O.redact("text || ' DOB: 1/2/1980 ref no 77-A'") + " AS x FROM conversations) GROUP BY role")
+def redaction_counts(spark, d):
+    x = columns.redact(F.concat("text", F.lit(" DOB: 1/2/1980 ref no 77-A")))
+    df = _read(spark, d, "conversations").select("role", "text", x.alias("x"))
+    phones = (F.length("x") - F.length(F.replace("x", F.lit("<PHONE>"), F.lit("")))) / 7
+    return df.groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("x") != F.col("text")).alias("changed"), F.sum(phones.cast("long")).alias("phones"))
+
+
+@query("SELECT doc_id, kind, count(*) AS n FROM (SELECT page_id AS doc_id, CASE WHEN page_id % 4 = 0 THEN 'pdf' WHEN page_id % 4 = 1 THEN 'image' WHEN page_id % 4 = 2 THEN 'text' ELSE 'pdf' END AS kind FROM pages) GROUP BY ALL")
+def route_files(spark, d):
+    k = F.col("page_id") % 4
+    path = F.concat(F.lit("/in/r"), "page_id", F.when(k == 0, ".PDF").when(k == 1, ".jpeg").when(k == 2, ".csv").otherwise(""))
+    head = F.when((k == 2) | (k == 3), "%PDF-1.7").cast("binary")
+    return _read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), files.route(path, head).alias("kind")).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_PAGED} SELECT doc_id, page::int AS page, len(regexp_replace(text, '\\s', '', 'g')) > 50 AS has_text FROM pg")
+def text_layer(spark, d):
+    return pages.pages(_paged(spark, d)).select("doc_id", "page", files.has_text_layer(F.col("text")).alias("has_text"))
+
+
+# ------------------------------------------------------------ extractors' answers
+
+def _answers(spark, d):
+    """Answers as an extractor gives them, made of measurements: bare lists, keyed, fenced, with talk around; numbers and texts."""
+    m = measurements(spark, d).filter("ord <= 3")
+    n = columns.parse_number(F.col("raw_value"))["value"]
+    as_text = F.col("ord") % 2 == 0
+    body = F.concat(F.lit('{"name": "'), "raw_name", F.lit('", "value": '), F.when(as_text, F.concat(F.lit('"'), "raw_value", F.lit('"'))).otherwise(F.when(n.isNotNull(), F.format_string("%.3f", n)).otherwise("null")), F.lit(', "unit": "'), "raw_unit", F.lit('"}'))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("ord", body.alias("b")))), lambda x: x["b"])
+    a = m.select("doc_id", "ord", body.alias("body")).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "body"))), lambda x: x["body"]), ",").alias("rows"))
+    k, rows = F.col("doc_id") % 4, F.concat(F.lit("["), "rows", F.lit("]"))
+    return a.select("doc_id", F.when(k == 0, rows).when(k == 1, F.concat(F.lit('{"results": '), rows, F.lit("}"))).when(k == 2, F.concat(F.lit("```json\n"), rows, F.lit("\n```"))).otherwise(F.concat(F.lit("Here it is: "), rows, F.lit(" done"))).alias("answer"))
+
+
+def _items(spark, d):
+    return _answers(spark, d).select("doc_id", F.posexplode(answers.items(F.col("answer"))).alias("k", "x")).select("doc_id", (F.col("k") + 1).alias("ord"), "x.*")
+
+
+@query(f"WITH {O.M} SELECT doc_id, ord, raw_name AS name, raw_unit AS unit FROM m WHERE ord <= 3")
+def llm_json(spark, d):
+    return _items(spark, d).select("doc_id", "ord", "name", "unit")
+
+
+@query(f"""WITH {O.PARSED}, x AS (SELECT *, trim(regexp_replace(trim(raw_value), '^(<=|>=|≤|≥|<|>)', '')) AS rest FROM parsed WHERE ord <= 3)
+SELECT doc_id, ord, CASE WHEN ord % 2 = 0 THEN {O.num('rest')} ELSE round(value, 3) END AS value, CASE WHEN ord % 2 = 0 THEN comparator ELSE '=' END AS comparator FROM x""")
+def llm_coerce(spark, d):
+    c = answers.coerced(F.col("value"), F.col("comparator"))
+    return _items(spark, d).select("doc_id", "ord", c.alias("c")).select("doc_id", "ord", "c.value", "c.comparator")
+
+
+@query()
+def verify_proximity(spark, d):
+    """Whether each answered value stands near its name in the document's text."""
+    c = _items(spark, d).select("doc_id", "ord", "name", answers.coerced(F.col("value"), F.col("comparator"))["written"].alias("written"))
+    page = reports(measurements(spark, d))
+    return c.join(page, "doc_id").select("doc_id", "ord", "written", answers.near(F.col("content"), F.col("written"), F.col("name")).alias("verified"))
+
+
+@query("""SELECT doc_id, count(*) FILTER (s = 'ok') AS n_ok, count(*) FILTER (s = 'partial') AS n_partial, count(*) FILTER (s = 'failed') AS n_failed,
+CASE WHEN count(*) FILTER (s = 'failed') > 0 THEN 2 WHEN count(*) FILTER (s = 'partial') > 0 THEN 1 ELSE 0 END AS rank FROM (SELECT user_id AS doc_id,
+CASE WHEN event_type = 'view' THEN 'partial' WHEN CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS int) > 90 THEN 'failed' ELSE 'ok' END AS s FROM events) GROUP BY doc_id""")
+def page_rollup(spark, d):
+    e = _read(spark, d, "events")
+    k = F.from_json("props", "k int")["k"]
+    return answers.page_rollup(e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("page"), F.when(k > 90, "page too short").alias("error"), (F.col("event_type") == "view").alias("was_split")))
+
+
+@query(f"WITH {O.RESOLVED} SELECT doc_id, lower(raw_name) AS name, min(ord) AS ord FROM resolved WHERE NOT resolved GROUP BY ALL")
+def unresolved_once(spark, d):
+    r = _resolved(spark, d).filter("not resolved").select("doc_id", "ord", "raw_name")
+    return answers.unresolved_once(r).select("doc_id", F.lower("raw_name").alias("name"), "ord")
+
+
+# ------------------------------------------------------------ over time
+
+@query(f"WITH {O.RESOLVED} SELECT patient_id, standardized_name, max(date)::varchar AS date, arg_max(value, (date, doc_id, ord)) AS value FROM resolved WHERE resolved AND value IS NOT NULL GROUP BY ALL")
+def latest(spark, d):
+    n = _numeric(spark, d).filter("resolved").withColumn("tie", F.struct("doc_id", "ord"))
+    return longitudinal.latest(n, ["patient_id", "standardized_name"], "date", ["value"], "tie").withColumn("date", F.col("date").cast("string"))
+
+
+@query(f"WITH {O.RESOLVED} SELECT patient_id, standardized_name, date::varchar AS date, doc_id, ord, value FROM resolved WHERE standardized_name IN ('tsh', 'hba1c') AND value IS NOT NULL")
+def history(spark, d):
+    return longitudinal.history(_numeric(spark, d), ["tsh", "hba1c"]).select("patient_id", "standardized_name", F.col("date").cast("string").alias("date"), "doc_id", "ord", "value")
+
+
+@query("""WITH l AS (SELECT user_id, event_type, event_id, value, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap, value - lag(value) OVER w AS dv FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+r AS (SELECT *, gap // 86400000000 AS days FROM l), s AS (SELECT *, CASE WHEN days > 0 THEN dv / days END AS rate FROM r)
+SELECT e.user_id, e.event_type, e.event_id, round(rate, 6) AS rate, round(rate - lag(rate) OVER (PARTITION BY e.user_id, e.event_type ORDER BY e.ts, e.event_id), 6) AS acceleration FROM s JOIN events e USING (event_id)""")
+def trend(spark, d):
+    e = _read(spark, d, "events")
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    days = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 86400000000)
+    t = longitudinal.trend(e, ["user_id", "event_type"], "ts", "value", "event_id", days)
+    return t.select("user_id", "event_type", "event_id", F.round("rate", 6).alias("rate"), F.round("acceleration", 6).alias("acceleration"))
+
+
+@query(f"""WITH {O.RESOLVED}, x AS (SELECT * FROM resolved WHERE resolved AND value IS NOT NULL AND date BETWEEN DATE '1994-01-01' AND DATE '1996-12-31')
+SELECT patient_id, standardized_name, arg_min(value, (date, doc_id, ord)) AS first_value, arg_max(value, (date, doc_id, ord)) AS last_value, arg_max(value, (date, doc_id, ord)) - arg_min(value, (date, doc_id, ord)) AS change, count(*) AS n FROM x GROUP BY ALL""")
+def compare(spark, d):
+    import datetime
+
+    n = _numeric(spark, d).filter("resolved").withColumn("tie", F.struct("doc_id", "ord"))
+    return longitudinal.compare(n, ["patient_id", "standardized_name"], "date", "value", "tie", datetime.date(1994, 1, 1), datetime.date(1996, 12, 31))
+
+
+@query(f"WITH {O.M} SELECT count(DISTINCT patient_id) AS patients, count(DISTINCT doc_id) AS sessions, count(*) AS records FROM m")
+def stats(spark, d):
+    return longitudinal.stats(measurements(spark, d))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolve every measurement and roll documents up to a review status."""
     return QUERIES["document_status"](spark, sf_dir)
