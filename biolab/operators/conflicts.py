@@ -12,19 +12,28 @@ TOLERANCE = 0.0001
 KEY = ["doc_id", "standardized_name"]
 
 
-def groups(resolved: DataFrame, with_comparator: bool = True) -> DataFrame:
-    """A row for each document and marker: its first reading, how many there are, and whether they agree.
+def every_group(rows: DataFrame, with_comparator: bool = True) -> DataFrame:
+    """A row for each document and marker, and one for its unresolved rows, whose marker is null.
 
-    ``with_comparator=False`` is the rule for readings from pages, which doesn't look at comparators.
+    It has the first reading, how many readings there are (rows without a number are none) and whether they
+    agree. ``with_comparator=False`` is the rule for readings from pages, which doesn't look at comparators.
     """
-    rest = [c for c in resolved.columns if c not in KEY]
-    same = (F.max("value") - F.min_by("value", "ord") < TOLERANCE) & (F.min_by("value", "ord") - F.min("value") < TOLERANCE) & (F.min("unit") == F.max("unit"))
+    rest = [c for c in rows.columns if c not in KEY]
+    read = F.col("value").isNotNull()
+    unit, mark = F.when(read, F.col("unit")), F.when(read, F.col("comparator"))
+    first = F.min_by("value", F.when(read, F.col("ord")))
+    same = (F.max("value") - first < TOLERANCE) & (first - F.min("value") < TOLERANCE) & (F.min(unit) == F.max(unit))
     if with_comparator:
-        same = same & (F.min("comparator") == F.max("comparator"))
-    df = resolved.filter("resolved").groupBy(*KEY).agg(F.min_by(F.struct(*rest), "ord").alias("first"), F.count("*").alias("n_readings"), same.alias("agree"))
+        same = same & (F.min(mark) == F.max(mark))
+    df = rows.groupBy(*KEY).agg(F.min_by(F.struct(*rest), F.when(read, F.col("ord"))).alias("first"), F.count_if(read).alias("n_readings"), same.alias("agree"))
     return df.select(*KEY, "first.*", "n_readings", "agree")
 
 
+def groups(resolved: DataFrame, with_comparator: bool = True) -> DataFrame:
+    """The groups that are readings of a marker."""
+    return every_group(resolved.filter("resolved and value is not null"), with_comparator)
+
+
 def kept(grouped: DataFrame) -> DataFrame:
     return grouped.filter("agree").drop("agree")
 

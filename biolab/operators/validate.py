@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from biolab.functions import columns
 from biolab.functions.fixed_values import PLAUSIBILITY
+from biolab.operators.conflicts import every_group
 
 RANK = {"success": 0, "needs_review": 1, "partial_failure": 2}
 PERCENTAGES = ["neutrophils_pct", "lymphocytes_pct", "monocytes_pct", "eosinophils_pct", "basophils_pct"]
@@ -29,9 +30,9 @@ def reference_check(df: DataFrame, reference: str = "reference_range", flagged:
     return df.select("*", F.col("_r.lo").alias("lo"), F.col("_r.hi").alias("hi"), F.coalesce(outside & ~F.col(flagged), F.lit(False)).alias("newly_flagged")).drop("_r")
 
 
-def _of(name: str, what: str, unit: str | None = None) -> Column:
+def _of(name: str, what: str, unit: str | None = None, ok: Column | None = None) -> Column:
     """The first reading of a marker in a document."""
-    ok = (F.col("standardized_name") == name) & (F.lit(True) if unit is None else F.col("unit") == unit)
+    ok = (F.lit(True) if ok is None else ok) & (F.col("standardized_name") == name) & (F.lit(True) if unit is None else F.col("unit") == unit)
     return F.min_by(F.when(ok, F.col(what)), F.when(ok, F.col("ord")))
 
 
@@ -40,25 +41,34 @@ def _off(computed: Column, reported: Column, percent: float) -> Column:
     return F.when(reported == 0, computed != 0).otherwise(F.abs(computed - reported) / F.abs(F.nullif(reported, F.lit(0.0))) * 100 * F.signum(reported) > percent)
 
 
-def cross_checks(kept: DataFrame) -> DataFrame:
-    """(doc_id, and for each check its inputs and whether it warns): one aggregate for all of them."""
-    parts = [_of(p, "value", "%") for p in PERCENTAGES]
-    agg = kept.groupBy("doc_id").agg(
-        sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0))).alias("pct_sum"),
-        sum((p.isNotNull().cast("int") for p in parts[1:]), parts[0].isNotNull().cast("int")).alias("pct_count"),
-        *[_of(n, w).alias(f"{k}_{w}") for k, n in (("tc", "total_cholesterol"), ("ldl", "ldl_cholesterol"), ("hdl", "hdl_cholesterol"), ("tg", "triglycerides"), ("ratio", "tc_hdl_ratio")) for w in ("value", "unit")],
-    )
+LIPIDS = (("tc", "total_cholesterol"), ("ldl", "ldl_cholesterol"), ("hdl", "hdl_cholesterol"), ("tg", "triglycerides"), ("ratio", "tc_hdl_ratio"))
+
+
+def _cross_inputs(ok: Column | None = None) -> list[Column]:
+    """What the cross checks need of a document, as aggregates over its rows that are ``ok``."""
+    parts = [_of(p, "value", "%", ok) for p in PERCENTAGES]
+    return [F.array(*parts).alias("_pct"), *[_of(n, w, None, ok).alias(f"{k}_{w}") for k, n in LIPIDS for w in ("value", "unit")]]
+
+
+def _cross_results() -> list[Column]:
     c = F.col
+    found = F.array_compact("_pct")
+    total = F.aggregate(found, F.lit(0.0), lambda a, x: a + x)
     k = F.when(c("tc_unit") == "mg/dL", 5.0).when(c("tc_unit") == "mmol/L", 2.2)
     one_unit = (c("tc_unit") == c("ldl_unit")) & (c("tc_unit") == c("hdl_unit")) & (c("tc_unit") == c("tg_unit"))
     friedewald = c("ldl_value") + c("hdl_value") + c("tg_value") / k
     ratio = c("tc_value") / F.when(c("hdl_value") > 0, c("hdl_value"))
-    return agg.select(
-        "doc_id", "pct_sum", "pct_count", ((c("pct_count") >= 3) & (F.abs(c("pct_sum") - 100) > 5)).alias("pct_warns"),
+    return [
+        total.alias("pct_sum"), F.size(found).alias("pct_count"), ((F.size(found) >= 3) & (F.abs(total - 100) > 5)).alias("pct_warns"),
         F.when(one_unit, friedewald).alias("friedewald"), F.coalesce(one_unit & _off(friedewald, c("tc_value"), 15.0), F.lit(False)).alias("friedewald_warns"),
         F.when(c("tc_unit") == c("hdl_unit"), F.when(c("ratio_value").isNotNull(), ratio)).alias("tc_hdl"),
         F.coalesce((c("tc_unit") == c("hdl_unit")) & _off(ratio, c("ratio_value"), 10.0), F.lit(False)).alias("tc_hdl_warns"),
-    )
+    ]
+
+
+def cross_checks(kept: DataFrame) -> DataFrame:
+    """(doc_id, and for each check its inputs and whether it warns): one aggregate for all of them."""
+    return kept.groupBy("doc_id").agg(*_cross_inputs()).select("doc_id", *_cross_results())
 
 
 def assess(a: dict[str, Column]) -> Column:
@@ -67,26 +77,28 @@ def assess(a: dict[str, Column]) -> Column:
     return F.when(a["failed_pages"] > 0, 2).when((a["resolved"] == 0) | (a["unresolved"] > a["resolved"]) | bad, 1).otherwise(0)
 
 
-def document_status(resolved: DataFrame, grouped: DataFrame) -> DataFrame:
+def document_status(resolved: DataFrame) -> DataFrame:
     """A row for each document: counters, warnings and its status, the worst of all checks.
 
-    Documents with neither a kept nor an unresolved row are ``found_nothing``, even if they have conflicts.
+    Two aggregates over one pass of the rows: by (document, marker), then by document. Documents with
+    neither a kept nor an unresolved row are ``found_nothing``, even if they have conflicts.
     """
-    kept = plausibility(grouped.filter("agree"))
-    counts = kept.groupBy("doc_id").agg(
-        F.count("*").alias("resolved"), F.count_if(F.col("confidence") == "ambiguous").alias("ambiguous"), F.count_if(F.col("unit_status") != "Observed").alias("unit_gaps"),
-        F.count_if(F.col("plausible") == "impossible").alias("impossible"), F.count_if(F.col("plausible") == "unusual").alias("unusual"),
+    g = plausibility(every_group(resolved))
+    named = F.col("standardized_name").isNotNull() & (F.col("n_readings") > 0)
+    ok = named & F.col("agree")
+    count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
+    df = g.groupBy("doc_id").agg(
+        count(ok).alias("resolved"), F.coalesce(F.sum(F.when(F.col("standardized_name").isNull(), F.col("n_readings"))), F.lit(0)).alias("unresolved"),
+        count(named & ~F.col("agree")).alias("conflicts"), count(ok & (F.col("confidence") == "ambiguous")).alias("ambiguous"), count(ok & (F.col("unit_status") != "Observed")).alias("unit_gaps"),
+        count(ok & (F.col("plausible") == "impossible")).alias("impossible"), count(ok & (F.col("plausible") == "unusual")).alias("unusual"), *_cross_inputs(ok),
     )
-    every = resolved.groupBy("doc_id").agg(F.count_if(~F.col("resolved") & F.col("value").isNotNull()).alias("unresolved"))
-    bad = grouped.filter("not agree").groupBy("doc_id").agg(F.count("*").alias("conflicts"))
-    checks = cross_checks(kept).select("doc_id", (F.col("pct_warns").cast("int") + F.col("friedewald_warns").cast("int") + F.col("tc_hdl_warns").cast("int")).alias("cross_warnings"))
-    df = every.join(counts, "doc_id", "left").join(bad, "doc_id", "left").join(checks, "doc_id", "left").fillna(0)
-    zero = F.lit(0)
-    rank = assess({k: F.col(k) for k in ("resolved", "unresolved", "conflicts", "ambiguous", "unit_gaps")} | dict.fromkeys(("failed_pages", "partial_pages", "rejections"), zero))
+    counters = ["resolved", "unresolved", "conflicts", "ambiguous", "unit_gaps", "impossible", "unusual"]
+    df = df.select("doc_id", *counters, *_cross_results())
+    df = df.select("doc_id", *counters, (F.col("pct_warns").cast("int") + F.col("friedewald_warns").cast("int") + F.col("tc_hdl_warns").cast("int")).alias("cross_warnings"))
+    rank = assess({k: F.col(k) for k in counters[:5]} | dict.fromkeys(("failed_pages", "partial_pages", "rejections"), F.lit(0)))
     rank = F.greatest(rank, F.when(F.col("impossible") > 0, 2).when((F.col("unusual") > 0) | (F.col("cross_warnings") > 0), 1).otherwise(0))
     return df.select(
-        "doc_id", "resolved", "unresolved", "conflicts", "ambiguous", "unit_gaps", "impossible", "unusual", "cross_warnings",
-        F.element_at(F.array(*[F.lit(s) for s in RANK]), rank + 1).alias("status"),
+        "doc_id", *counters, "cross_warnings", F.element_at(F.array(*[F.lit(s) for s in RANK]), rank + 1).alias("status"),
         ((F.col("resolved") == 0) & (F.col("unresolved") == 0)).alias("found_nothing"),
         ((F.col("resolved") >= 3) & (F.col("unresolved") < 5 * F.col("resolved"))).alias("patterns_suffice"),
     )

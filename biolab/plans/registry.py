@@ -173,14 +173,12 @@ _STATUS = "doc_id, resolved, unresolved, conflicts, ambiguous, unit_gaps, imposs
 
 @query(f"WITH {O.STATUS} SELECT {_STATUS} FROM status")
 def document_status(spark, d):
-    n = _resolved(spark, d)
-    return validate.document_status(n, conflicts.groups(n.filter("value is not null"))).select(*_STATUS.split(", "))
+    return validate.document_status(_resolved(spark, d)).select(*_STATUS.split(", "))
 
 
 @query(f"WITH {O.STATUS} SELECT patterns_suffice, status, count(*) AS n FROM status GROUP BY ALL")
 def regex_gate(spark, d):
-    n = _resolved(spark, d)
-    return validate.document_status(n, conflicts.groups(n.filter("value is not null"))).groupBy("patterns_suffice", "status").agg(F.count("*").alias("n"))
+    return validate.document_status(_resolved(spark, d)).groupBy("patterns_suffice", "status").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {O.PARSED} SELECT doc_id, ord, CASE WHEN value = floor(value) AND abs(value) < 1e6 THEN printf('%.0f', value) ELSE printf('%.2f', round(value::decimal(20, 6), 2)) END AS shown FROM parsed WHERE value IS NOT NULL""")
@@ -199,7 +197,7 @@ def json_envelope(spark, d):
     )
     found = conflicts.kept(g).groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("biomarkers"))
     bad = conflicts.conflicting(n.filter("value is not null"), g).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("standardized_name", "display_name", "category", "candidates"))).alias("conflicts"))
-    status = validate.document_status(n, g).select("doc_id", "status", "resolved", "unresolved")
+    status = validate.document_status(n).select("doc_id", "status", "resolved", "unresolved")
     df = status.join(found, "doc_id", "left").join(bad, "doc_id", "left")
     data = F.struct(F.concat(F.lit("order-"), F.col("doc_id")).alias("source"), "biomarkers", "conflicts")
     meta = F.struct(F.col("resolved").alias("markers_found"), F.col("unresolved").alias("markers_unresolved"), F.col("status").alias("document_status"), F.lit("2.0").alias("catalog_version"))

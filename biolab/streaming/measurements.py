@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from biolab.operators import conflicts, validate
+from biolab.operators import validate
 from biolab.operators.resolve import parsed, resolve
 
 SCHEMA = "doc_id long, ord int, patient_id long, date date, raw_name string, raw_value string, raw_unit string"
@@ -33,8 +33,6 @@ def write_status(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     """Writes every document's status under a folder for its micro-batch, so a repeated batch replaces itself."""
 
     def batch(df: DataFrame, epoch: int) -> None:
-        r = resolve(parsed(df))
-        g = conflicts.groups(r.filter("value is not null"))
-        validate.document_status(r, g).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        validate.document_status(resolve(parsed(df))).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -37,12 +37,12 @@ def test_conflicts_status_and_nothing_found(spark):
     assert {r.standardized_name: (r.agree, r.n_readings) for r in g.collect()} == {"ldl_cholesterol": (True, 2), "hdl_cholesterol": (False, 2), "tsh": (True, 1), "fasting_glucose": (True, 1)}
     assert {r.standardized_name: r.agree for r in conflicts.groups(df, False).collect()}["hdl_cholesterol"]
     assert [[c.ord for c in r.candidates] for r in conflicts.conflicting(df, g).collect()] == [[2, 3]]
-    s = validate.document_status(df, g).first()
+    s = validate.document_status(df).first()
     assert (s.resolved, s.conflicts, s.impossible, s.unusual, s.status, s.found_nothing) == (3, 1, 1, 1, "partial_failure", False)
     only = resolved(spark, ("HDL", "50", "mg/dL"), ("HDL", "60", "mg/dL"))
-    assert validate.document_status(only, conflicts.groups(only)).first().found_nothing
+    assert validate.document_status(only).first().found_nothing
     fine = resolved(spark, ("LDL", "130", "mg/dL"))
-    assert validate.document_status(fine, conflicts.groups(fine)).first().status == "success"
+    assert validate.document_status(fine).first().status == "success"
 
 
 @pytest.mark.parametrize(
@@ -146,5 +146,5 @@ def test_streaming(spark, tmp_path):
     q = stream.write_status(stream.read(spark, f"{tmp_path}/in", 2), f"{tmp_path}/out", f"{tmp_path}/check")
     q.awaitTermination()
     r = resolve(parsed(m))
-    want = validate.document_status(r, conflicts.groups(r.filter("value is not null")))
+    want = validate.document_status(r)
     assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out").drop("batch").collect())) == sorted(map(str, want.collect()))
