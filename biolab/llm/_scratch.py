@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+#: Texts are long: more rows than this in an Arrow batch take memory in the JVM and in Python alike.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 _own: list[str] = []
 
 
@@ -36,6 +38,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_ROWS:
+            spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:

@@ -4,15 +4,16 @@
    set's size, a 128-bit signature of the whole set and its sketch, the ``K`` smallest hashes.
 2. Documents with one signature are a class; the smallest doc_id stands for it. Copies are never paired.
 3. The retained values are inverted. Two sets with Jaccard 0.75 share ``NEED`` of ``K`` retained values
-   but for a chance under 1e-7 (binomial tail at K = 32), and sets smaller than K are held whole. So of
-   each sketch, in order of how many sketches hold a value, only the ``K - NEED + 1`` rarest values are
+   but for a chance under 1e-7 (binomial tail at K = 64), small sets more than that for sure. So of each
+   sketch, in order of how many sketches hold a value, only the ``K - NEED + 1`` rarest values are
    inverted: sets that share NEED values share one of these. Values that very many documents hold, such
    as those of a passage on all pages, come last and make lists only for documents made of little else.
-4. Each list links its members to its smallest member only. The union-sketch estimate drops pairs, exact
+4. Each list links its members to its centre only. The union-sketch estimate drops pairs, exact
    Jaccard on full sets confirms the rest, and components are formed.
-5. Pairs that are still in different components and share a list follow: members outside a list's
-   largest component are met with the others. So no link is lost, and lists of a large group of near
-   copies, all in one component by now, make no pairs at all.
+5. Members of a list that are still in different components are met: those outside the list's largest
+   component with the others, if their sizes allow a link. Members of long lists do this by the rarest
+   shingles of their full sets instead of the list. No link is lost, and neither a large group of near
+   copies nor a passage on many pages makes all its pairs.
 
 Defined cases: null, empty or blank texts have no shingles and are alone, as are rows with a null
 doc_id (their component is null and they are kept); rows that share a doc_id and a text are one
@@ -32,9 +33,15 @@ from .components import components
 
 SHINGLE = 5
 PERCENT = 75
-K = 32
-NEED = 9
-BATCH_BYTES = 8 << 20
+K = 64
+NEED = 27
+BATCH_BYTES = 1 << 20
+#: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond it that join shuffles.
+BROADCAST_IDS = 1_000_000
+#: Members of longer lists that still mix components meet by their full sets' rarest shingles instead.
+LONG_LIST = 32
+#: Width of a bucket of set sizes, as a factor.
+SIZE_STEP = 1.05
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -73,15 +80,24 @@ def _set_batches(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["rep", "set"])
 
 
-def need(n_retained):
-    """How many retained values a set shares with any set it is linked to, at least."""
-    return F.least(F.lit(NEED), F.ceil(n_retained * PERCENT / 100)).cast("int")
+def need(n):
+    """How many retained values a set of ``n`` shares with any set it is linked to, at least.
+
+    Linked sets differ by at most a quarter of the larger one, which has at most 4/3 of ``n``; so of K
+    retained values at most n / 3 aren't shared, whatever the hashes. For large sets NEED holds instead.
+    """
+    sure = F.lit(K) - F.floor(n / 3)
+    return F.when(n < K, F.least(F.ceil(n * PERCENT / 100), sure)).otherwise(F.greatest(F.lit(NEED), sure)).cast("int")
 
 
 def similar_sizes(a: str, b: str):
     return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
 
 
+def size_bucket(n):
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
+
+
 class _Join:
     def __init__(self, docs: DataFrame):
         self.scratch = Scratch(docs.sparkSession, "near")
@@ -89,34 +105,45 @@ class _Join:
 
     def sketches(self) -> None:
         rows = self.docs.mapInArrow(_sketch_batches, "doc_id long, n long, sig1 long, sig2 long, sketch array<long>")
-        self.members = self.scratch.put("members", rows)
-        named = self.members.filter("n > 0 and doc_id is not null")
+        rows = self.scratch.put("sketched", rows)
+        self.members = self.scratch.put("members", rows.drop("sketch"))
+        named = rows.filter("n > 0 and doc_id is not null")
         classes = named.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"))
         self.classes = self.scratch.put("classes", classes)
+        self.scratch.drop("sketched")
 
     def lists(self) -> None:
-        """(v, rep, n): the inverted values that two classes at least hold."""
-        held = self.classes.select("rep", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
-        often = held.groupBy("v").agg(F.count("*").alias("f"))
-        ranked = held.join(often, "v").groupBy("rep", "n", "k").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs"))
-        rare = ranked.select("rep", "n", F.explode(F.slice("vs", F.lit(1), F.col("k") - need(F.col("k")) + 1)).alias("x"))
-        lists = rare.filter("x.f > 1").select(F.col("x.v").alias("v"), "rep", "n")
+        """(v, rep, n, m, centre, centre_n): the inverted values that two classes at least hold, with the list's length and centre.
+
+        A list's centre is the member whose retained values are held most often: of near copies, the one
+        they are copies of.
+        """
+        held = self.classes.select("rep", F.explode("sketch").alias("v"))
+        often = held.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1")
+        shared = held.join(often, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs"), F.sum("f").alias("w"))
+        sizes = self.classes.select("rep", "n", F.size("sketch").alias("k"))
+        left = F.col("k") - need(F.col("n")) + 1 - (F.col("k") - F.size("vs"))  # values that nobody else holds come first
+        rare = shared.join(sizes, "rep").select("rep", "n", "w", F.explode(F.slice("vs", F.lit(1), F.greatest(left, F.lit(0)))).alias("x"))
+        rare = self.scratch.put("rare", rare.select(F.col("x.v").alias("v"), "rep", "n", "w"))
+        centre = rare.groupBy("v").agg(F.count("*").alias("m"), F.max(F.struct("w", F.negative("rep").alias("r"), "n")).alias("c")).filter("m > 1")
+        lists = rare.join(centre, "v").select("v", "rep", "n", "m", F.negative("c.r").alias("centre"), F.col("c.n").alias("centre_n"))
         self.list = self.scratch.put("lists", lists)
+        self.scratch.drop("rare")
 
     def estimate(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose union sketch agrees with a Jaccard of 0.75 but for a chance under 1e-7."""
-        side = lambda name: self.classes.select(F.col("rep").alias(name), F.col("sketch").alias(f"s{name}"))
+        side = lambda name: self.classes.select(F.col("rep").alias(name), F.col("sketch").alias(f"s{name}"), F.col("n").alias(f"n{name}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
         shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-        return both.filter(shared >= F.least(need(F.size("sa")), need(F.size("sb")))).select("a", "b")
+        return both.filter(shared >= F.least(need(F.col("na")), need(F.col("nb")), F.lit(NEED))).select("a", "b")
 
     def sets(self) -> None:
         """Full sets of the classes that share a list with another; one more pass over the texts."""
-        lone = self.list.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1").select("v")
-        wanted = self.scratch.put("wanted", self.list.join(lone, "v", "left_semi").select("rep").distinct())
-        texts = self.docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        self.full = self.scratch.put("sets", texts.mapInArrow(_set_batches, "rep long, set array<long>"))
+        wanted = self.scratch.put("wanted", self.list.select(F.col("rep").alias("doc_id")).distinct())
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        sets = self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_batches, "rep long, set array<long>")
+        self.full = self.scratch.put("sets", sets.dropDuplicates(["rep"]))
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         side = lambda name: self.full.select(F.col("rep").alias(name), F.col("set").alias(f"s{name}"))
@@ -126,25 +153,58 @@ class _Join:
         return both.filter(linked).select("a", "b")
 
     def stars(self) -> DataFrame:
-        centre = self.list.groupBy("v").agg(F.min_by(F.struct("rep", "n"), "rep").alias("c"), F.count("*").alias("f")).filter("f > 1")
-        pairs = self.list.join(centre, "v").filter("rep <> c.rep").filter(similar_sizes("n", "c.n"))
-        pairs = self.scratch.put("stars", pairs.select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct())
+        pairs = self.list.filter("rep <> centre").filter(similar_sizes("n", "centre_n")).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
+        pairs = self.scratch.put("stars", pairs.distinct())
         return self.scratch.put("links1", self.confirm(self.estimate(pairs)))
 
+    def prefixes(self, long: DataFrame) -> DataFrame:
+        """(h, low, high, own, rep, n, c, rest): inverted shingles of the full sets of ``long`` (rep, n, c), for members of long lists.
+
+        A linked pair shares 3/7 of the sum of its sizes. Sizes are in narrow buckets, so for each bucket of
+        partners a set knows how many shingles it may lack; one more of its rarest shingles (rarest among
+        these sets) are inverted, less those that no other set has. A copy that is too far from
+        all others has none left, and so have pages that share a passage only. ``rest`` counts the shingle and those
+        behind it: a linked pair's first common shingle has enough of them in both sets.
+        """
+        held = self.full.join(long.select("rep"), "rep", "left_semi").select("rep", F.explode("set").alias("h"))
+        often = held.groupBy("h").agg(F.count("*").alias("f")).filter("f > 1")
+        shared = held.join(often, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs"))
+        least, most = F.ceil(F.col("n") * PERCENT / 100 - 1e-6), F.floor(F.col("n") * 100 / PERCENT + 1e-6)
+        each = shared.join(long, "rep").select(
+            "rep", "n", "c", "hs", size_bucket(F.col("n")).alias("own"), F.explode(F.sequence(size_bucket(least), size_bucket(most))).alias("other")
+        )
+        smallest = F.greatest(least, F.floor(F.pow(F.lit(SIZE_STEP), F.col("other").cast("double"))))
+        overlap = F.ceil((F.col("n") + smallest) * PERCENT / (100 + PERCENT) - 1e-6)
+        left = (F.col("n") - overlap + 1 - (F.col("n") - F.size("hs"))).cast("int")
+        rows = each.select("rep", "n", "c", "own", "other", F.size("hs").alias("held"), F.posexplode(F.slice("hs", F.lit(1), F.greatest(left, F.lit(0)))).alias("at", "x"))
+        rest = (F.col("held") - F.col("at")).alias("rest")
+        return rows.select(F.col("x.h").alias("h"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "n", "c", rest)
+
+    def meet(self, name: str, lists: DataFrame, keys: list[str]) -> DataFrame:
+        """Pairs (a, b) of different components that share a list: those outside the list's largest component with the others."""
+        lists = self.scratch.put(f"{name}-all", lists)
+        parts = lists.groupBy(*keys, "c").agg(F.count("*").alias("k"))
+        mixed = parts.groupBy(*keys).agg(F.count("*").alias("parts"), F.max(F.struct("k", "c")).alias("most")).filter("parts > 1")
+        lists = self.scratch.put(f"{name}-mixed", lists.join(mixed.select(*keys, F.col("most.c").alias("most")), keys))
+        few = lists.filter("c <> most").select(*keys, F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"), F.col("own").alias("xown"), F.col("rest").alias("xrest"))
+        met = lists.join(few, keys).filter((F.col("c") != F.col("xc")) & similar_sizes("n", "xn"))
+        if "low" in keys:
+            overlap = F.ceil((F.col("n") + F.col("xn")) * PERCENT / (100 + PERCENT) - 1e-6)
+            met = met.filter((F.col("own") + F.col("xown") == F.col("low") + F.col("high")) & (F.least("rest", "xrest") >= overlap))
+        pairs = self.scratch.put(f"{name}-pairs", met.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct())
+        self.scratch.drop(f"{name}-all", f"{name}-mixed")
+        return pairs
+
     def across(self, first: DataFrame) -> DataFrame:
-        """Links between components of the first round, as (component, component)."""
+        """Links between members of a list that are in different components after the first round."""
         label = first.select(F.col("node").alias("rep"), F.col("component").alias("c"))
-        lists = self.list.join(label, "rep", "left").select("v", "rep", "n", F.coalesce("c", "rep").alias("c"))
-        parts = lists.groupBy("v", "c").agg(F.count("*").alias("m"))
-        mixed = parts.groupBy("v").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("m", "c")).alias("most")).filter("parts > 1")
-        lists = self.scratch.put("mixed", lists.join(mixed, "v").select("v", "rep", "n", "c", "most"))
-        few = lists.filter("c <> most").select("v", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-        met = lists.join(few, "v").filter("c <> xc").filter(similar_sizes("n", "xn"))
-        a, b = F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")
-        pairs = met.select(a, b).distinct()
-        done = self.scratch.get("stars", first.select(F.col("node").alias("a"), F.col("node").alias("b")))
-        done = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = self.scratch.put("pairs", pairs.join(done, ["a", "b"], "left_anti"))
+        lists = self.list.join(label, "rep", "left").select("v", "rep", "n", "m", F.coalesce("c", "rep").alias("c"), F.lit(0).alias("own"), F.col("n").alias("rest"))
+        parts = lists.filter(F.col("m") > LONG_LIST).groupBy("v").agg((F.min("c") < F.max("c")).alias("mixed")).filter("mixed")
+        long = self.scratch.put("long", lists.join(parts, "v", "left_semi").select("rep", "n", "c").distinct())
+        near = self.meet("short", lists.filter(F.col("m") <= LONG_LIST).drop("m"), ["v"])
+        far = self.meet("long", self.prefixes(long), ["h", "low", "high"])
+        done = self.scratch.get("stars", near)
+        pairs = self.scratch.put("pairs", near.unionByName(far).distinct().join(done, ["a", "b"], "left_anti"))
         return self.scratch.put("links2", self.confirm(self.estimate(pairs)))
 
     def run(self) -> DataFrame:
@@ -155,7 +215,7 @@ class _Join:
         first = self.scratch.put("first", components(one))
         two = self.across(first)
         final = self.scratch.put("final", components(one.unionByName(two)))
-        self.scratch.drop("sets", "lists", "mixed", "pairs", "stars")
+        self.scratch.drop("sets", "lists", "long", "short-pairs", "long-pairs", "pairs", "stars")
         names = self.classes.select("n", "sig1", "sig2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
         names = names.select("n", "sig1", "sig2", F.coalesce("component", "rep").alias("class_component"))
         out = self.members.join(names, ["n", "sig1", "sig2"], "left")
@@ -174,7 +234,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group; rows that repeat a kept doc_id go, rows with a null doc_id stay."""
+    """``docs`` with one document of each group; rows that share a kept doc_id and rows with a null doc_id stay."""
     scratch = Scratch(docs.sparkSession, "gone")
     gone = scratch.put("ids", near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
