@@ -43,19 +43,24 @@ class Queue:
             self.held[most] = 0
 
     def pop(self, key: int):
-        """The key's oldest arrays, or None."""
+        """The key's oldest entries, as many as half the budget allows, or None."""
         parts = self.parts.get(key)
         if not parts:
             return None
-        part = parts.pop(0)
-        if isinstance(part, str):
-            with np.load(part) as f:
-                arrays = tuple(f[k] for k in f.files)
-            os.remove(part)
-            return arrays
-        self.held[key] -= len(part[0])
-        self.total -= len(part[0])
-        return part
+        taken, n = [], 0
+        while parts and (not taken or n < self.budget // 2):
+            part = parts.pop(0)
+            if isinstance(part, str):
+                path = part
+                with np.load(path) as f:
+                    part = tuple(f[k] for k in f.files)
+                os.remove(path)
+            else:
+                self.held[key] -= len(part[0])
+                self.total -= len(part[0])
+            taken.append(part)
+            n += len(part[0])
+        return taken[0] if len(taken) == 1 else tuple(np.concatenate(x) for x in zip(*taken))
 
 
 def least_between(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -115,7 +120,9 @@ class _Pass:
                 self.queue.push(int(char[a]), before[at[a:b]])
             return
         shared = np.zeros(len(at), np.uint8)
-        inner = np.setdiff1d(np.arange(len(at)), head, assume_unique=True)
+        within = np.ones(len(at), bool)
+        within[head] = False
+        inner = np.flatnonzero(within)
         if len(inner):
             shared[inner] = least_between(lcp, at[inner - 1], at[inner])
         key = char[head].astype(np.int64)

@@ -34,9 +34,14 @@ from .external_suffix import suffix_array
 WIDTH = 50
 GRAM = 20
 KEY_BITS = 56
-#: Bytes of text that a bucket of documents or a shard of fragments holds, about.
-BUCKET = 16 << 20
-RUN = 2_000_000
+#: Bytes of text that a bucket of documents holds, about, and bytes of fragments that a shard holds.
+BUCKET = 8 << 20
+SHARD = 2 << 20
+#: Bytes of text that are hashed at once; each takes some 60 bytes of memory.
+SLICE = 1 << 20
+RUN = 1_000_000
+#: Strings of fragments that are looked up at once.
+STRINGS = 1_000_000
 #: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond it those joins shuffle.
 BROADCAST_IDS = 1_000_000
 PACKED = "at int, blob binary"
@@ -151,7 +156,7 @@ def cover(doc: np.ndarray, off: np.ndarray, size: np.ndarray, data: np.ndarray,
     # every occurrence of a fragment, string by string
     n_strings = np.maximum(size - WIDTH + 1, 0)
     out = []
-    cuts = np.searchsorted(np.cumsum(n_strings), np.arange(0, int(n_strings.sum()) + 4_000_000, 4_000_000), "left")
+    cuts = np.searchsorted(np.cumsum(n_strings), np.arange(0, int(n_strings.sum()) + STRINGS, STRINGS), "left")
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         b = len(doc) if b >= len(doc) - 1 else b
         n = n_strings[a:b]
@@ -213,7 +218,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             return packed((s, planes(np.diff(k, prepend=0), d)) for s, k, d in dealt(key % shards, key, doc)).to_batches()
 
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", SLICE):
                 key, text, _, _ = fragments(*text_bytes(batch.column(1)))
                 held.append((key.astype(np.int64), batch.column(0).to_numpy()[text]))
                 n += len(key)
@@ -237,7 +242,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = scratch.put("keys", texts.mapInArrow(keys, PACKED).groupBy("at").applyInArrow(shared, PACKED))
     # a compressed key is 4 to 8 bytes and a fragment about 65
     sent = hot.agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0))).first()[0]
-    sorters = int(sent * 16 // BUCKET) + 1
+    sorters = int(sent * 16 // SHARD) + 1
 
     def cut(found: pa.Table, text: pa.Table) -> pa.Table:
         """Fragments with a shared key, to the shards of the keys."""
@@ -246,7 +251,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if len(wanted):
             seen: set[int] = set()
             for whole in text.select(["doc_id", "text"]).to_batches():
-                for batch in slices(whole, "text", 4 << 20):
+                for batch in slices(whole, "text", SLICE):
                     ids = batch.column(0).to_numpy()
                     again = np.array([i in seen or seen.add(i) for i in ids.tolist()], bool)
                     data, offsets = text_bytes(batch.column(1))

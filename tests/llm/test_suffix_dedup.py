@@ -44,6 +44,7 @@ def brute(texts):
 @pytest.mark.parametrize("bucket", [3000, 16 << 20])
 def test_same_as_brute_force(spark, monkeypatch, tmp_path, bucket):
     monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(suffix_dedup, "SHARD", bucket)
     rng = random.Random(bucket)
     passages = [" ".join(rng.choice(WORDS) for _ in range(25)) for _ in range(5)]
     texts = EDGE + [EDGE[-1], "a" * 300, "a" * 120, "é" * 80, "é" * 60 + "b"]
