@@ -5,14 +5,20 @@
 2. Tasks count pairs of ids the same way (``BOS`` stands before a text's first word). A pair's shard comes
    from a hash of the pair, so no context, however common, meets in one task. Each shard is a sorted
    array of pairs with counts; the shards' sums by context and by word meet in shards of the id range.
-3. Workers map the arrays into memory and score texts batch by batch.
+3. For order 3 a pair's id is its place among all pairs, and tasks count triples as (id of the first pair,
+   word) the same way, in the shard of the first pair. Each shard is a sorted array of triples with counts; how
+   many triples of each count follow a pair lies beside the pairs, and in how many contexts a pair stands meets in
+   that pair's shard.
+4. Workers map the arrays into memory and score texts batch by batch.
 
 Shards hold about ``SHARD`` entries at any size of corpus, and the driver gets a few numbers of each. The
 arrays lie in the folder of ``spark.checkpoint.dir``; where that isn't a local path, workers copy a shard to
 an unlinked temporary file and map that. Files are renamed into place, so a repeated task changes nothing.
 
-The model has order 2, and its lower order interpolates with 1 / (V + 1), which is also what an unknown
-word gets. Words are lower-cased runs without white space; an end follows the last word.
+The model has order 2 or 3. Below the highest order, counts are of distinct contexts; pairs from the beginning, which
+nothing stands before, keep their number of times, and a text's first word is scored by its pair. The lowest
+order interpolates with 1 / (V + 1), which is also what an unknown word gets. Words are lower-cased runs without white
+space; an end follows the last word.
 
 Defined cases: a null or empty text is one end; without training rows the model is uniform (V = 0,
 probability 1); a null doc_id is a training row; repeated rows count as often as they occur.
@@ -24,13 +30,14 @@ import io
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
@@ -205,7 +212,7 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05 * k), 0.95 * k) for k, d in zip((1, 2, 3), raw))
 
 
-def count_pairs(texts: DataFrame, folder: str, vocabulary: Vocabulary, total: int, scratch: Scratch) -> "Model":
+def count_pairs(texts: DataFrame, folder: str, vocabulary: Vocabulary, total: int, scratch: Scratch, order: int) -> "Model":
     words = len(vocabulary)
     width = words + 1  # ids 0 .. V - 1, and V for the beginning
     shards = max(1, -(-total // SHARD))
@@ -237,20 +244,57 @@ def count_pairs(texts: DataFrame, folder: str, vocabulary: Vocabulary, total: in
         s = table["shard"][0].as_py()
         keys, counts = merge([unpack(b.as_py(), 1) for b in table["blob"]])
         save(folder, f"pairs-{s}", keys)
-        save(folder, f"times-{s}", counts.astype(np.uint32) if len(counts) == 0 or counts.max() < 1 << 32 else counts)
-        rows = []
-        # by context: tokens, and words seen once, twice, more; by word: contexts
-        context, word = keys // U(width), keys % U(width)
-        one = lambda mask: mask.astype(U)
-        by_context = merge([[context, counts, one(counts == 1), one(counts == 2), one(counts > 2)]])
-        by_word = merge([[word, one(word >= 0)]])
-        for span, *columns in dealt((by_context[0] // U(size)).astype(np.int64), *by_context):
-            rows.append((2 * span, pack(*columns)))
+        save(folder, f"times-{s}", narrow(counts))
+        rows = by_context(keys // U(width), counts, size) if order == 2 else []
+        # by word: contexts
+        word = keys % U(width)
+        by_word = merge([[word, np.ones(len(word), U)]])
         for span, *columns in dealt((by_word[0] // U(size)).astype(np.int64), *by_word):
             rows.append((2 * span + 1, pack(*columns)))
-        tally = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [len(keys)]
-        rows.append((-1, np.array(tally, np.int64).tobytes()))
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+        return _rows([*rows, _tally(s, counts)])
+
+    met = scratch.put("met", texts.mapInArrow(local, PACKED).groupBy("shard").applyInArrow(meet, PACKED))
+    upper, sizes = tallied(met, shards)
+    pairs = Pairs(folder, sizes)
+    lower = closed(met, folder, width, size)
+    scratch.drop("met")
+    levels = [discounts(upper)]
+    if order == 3:
+        levels = count_triples(texts, vocabulary, pairs, size, scratch)
+    return Model(folder, vocabulary, total, pairs, size, levels, discounts(lower[:4]), [lower[0], lower[1], lower[4]])
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
+
+
+def _rows(rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.Table.from_batches([_sent(rows)])
+
+
+def _tally(s: int, counts: np.ndarray) -> tuple[int, bytes]:
+    return -1, np.array([s, len(counts), *(int((counts == k).sum()) for k in (1, 2, 3, 4))], np.int64).tobytes()
+
+
+def tallied(met: DataFrame, shards: int) -> tuple[list[int], list[int]]:
+    """How many entries have count 1 to 4, and the entries of each shard."""
+    sizes, n = [0] * shards, np.zeros(4, np.int64)
+    for r in met.filter("shard = -1").select("blob").toLocalIterator():
+        s, sizes_s, *of = np.frombuffer(r["blob"], np.int64)
+        sizes[s] = int(sizes_s)
+        n += of
+    return n.tolist(), sizes
+
+
+def by_context(context: np.ndarray, counts: np.ndarray, size: int) -> list[tuple[int, bytes]]:
+    """By context: the sum of counts, and words with a count of one, two, more."""
+    one = lambda mask: mask.astype(U)
+    sums = merge([[context, counts, one(counts == 1), one(counts == 2), one(counts > 2)]])
+    return [(2 * span, pack(*columns)) for span, *columns in dealt((sums[0] // U(size)).astype(np.int64), *sums)]
+
+
+def closed(met: DataFrame, folder: str, width: int, size: int) -> list[int]:
+    """Saves sums by context (even numbers) and contexts by word (odd); returns how many words have 1, 2, 3, 4 and over 2 contexts."""
 
     def close(table: pa.Table) -> pa.Table:
         k = table["shard"][0].as_py()
@@ -270,20 +314,126 @@ def count_pairs(texts: DataFrame, folder: str, vocabulary: Vocabulary, total: in
             save(folder, f"sums-{span}", sums)
         return pa.table({"shard": pa.array([k], pa.int32()), **{f"n{i}": [x] for i, x in enumerate(tally, 1)}})
 
-    met = scratch.put("met", texts.mapInArrow(local, PACKED).groupBy("shard").applyInArrow(meet, PACKED))
-    tallies = sum(np.frombuffer(r["blob"], np.int64) for r in met.filter("shard = -1").select("blob").toLocalIterator())
-    closed = met.filter("shard >= 0").groupBy("shard").applyInArrow(close, "shard int, n1 long, n2 long, n3 long, n4 long, n5 long").collect()
-    lower = np.sum([[r[f"n{i}"] for i in range(1, 6)] for r in closed if r["shard"] % 2], axis=0)
-    scratch.drop("met")
-    return Model(folder, vocabulary, total, shards, size, discounts(tallies[:4].tolist()), int(tallies[4]), discounts(lower[:4].tolist()), [int(lower[0]), int(lower[1]), int(lower[4])])
+    rows = met.filter("shard >= 0").groupBy("shard").applyInArrow(close, "shard int, n1 long, n2 long, n3 long, n4 long, n5 long").collect()
+    return [sum(r[f"n{i}"] for r in rows if r["shard"] % 2) for i in range(1, 6)]
+
+
+class Pairs:
+    """The distinct pairs in shards of their hash; a pair's id is its place, shard after shard."""
+
+    def __init__(self, folder: str, sizes: list[int]):
+        self.folder, self.sizes = folder, sizes
+        self.start = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+
+    def __len__(self):
+        return int(self.start[-1])
+
+    def shard(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) % U(len(self.sizes))).astype(np.int64)
+
+    def find(self, keys: np.ndarray, *names: str) -> tuple[np.ndarray, ...]:
+        """(id or -1, and of each array named its value or 0) of sorted distinct pairs."""
+        ids, *out = np.full(len(keys), -1, np.int64), *(np.zeros((len(keys), 3) if name == "after" else len(keys), np.int64) for name in names)
+        for s, at in dealt(self.shard(keys), np.arange(len(keys))):
+            if self.sizes[s]:
+                known = mapped(self.folder, f"pairs-{s}")
+                where = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
+                hit = known[where] == keys[at]
+                at, where = at[hit], where[hit]
+                ids[at] = where + self.start[s]
+                for x, name in zip(out, names):
+                    x[at] = mapped(self.folder, f"{name}-{s}")[where]
+        return ids, *out
+
+    def triples(self, keys: np.ndarray, width: int) -> np.ndarray:
+        """How often triples (pair id * width + word), sorted and distinct, occur."""
+        out = np.zeros(len(keys), np.int64)
+        for s, at in dealt(np.searchsorted(self.start, (keys // U(width)).astype(np.int64), "right") - 1, np.arange(len(keys))):
+            known = mapped(self.folder, f"triples-{s}")
+            if len(known):
+                where = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
+                out[at] = np.where(known[where] == keys[at], mapped(self.folder, f"often-{s}")[where], 0)
+        return out
+
+
+def count_triples(texts: DataFrame, vocabulary: Vocabulary, pairs: Pairs, size: int, scratch: Scratch) -> list[tuple[float, float, float]]:
+    """Counts triples, and the contexts of pairs; returns the discounts of triples and of pairs."""
+    words, folder, shards = len(vocabulary), pairs.folder, len(pairs.sizes)
+    width = words + 1
+    if len(pairs) * width >= 1 << 64:
+        raise ValueError("too many pairs for 64-bit triples")
+
+    def local(batches):
+        held, n = [], 0
+
+        def flush():
+            values, counts = counted(np.concatenate(held))
+            cuts = np.searchsorted(values, pairs.start[1:-1].astype(U) * U(width))
+            return _sent([(s, pack(v, c)) for s, (v, c) in enumerate(zip(np.split(values, cuts), np.split(counts, cuts))) if len(v)])
+
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                h, first = tokens(batch.column(0))
+                ids, _ = vocabulary.lookup(h)
+                before = np.roll(ids, 1)
+                before[first[:-1]] = words
+                query, back = np.unique(before.astype(U) * U(width) + ids.astype(U), return_inverse=True)
+                place = np.roll(pairs.find(query)[0][back], 1)
+                later = np.ones(len(ids), bool)
+                later[first[:-1]] = False
+                held.append(place[later].astype(U) * U(width) + ids[later].astype(U))
+                n += len(h)
+                if n > RUN:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    def meet(table: pa.Table) -> pa.Table:
+        s = table["shard"][0].as_py()
+        keys, counts = merge([unpack(b.as_py(), 1) for b in table["blob"]])
+        save(folder, f"triples-{s}", keys)
+        save(folder, f"often-{s}", narrow(counts))
+        left = (keys // U(width)).astype(np.int64) - pairs.start[s]
+        after = [np.bincount(left[mask], minlength=pairs.sizes[s]) for mask in (counts == 1, counts == 2, counts > 2)]
+        save(folder, f"after-{s}", narrow(np.stack(after, 1)))
+        rows = []
+        if len(keys):
+            right, contexts = counted((mapped(folder, f"pairs-{s}")[left] % U(width)) * U(width) + keys % U(width))
+            for k, right, contexts in dealt(pairs.shard(right), right, contexts):
+                rows.append((k, pack(np.searchsorted(mapped(folder, f"pairs-{k}"), right), contexts)))
+        return _rows([*rows, _tally(s, counts)])
+
+    def adjust(table: pa.Table) -> pa.Table:
+        s = table["shard"][0].as_py()
+        if not pairs.sizes[s]:
+            return _rows([])
+        known, times = (mapped(folder, f"{name}-{s}") for name in ("pairs", "times"))
+        at, contexts = merge([unpack(b.as_py(), 1) for b in table["blob"]])
+        context = known // U(width)
+        adjusted = np.where(context == U(words), times, 0).astype(U)
+        adjusted[at.astype(np.int64)] = contexts
+        save(folder, f"adjusted-{s}", narrow(adjusted))
+        return _rows([*by_context(context, adjusted, size), _tally(s, adjusted)])
+
+    # every shard has a row, so that each is written
+    empty = texts.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(bytearray(pack(np.zeros(0, U), np.zeros(0, U)))).alias("blob"))
+    met = scratch.put("triples", texts.mapInArrow(local, PACKED).union(empty).groupBy("shard").applyInArrow(meet, PACKED))
+    highest, _ = tallied(met, shards)
+    sums = scratch.put("sums", met.filter("shard >= 0").union(empty).groupBy("shard").applyInArrow(adjust, PACKED))
+    scratch.drop("triples")
+    middle, _ = tallied(sums, shards)
+    closed(sums, folder, width, size)
+    scratch.drop("sums")
+    return [discounts(highest), discounts(middle)]
 
 
 class Model:
-    """What a worker needs to score: names of arrays, and a few numbers."""
+    """What a worker needs to score: names of arrays, and a few numbers. ``levels``: discounts from the highest order to pairs."""
 
-    def __init__(self, folder, vocabulary, total, shards, size, upper, n_pairs, lower, n_lower):
-        self.folder, self.vocabulary, self.total, self.shards, self.size = folder, vocabulary, total, shards, size
-        self.upper, self.n_pairs, self.lower, self.n_lower = np.array([0.0, *upper]), n_pairs, np.array([0.0, *lower]), n_lower
+    def __init__(self, folder, vocabulary, total, pairs, size, levels, lower, n_lower):
+        self.folder, self.vocabulary, self.total, self.pairs, self.size = folder, vocabulary, total, pairs, size
+        self.levels, self.lower, self.n_lower = [np.array([0.0, *d]) for d in levels], np.array([0.0, *lower]), n_lower
 
     def by_id(self, name: str, ids: np.ndarray, width: int | None = None) -> np.ndarray:
         """Rows of a dense array in spans, for ids >= 0; 0 for others."""
@@ -293,35 +443,44 @@ class Model:
                 out[at] = mapped(self.folder, f"{name}-{span}")[ids[at] - span * self.size]
         return out
 
-    def times(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        for s, at in dealt((mix(keys) % U(self.shards)).astype(np.int64), np.arange(len(keys))):
-            try:
-                known = mapped(self.folder, f"pairs-{s}")
-            except FileNotFoundError:  # a shard that no pair fell into has no file
-                continue
-            where = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
-            out[at] = np.where(known[where] == keys[at], mapped(self.folder, f"times-{s}")[where], 0)
-        return out
-
-    def probabilities(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """P(word | word before) for ids, -1 for unknown words; V as the word before stands for the beginning."""
+    def probabilities(self, ids: np.ndarray, before: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """P(word | words before) for ids, -1 for unknown words; V as the word before stands for the beginning, at the places ``first``."""
         v = len(self.vocabulary)
-        if not self.n_pairs:
+        n_pairs = len(self.pairs)
+        if not n_pairs:
             return np.full(len(ids), 1.0 / (v + 1))
         word, back = np.unique(ids, return_inverse=True)
         contexts = self.by_id("contexts", word)
-        free = sum(d * n for d, n in zip(self.lower[1:], self.n_lower)) / self.n_pairs
-        low = ((contexts - self.lower[np.minimum(contexts, 3)]) / self.n_pairs + free / (v + 1))[back]
+        free = sum(d * n for d, n in zip(self.lower[1:], self.n_lower)) / n_pairs
+        low = ((contexts - self.lower[np.minimum(contexts, 3)]) / n_pairs + free / (v + 1))[back]
         context, back = np.unique(before, return_inverse=True)
         sums = self.by_id("sums", context, 4)
-        gamma = (sums[:, 1:] @ self.upper[1:]) / np.maximum(sums[:, 0], 1)
-        seen = sums[:, 0] > 0
-        both = (ids >= 0) & seen[back]
-        times = np.zeros(len(ids), np.int64)
-        times[both] = self.times(before[both].astype(U) * U(v + 1) + ids[both].astype(U))
-        high = (times - self.upper[np.minimum(times, 3)]) / np.maximum(sums[:, 0], 1)[back]
-        return np.where(seen[back], high + gamma[back] * low, low)
+        upper = self.levels[-1]
+        gamma = (sums[:, 1:] @ upper[1:]) / np.maximum(sums[:, 0], 1)
+        seen = (sums[:, 0] > 0)[back]
+        both = np.flatnonzero((ids >= 0) & seen)
+        query, pair = np.unique(before[both].astype(U) * U(v + 1) + ids[both].astype(U), return_inverse=True)
+        place, times, *rest = self.pairs.find(query, *(["times"] if len(self.levels) == 1 else ["adjusted", "times", "after"]))
+        counts = np.zeros(len(ids), np.int64)
+        counts[both] = times[pair]
+        high = (counts - upper[np.minimum(counts, 3)]) / np.maximum(sums[:, 0], 1)[back]
+        p = np.where(seen, high + gamma[back] * low, low)
+        if len(self.levels) == 1:
+            return p
+        # the pair before each word that has two before it, where it is known: its place among the query
+        upper, (raw, after) = self.levels[0], rest
+        left = np.full(len(ids), -1, np.int64)
+        left[both] = np.where(place >= 0, np.arange(len(query)), -1)[pair]
+        left = np.roll(left, 1)
+        left[first] = -1
+        at = np.flatnonzero(left >= 0)
+        left, gamma = left[at], (after @ upper[1:]) / np.maximum(raw, 1)
+        counts = np.zeros(len(at), np.int64)
+        known = ids[at] >= 0
+        query, back = np.unique(place[left[known]].astype(U) * U(v + 1) + ids[at[known]].astype(U), return_inverse=True)
+        counts[known] = self.pairs.triples(query, v + 1)[back]
+        p[at] = (counts - upper[np.minimum(counts, 3)]) / raw[left] + gamma[left] * p[at]
+        return p
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """(n_tokens, n_known, base_score, score) of each text."""
@@ -331,18 +490,33 @@ class Model:
         before[first[:-1]] = len(self.vocabulary)
         by_text = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0, x.dtype)
         base = np.log10((counts + 1) / (self.total + len(self.vocabulary) + 1))
-        return np.diff(first), by_text((counts > 0).astype(np.int64)), by_text(base), by_text(np.log10(self.probabilities(ids, before)))
+        return np.diff(first), by_text((counts > 0).astype(np.int64)), by_text(base), by_text(np.log10(self.probabilities(ids, before, first[:-1])))
+
+
+@contextmanager
+def shuffles_end(spark: SparkSession):
+    """Each query's shuffle files are removed when it ends, not when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def train(texts: DataFrame, shards: int) -> "Model":
+def train(texts: DataFrame, shards: int, order: int = 2) -> "Model":
     """Counts the column ``text`` of all rows. ``shards``: of the word counts, about one for each SHARD tokens."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     scratch = Scratch(texts.sparkSession, "lm")
     folder = f"{scratch.path}/model"
-    texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
-    vocabulary, total = count_words(texts, folder, shards)
-    if not total:
-        return Model(folder, vocabulary, 0, 1, 1, (0.5, 1.0, 1.5), 0, (0.5, 1.0, 1.5), [0, 0, 0])
-    return count_pairs(texts, folder, vocabulary, total, scratch)
+    with shuffles_end(texts.sparkSession):
+        texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
+        vocabulary, total = count_words(texts, folder, shards)
+        if total:
+            return count_pairs(texts, folder, vocabulary, total, scratch, order)
+    return Model(folder, vocabulary, 0, Pairs(folder, []), 1, [(0.5, 1.0, 1.5)] * (order - 1), (0.5, 1.0, 1.5), [0, 0, 0])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -362,9 +536,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(batches, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def query(spark, sf_dir: str) -> DataFrame:
+def query(spark, sf_dir: str, order: int = 2) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     learned = docs.filter(~held_out(F.col("doc_id")))
     bytes_ = learned.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    scored = score(docs, train(learned, max(1, bytes_ // (6 * SHARD))))
+    scored = score(docs, train(learned, max(1, bytes_ // (6 * SHARD)), order))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

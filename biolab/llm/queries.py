@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from . import decontaminate, kneser_ney, line_dedup, mixing, near_dedup, pii, quality_gam, quality_rules, suffix_dedup, token_counts
 
 QUERIES = {
@@ -13,7 +15,7 @@ QUERIES = {
     "op6_quality_rules": quality_rules.query,
     "op7_count_tokens": token_counts.query,
     "op8_quality_gam": quality_gam.query,
-    "op9_kneser_ney": kneser_ney.query,
+    "op9_kneser_ney": partial(kneser_ney.query, order=3),
     "op10_line_dedup": line_dedup.query,
 }
 
