@@ -337,7 +337,7 @@ def text_layer(spark, d):
 
 def _answers(spark, d):
     """Answers as an extractor gives them, made of measurements: bare lists, keyed, fenced, with talk around; numbers and texts."""
-    m = measurements(spark, d).filter("ord <= 3")
+    m = measurements(spark, d)
     n = columns.parse_number(F.col("raw_value"))["value"]
     as_text = F.col("ord") % 2 == 0
     body = F.concat(F.lit('{"name": "'), "raw_name", F.lit('", "value": '), F.when(as_text, F.concat(F.lit('"'), "raw_value", F.lit('"'))).otherwise(F.when(n.isNotNull(), F.format_string("%.3f", n)).otherwise("null")), F.lit(', "unit": "'), "raw_unit", F.lit('"}'))
@@ -353,12 +353,25 @@ def _items(spark, d):
 
 @query(f"WITH {O.M} SELECT doc_id, ord, raw_name AS name, raw_unit AS unit FROM m WHERE ord <= 3")
 def llm_json(spark, d):
+    """The first three of ``llm_json_all``, as the SQL has them."""
+    return llm_json_all(spark, d).filter("ord <= 3")
+
+
+@query(f"WITH {O.M} SELECT doc_id, ord, raw_name AS name, raw_unit AS unit FROM m")
+def llm_json_all(spark, d):
     return _items(spark, d).select("doc_id", "ord", "name", "unit")
 
 
 @query(f"""WITH {O.PARSED}, x AS (SELECT *, trim(regexp_replace(trim(raw_value), '^(<=|>=|≤|≥|<|>)', '')) AS rest FROM parsed WHERE ord <= 3)
 SELECT doc_id, ord, CASE WHEN ord % 2 = 0 THEN {O.num('rest')} ELSE round(value, 3) END AS value, CASE WHEN ord % 2 = 0 THEN comparator ELSE '=' END AS comparator FROM x""")
 def llm_coerce(spark, d):
+    """The first three of ``llm_coerce_all``, as the SQL has them."""
+    return llm_coerce_all(spark, d).filter("ord <= 3")
+
+
+@query(f"""WITH {O.PARSED}, x AS (SELECT *, trim(regexp_replace(trim(raw_value), '^(<=|>=|≤|≥|<|>)', '')) AS rest FROM parsed)
+SELECT doc_id, ord, CASE WHEN ord % 2 = 0 THEN {O.num('rest')} ELSE round(value, 3) END AS value, CASE WHEN ord % 2 = 0 THEN comparator ELSE '=' END AS comparator FROM x""")
+def llm_coerce_all(spark, d):
     c = answers.coerced(F.col("value"), F.col("comparator"))
     return _items(spark, d).select("doc_id", "ord", c.alias("c")).select("doc_id", "ord", "c.value", "c.comparator")
 
