@@ -2,10 +2,15 @@
 
 For each host, the pages containing a line are divided by the host's pages; lines over ``RATIO`` and
 on at least ``MIN_PAGES`` pages go from all of the host's pages. Pages with one and the same text
-count as one page, so a text that is copied often isn't taken for boilerplate.
+count as one page, so a text that is copied often isn't taken for boilerplate. With ``most``, lines on two pages
+or more that are over that share of a host's pages go too, so hosts of fewer than ``MIN_PAGES`` pages aren't exempt.
+
+The pipeline takes ``SITE_RATIO`` and ``MOST``. ``SITE_RATIO`` stands in the gap of the measured line frequencies: on sf0.1 (20 hosts
+of about 496 distinct pages) the footer is on 8.6 to 13.2 % of each host's pages, and no other line is on more than 4.7 %.
+The registered query keeps ``RATIO`` and no ``most``, as its SQL has them.
 
 A host's dropped lines are few by proof: their shares of pages add up to the mean number of distinct
-lines of a page, so there are at most (mean lines a page) / RATIO of them, whatever the host's size.
+lines of a page, so there are at most (mean lines a page) / ratio of them, whatever the host's size.
 Lines are compared without white space at their ends, by 64-bit hash.
 
 Defined cases: null texts stay null and count as pages without lines; blank lines are never dropped;
@@ -23,6 +28,8 @@ from .quality_rules import SPACE, held
 
 RATIO = 0.10
 MIN_PAGES = 5
+SITE_RATIO = 0.06
+MOST = 0.5
 #: Up to so many lines (16 bytes each) over all hosts, the table of dropped lines is broadcast; beyond it the join shuffles.
 BROADCAST_LINES = 1_000_000
 
@@ -31,7 +38,7 @@ def bare(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACE))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, most: float | None = None) -> DataFrame:
     """(host, line hash, n_pages, host_pages) of the lines to drop."""
     scratch = Scratch(docs.sparkSession, "lines")
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), bare), lambda x: x != "")
@@ -44,16 +51,19 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
     )
     totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
     counted = pages.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n_pages"))
-    counted = counted.filter(F.col("n_pages") >= min_pages)
+    counted = counted.filter(F.col("n_pages") >= (min_pages if most is None else min(2, min_pages)))
     both = counted.join(totals.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).drop("of")
-    found = scratch.put("found", both.filter(F.col("n_pages") > ratio * F.col("host_pages")))
+    over = (F.col("n_pages") >= min_pages) & (F.col("n_pages") > ratio * F.col("host_pages"))
+    if most is not None:
+        over |= (F.col("n_pages") >= 2) & (F.col("n_pages") > most * F.col("host_pages"))
+    found = scratch.put("found", both.filter(over))
     scratch.drop("pages")
     return found
 
 
-def dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, most: float | None = None) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``; all rows and columns stay."""
-    found = boilerplate(docs, host, ratio, min_pages)
+    found = boilerplate(docs, host, ratio, min_pages, most)
     n = found.count()
     drop = found.groupBy("host").agg(F.collect_set("h").alias("_drop")).withColumnRenamed("host", "_of")
     if n <= BROADCAST_LINES:
