@@ -10,7 +10,7 @@ The smallest doc_id of each run of equal strings decides which strings of other
 
 Documents that equal an earlier one as a whole are settled first and not cut up: all their bytes are
 covered if they have 50. Shard and bucket numbers follow the size of the input, so what a task holds
-doesn't; a shard that is larger all the same is sorted from files.
+doesn't, unless one key is very common: a group's fragments are held and sorted in memory as a whole.
 
 Defined cases: a null text is empty; texts under 50 bytes lose nothing and take nothing; matches
 don't cross documents; doc_id names one text, and rows that repeat it are one document; rows with a null
