@@ -1,4 +1,4 @@
-"""Questions over time: latest value, history, trend, comparison, export, counts. (Designed, never built, in the reference.)"""
+"""Questions over time: latest value, history, trend, comparison, counts. (Designed, never built, in the reference.)"""
 
 from __future__ import annotations
 
