@@ -34,13 +34,20 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """A folder of intermediate Parquet tables; ``drop`` frees one that is no longer read."""
+    """A folder of intermediate Parquet tables; ``drop`` frees one that is no longer read.
+
+    Results read from it are lazy, so the folder stays until the driver's JVM ends, which deletes it.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_ROWS:
             spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(where)
+        system.deleteOnExit(where)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")

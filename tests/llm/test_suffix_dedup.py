@@ -1,11 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
 from biolab.llm import suffix_dedup
-from biolab.llm.external_suffix import suffix_array
+from biolab.llm.external_suffix import Column, Queue, sort_text, suffix_array
 
 from .helpers import EDGE, WORDS, collected, documents
 
@@ -26,6 +27,55 @@ def test_suffix_array_with_prefixes_in_memory_and_from_files(seed):
             assert lcp[k] == n
 
 
+def test_memory_stays_under_the_budget_whatever_the_text(tmp_path):
+    """A text of 16 times the budget, whose own arrays alone would take more than what is measured."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, rng.integers(1, 9)).tolist()) for _ in range(3000)]
+    passage = b" ".join(words[i] for i in rng.integers(0, 3000, 40))
+    raw = b" ".join(passage if i % 50 == 0 else words[i] for i in rng.integers(0, 3000, 400_000).tolist())
+    text = np.frombuffer(raw[:3_000_000], np.uint8).astype(np.uint16) + 1
+    n, budget, got = len(text), 3_000_000 // 16, []
+    column = Column(str(tmp_path), "<u2")
+    column.append(text)
+    before = Queue.spilled
+    tracemalloc.start()
+    sort_text(column, 257, 50, str(tmp_path), budget, lambda pos, lcp: got.append((hash(pos.tobytes()), int((lcp >= 50).sum()), len(pos))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert Queue.spilled - before > n  # the queues went to disk
+    assert sum(g[2] for g in got) == n
+    assert peak < 300 * budget < 20 * n  # the text, types, queues, positions and prefixes of all suffixes take over 20 n
+    # the same strings are found equal as by sorting them in memory
+    whole = Column(str(tmp_path), "<u2")
+    whole.append(text)
+    more = []
+    sort_text(whole, 257, 50, str(tmp_path), 10 * n, lambda pos, lcp: more.append(int((lcp >= 50).sum())))
+    assert sum(g[1] for g in got) == sum(more) > 0
+
+
+def test_the_query_sorts_on_disk(spark, tmp_path):
+    """With registered settings a shard has many times the budget; here both are made smaller by one factor, and the sorter
+    is asked what it wrote."""
+    assert suffix_dedup.SHARD >= 16 * suffix_dedup.BUDGET
+    rng = random.Random(3)
+    shard = suffix_dedup.Shard(str(tmp_path), 2000)
+    passage = " ".join(rng.choice(WORDS) for _ in range(30))
+    texts = [(" ".join(rng.choice(WORDS) for _ in range(rng.randint(20, 60))) + passage[rng.randint(0, 60) :]).encode() for _ in range(150)]
+    for i, t in enumerate(texts):
+        one = lambda x: np.array([x])
+        shard.add(one(i), one(len(t)), one(i % 7), one(i), np.frombuffer(t, np.uint8))
+    assert shard.text.n > 16 * 2000
+    before = Queue.spilled
+    gone = {}
+    for home, number, start, end in shard.covered():
+        for h, k, a, b in zip(home.tolist(), number.tolist(), start.tolist(), end.tolist()):
+            assert h == k % 7
+            gone.setdefault(k, []).append((a, b))
+    assert Queue.spilled - before > shard.text.n
+    for (n, removed, spans, _), i in zip(brute([t.decode() for t in texts]), range(150)):
+        assert (sum(b - a for a, b in gone.get(i, [])), len(gone.get(i, []))) == (removed, spans)
+
+
 def brute(texts):
     seen, out = set(), []
     for t in texts:
@@ -41,10 +91,12 @@ def brute(texts):
     return out
 
 
-@pytest.mark.parametrize("bucket", [3000, 16 << 20])
-def test_same_as_brute_force(spark, monkeypatch, tmp_path, bucket):
+@pytest.mark.parametrize("bucket,broadcast", [(3000, 0), (16 << 20, 10**6)])
+def test_same_as_brute_force(spark, monkeypatch, tmp_path, bucket, broadcast):
     monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
     monkeypatch.setattr(suffix_dedup, "SHARD", bucket)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(suffix_dedup, "BUDGET", bucket // 16)
     rng = random.Random(bucket)
     passages = [" ".join(rng.choice(WORDS) for _ in range(25)) for _ in range(5)]
     texts = EDGE + [EDGE[-1], "a" * 300, "a" * 120, "é" * 80, "é" * 60 + "b"]
