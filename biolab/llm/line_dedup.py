@@ -15,7 +15,8 @@ Lines are compared without white space at their ends, by 64-bit hash.
 
 Defined cases: null texts stay null and count as pages without lines; blank lines are never dropped;
 a null host is a host of its own; a page all of whose lines are boilerplate keeps an empty text;
-repeated rows count as one page; an empty table gives an empty result.
+repeated rows count as one page; a line exactly at a limit stays; a very long text makes arrays of its lines in its task, nothing
+else grows with it; an empty table gives an empty result; extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._joins import attach, quoted
 from ._scratch import Scratch
 from .quality_rules import SPACE, held
 
@@ -30,8 +32,11 @@ RATIO = 0.10
 MIN_PAGES = 5
 SITE_RATIO = 0.06
 MOST = 0.5
-#: Up to so many lines (16 bytes each) over all hosts, the table of dropped lines is broadcast; beyond it the join shuffles.
-BROADCAST_LINES = 1_000_000
+#: Up to so many hosts and so many dropped lines (16 bytes each) over all hosts, the table of dropped lines is broadcast;
+#: beyond it the join is a salted shuffle.
+BROADCAST_HOSTS, BROADCAST_LINES = 100_000, 1_000_000
+#: A host's dropped lines lie in so many parts by hash, of which a line is looked up in one.
+PARTS = 64
 
 
 def bare(line: Column) -> Column:
@@ -45,7 +50,7 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
     page = F.xxhash64(F.coalesce("text", F.lit("")))
     pages = scratch.put(
         "pages",
-        docs.select(F.col(host).alias("host"), page.alias("page"), F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))).alias("hs"))
+        docs.select(quoted(host).alias("host"), page.alias("page"), F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))).alias("hs"))
         .groupBy("host", "page")
         .agg(F.first("hs").alias("hs")),
     )
@@ -64,14 +69,17 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
 def dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, most: float | None = None) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``; all rows and columns stay."""
     found = boilerplate(docs, host, ratio, min_pages, most)
-    n = found.count()
-    drop = found.groupBy("host").agg(F.collect_set("h").alias("_drop")).withColumnRenamed("host", "_of")
-    if n <= BROADCAST_LINES:
-        drop = F.broadcast(drop)
-    both = docs.join(drop, F.col(host).eqNullSafe(F.col("_of")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("_drop", F.xxhash64(bare(x))), F.lit(False)))
-    text = F.when(F.col("_drop").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return both.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    part = lambda h: F.pmod(h, F.lit(PARTS)).cast("int")
+    of_part = found.groupBy("host", part(F.col("h")).alias("part")).agg(F.collect_set("h").alias("hs"))
+    drop = of_part.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("part", "hs"))).alias("hs"))
+    drop = drop.select("host", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.try_element_at("hs", i), F.array().cast("array<bigint>"))).alias("parts"))
+    small = found.count() <= BROADCAST_LINES
+    both, row = attach(docs, quoted(host), drop, "host", BROADCAST_HOSTS if small else 0, "left")
+    parts = F.col(row)["parts"]
+    gone = lambda h: F.array_contains(F.get(parts, part(h)), h)
+    kept = F.filter(F.split("text", "\n"), lambda x: ~gone(F.xxhash64(bare(x))))
+    text = F.when(parts.isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return both.select(*[text.alias("text") if c == "text" else quoted(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
