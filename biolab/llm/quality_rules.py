@@ -1,12 +1,13 @@
 """Document quality rules and host verdicts, in DataFrame functions only.
 
-Documents get their counts and base rules. Failures are summed by host; a host's failure rate is
-shrunk by an empirical beta prior (moments of the hosts' raw rates), so a host of a few pages is
-judged mostly by what hosts are like. Hosts whose shrunk rate is over ``HOST_LIMIT`` fail, and the
-verdict is joined back to their documents.
-
-Defined cases: a null text has no words and fails; a null host is a host of its own; an empty table
-gives an empty result; repeated rows count as often as they occur; other columns are not read.
+Documents get their counts and fail rules by them: the base rules, many symbols for their words, many repeated lines. The failures
+of each rule are summed by host; a host's failure rate is shrunk by an empirical beta prior (moments of the hosts' raw rates
+of that rule), so a host of a few pages is judged mostly by what hosts are like. Hosts with a shrunk rate over ``HOST_LIMIT``
+fail, and the verdict is joined back to their documents. A document's own symbols and lines count for its host alone.
+
+Defined cases: a null text has no words and fails; a null host is a host of its own; rates exactly at a limit pass; an empty
+table gives an empty result; repeated rows count as often as they occur; a very long text makes arrays of its words and windows in
+its task, nothing else grows with it; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._joins import attach, quoted
 from ._scratch import Scratch
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -22,10 +24,13 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+#: Symbols for each 100 words, and repeated lines of 100 lines with a word, that are too many.
+MAX_SYMBOL_PERCENT = 10
+MAX_DUP_LINE_PERCENT = 30
 HOST_LIMIT = 0.5
 #: Bounds of the prior's weight in documents: hosts that are all alike would make it infinite.
 PRIOR_LEAST, PRIOR_MOST = 2.0, 1000.0
-#: Up to so many hosts the verdicts (some 60 bytes a row) are broadcast; beyond it the join shuffles.
+#: Up to so many hosts the verdicts (some 100 bytes a row) are broadcast; beyond it the join is a salted shuffle.
 BROADCAST_HOSTS = 100_000
 
 
@@ -40,10 +45,10 @@ def split_words(text: Column) -> Column:
 
 
 def counts(docs: DataFrame, host: str = "source", window: int = WINDOW) -> DataFrame:
-    """(doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
+    """(doc_id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(F.col("t"), "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    base = docs.select("doc_id", F.col(host).alias("host"), held(text.alias("t")))
+    base = docs.select("doc_id", quoted(host).alias("host"), held(text.alias("t")))
     words = base.select("doc_id", "host", "t", held(split_words(F.col("t")).alias("words"), lines.alias("lines")))
     n = F.size("words")
     hashes = F.when(
@@ -56,50 +61,59 @@ def counts(docs: DataFrame, host: str = "source", window: int = WINDOW) -> DataF
         n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         held(hashes.alias("h")),
     )
     # Only texts that have a window twice are sorted: equal windows then stand side by side.
     again = F.size(F.array_distinct("h")) < F.size("h")
     pairs = F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    second = first.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", held(F.when(again, pairs).alias("s")))
+    second = first.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", held(F.when(again, pairs).alias("s")))
     at = lambda j: F.get(F.col("s"), j)
     hit = lambda x, j: (x["h"] == at(j + 1)["h"]) | ((j > 0) & (x["h"] == at(j - 1)["h"]))
     starts = F.array_sort(F.transform(F.filter("s", hit), lambda x: x["i"]))
-    third = second.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", held(starts.alias("p")))
+    third = second.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", held(starts.alias("p")))
     covered = F.aggregate(
         F.transform("p", lambda x, j: F.least(F.lit(window), F.coalesce(F.get(F.col("p"), j + 1) - x, F.lit(window)))),
         F.lit(0).cast("long"),
         lambda a, x: a + x,
     )
-    return third.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return third.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def base_failed(least: int = MIN_WORDS, percent: int = MAX_REPEAT_PERCENT) -> Column:
     return (F.col("n_words") < least) | (100 * F.col("n_repeat_words") > percent * F.col("n_words"))
 
 
+def failures() -> dict[str, Column]:
+    """The rules whose failures are summed by host."""
+    return {
+        "base": F.col("base_failed"),
+        "symbols": 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("n_words"),
+        "lines": 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"),
+    }
+
+
 def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """(host, n_pages, n_failed, shrunk_rate, host_kept) from rows with host and base_failed."""
-    hosts = judged.groupBy("host").agg(F.count("*").alias("n_pages"), F.count_if("base_failed").alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_pages")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    weight = F.when(F.col("v") > 0, F.col("m") * (1 - F.col("m")) / F.nullif(F.col("v"), F.lit(0.0)) - 1).otherwise(F.lit(PRIOR_MOST))
-    m, w = prior.select("m", F.greatest(F.lit(PRIOR_LEAST), F.least(F.lit(PRIOR_MOST), weight)).alias("w")).first()
-    m = 0.0 if m is None else m  # an empty table
-    shrunk = (F.col("n_failed") + m * w) / (F.col("n_pages") + w)
-    return hosts.select("host", "n_pages", "n_failed", shrunk.alias("shrunk_rate"), (shrunk <= limit).alias("host_kept"))
+    """(host, n_pages, failed_<rule>, rate_<rule>, host_kept) from rows with host, base_failed and the counts. The prior is two numbers a rule."""
+    rules = failures()
+    hosts = judged.groupBy("host").agg(F.count("*").alias("n_pages"), *(F.count_if(c).alias(f"failed_{r}") for r, c in rules.items()))
+    raw = {r: F.col(f"failed_{r}") / F.col("n_pages") for r in rules}
+    moments = hosts.agg(*(f(x).alias(f"{name}_{r}") for r, x in raw.items() for name, f in (("m", F.avg), ("v", F.var_pop)))).first()
+    for r in rules:
+        m, v = moments[f"m_{r}"] or 0.0, moments[f"v_{r}"] or 0.0  # null: an empty table
+        weight = max(PRIOR_LEAST, min(PRIOR_MOST, m * (1 - m) / v - 1)) if v > 0 else PRIOR_MOST
+        hosts = hosts.withColumn(f"rate_{r}", (F.col(f"failed_{r}") + m * weight) / (F.col("n_pages") + weight))
+    return hosts.withColumn("host_kept", F.greatest(*(F.col(f"rate_{r}") for r in rules)) <= limit)
 
 
 def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The counts with base_failed, shrunk_rate and kept. The text is read once; the host sums read the written counts."""
+    """The counts with base_failed, host_kept and kept. The text is read once; the host sums read the written counts."""
     scratch = Scratch(docs.sparkSession, "rules")
     judged = scratch.put("counts", counts(docs, host).withColumn("base_failed", base_failed()))
-    hosts = scratch.put("hosts", host_verdicts(judged, limit)).withColumnRenamed("host", "of")
-    if hosts.count() <= BROADCAST_HOSTS:
-        hosts = F.broadcast(hosts)
-    out = judged.join(hosts, F.col("host").eqNullSafe(F.col("of")))
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
+    hosts = scratch.put("hosts", host_verdicts(judged, limit))
+    out, row = attach(judged, F.col("host"), hosts.select("host", "host_kept"), "host", BROADCAST_HOSTS, by=F.col("doc_id"))
+    return out.select(*judged.columns, F.col(row)["host_kept"].alias("host_kept")).withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -119,12 +133,13 @@ p AS (SELECT rid, least(8, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) -
 r AS (SELECT rid, sum(part)::bigint AS n_repeat_words FROM p GROUP BY rid),
 c AS (SELECT doc_id, source, len(words)::bigint AS n_words, length(array_to_string(words, ''))::bigint AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols,
-             (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines, coalesce(n_repeat_words, 0)::bigint AS n_repeat_words
+             len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines, coalesce(n_repeat_words, 0)::bigint AS n_repeat_words
       FROM w LEFT JOIN r USING (rid)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
-s AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM b GROUP BY source),
-q AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM s),
-k AS (SELECT m, CASE WHEN v > 0 THEN greatest(2.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS w FROM q),
-hv AS (SELECT source, (f + m * w) / (n + w) <= 0.5 AS ok FROM s, k)
+s AS (SELECT source, k AS rule, count(*) AS n, count(*) FILTER (WHERE CASE k WHEN 0 THEN base_failed WHEN 1 THEN 100 * n_symbols > 10 * n_words ELSE 100 * n_dup_lines > 30 * n_lines END) AS f
+      FROM b, range(3) AS r(k) GROUP BY source, k),
+q AS (SELECT rule, avg(f / n) AS m, var_pop(f / n) AS v FROM s GROUP BY rule),
+k AS (SELECT rule, m, CASE WHEN v > 0 THEN greatest(2.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS w FROM q),
+hv AS (SELECT source, bool_and((f + m * w) / (n + w) <= 0.5) AS ok FROM s JOIN k USING (rule) GROUP BY source)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept
 FROM b JOIN hv ON b.source IS NOT DISTINCT FROM hv.source"""
