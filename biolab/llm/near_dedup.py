@@ -2,7 +2,7 @@
 
 1. One pass over the texts hashes every distinct shingle with one hash function. A document keeps its
    set's size, a 128-bit signature of the whole set and its sketch, the ``K`` smallest hashes.
-2. Documents with one signature are a class; the smallest doc_id stands for it. Copies are never paired.
+2. Documents with one size and signature are a class, which gets a number; copies are never paired.
 3. The retained values are inverted. Two sets with Jaccard 0.75 share ``NEED`` of ``K`` retained values
    but for a chance under 1e-7 (binomial tail at K = 64), small sets more than that for sure. So of each
    sketch, in order of how many sketches hold a value, only the ``K - NEED + 1`` rarest values are
@@ -12,12 +12,17 @@
    Jaccard on full sets confirms the rest, and components are formed.
 5. Members of a list that are still in different components are met: those outside the list's largest
    component with the others, if their sizes allow a link. Members of long lists do this by the rarest
-   shingles of their full sets instead of the list. No link is lost, and neither a large group of near
-   copies nor a passage on many pages makes all its pairs.
+   shingles of their full sets instead of the list. Neither a large group of near copies nor a passage on many pages
+   makes all its pairs.
+
+So a link between sets of K shingles and more is missed with the chance that steps 3 and 4 name, and no other is. With ``exact``
+none is: step 5 then meets the full sets of all classes, whatever lists they share, and no estimate drops a pair of it.
 
 Defined cases: null, empty or blank texts have no shingles and are alone, as are rows with a null
 doc_id (their component is null and they are kept); rows that share a doc_id and a text are one
-member; ties are settled by the smallest doc_id; an empty table gives an empty result.
+member; a doc_id with several texts is one document that links what each of them links, and each row has its own text's
+n_shingles; ties are settled by the smallest doc_id; a very long text is hashed in pieces, its set in memory; an empty
+table gives an empty result; other columns are not read by ``near_duplicates`` and kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._joins import SALTS, columns, fresh, quoted, with_counts
 from ._scratch import Scratch
 from ._words import U, mix, shingle_sets, slices
 from .components import components
@@ -36,48 +42,44 @@ PERCENT = 75
 K = 64
 NEED = 27
 BATCH_BYTES = 1 << 20
-#: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond it that join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Up to so many rows (at most 60 bytes each, 30 MB) are broadcast to pick texts and to name classes; beyond it those joins shuffle.
+BROADCAST_ROWS = 500_000
 #: Members of longer lists that still mix components meet by their full sets' rarest shingles instead.
 LONG_LIST = 32
 #: Width of a bucket of set sizes, as a factor.
 SIZE_STEP = 1.05
+#: What rows of one class agree in: size and signature of the set.
+CLASS = ["n", "sig1", "sig2"]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _signatures(sets):
+    one = [int(mix(s + U(0x1234567)).sum()) if len(s) else 0 for s in sets]
+    two = [int(np.bitwise_xor.reduce(mix(s ^ U(0xABCDEF012345)))) if len(s) else 0 for s in sets]
+    return [pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(np.array(one, U))), pa.array(_signed(np.array(two, U)))]
+
+
+def _lists(sets):
+    ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    values = _signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
+
 def _sketch_batches(batches):
     for whole in batches:
         for batch in slices(whole, "text", BATCH_BYTES):
-            n, one, two, sketch, ends = [], [], [], [], [0]
-            for s in shingle_sets(batch.column(1), SHINGLE):
-                n.append(len(s))
-                one.append(int(mix(s + U(0x1234567)).sum()) if len(s) else 0)
-                two.append(int(np.bitwise_xor.reduce(mix(s ^ U(0xABCDEF012345)))) if len(s) else 0)
-                sketch.append(s[:K].copy())
-                ends.append(ends[-1] + min(K, len(s)))
-            values = _signed(np.concatenate(sketch)) if sketch else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n, pa.int64()),
-                    pa.array(_signed(np.array(one, U))),
-                    pa.array(_signed(np.array(two, U))),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)),
-                ],
-                names=["doc_id", "n", "sig1", "sig2", "sketch"],
-            )
+            sets = list(shingle_sets(batch.column(1), SHINGLE))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_signatures(sets), _lists([s[:K] for s in sets])], names=["doc_id", *CLASS, "sketch"])
 
 
 def _set_batches(batches):
     for whole in batches:
         for batch in slices(whole, "text", BATCH_BYTES):
             sets = list(shingle_sets(batch.column(1), SHINGLE))
-            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-            values = _signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["rep", "set"])
+            yield pa.RecordBatch.from_arrays([*_signatures(sets), _lists(sets)], names=[*CLASS, "set"])
 
 
 def need(n):
@@ -99,19 +101,29 @@ def size_bucket(n):
 
 
 class _Join:
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, exact: bool = False):
         self.scratch = Scratch(docs.sparkSession, "near")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        self.exact = exact
 
     def sketches(self) -> None:
+        """The rows' classes. A class has a number of its own, as one doc_id may be the smallest of two classes."""
         rows = self.docs.mapInArrow(_sketch_batches, "doc_id long, n long, sig1 long, sig2 long, sketch array<long>")
         rows = self.scratch.put("sketched", rows)
         self.members = self.scratch.put("members", rows.drop("sketch"))
         named = rows.filter("n > 0 and doc_id is not null")
-        classes = named.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"))
-        self.classes = self.scratch.put("classes", classes)
+        classes = named.groupBy(*CLASS).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch"))
+        self.classes = self.scratch.put("classes", classes.withColumn("rep", F.monotonically_increasing_id()))
         self.scratch.drop("sketched")
 
+    def several(self) -> DataFrame:
+        """Links (a, b) between the classes of one doc_id's different texts."""
+        named = self.members.filter("n > 0 and doc_id is not null")
+        two = named.groupBy("doc_id").agg(F.min("sig1").alias("low"), F.max("sig1").alias("high")).filter("low < high").select("doc_id")
+        of = named.join(two, "doc_id", "left_semi").join(self.classes.select(*CLASS, "rep"), CLASS).select("doc_id", "rep").distinct()
+        least = of.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        return self.scratch.put("several", of.join(least, "doc_id").select("a", F.col("rep").alias("b")).filter("a < b"))
+
     def lists(self) -> None:
         """(v, rep, n, m, centre, centre_n): the inverted values that two classes at least hold, with the list's length and centre.
 
@@ -119,8 +131,10 @@ class _Join:
         they are copies of.
         """
         held = self.classes.select("rep", F.explode("sketch").alias("v"))
-        often = held.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1")
-        shared = held.join(often, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs"), F.sum("f").alias("w"))
+        often = self.scratch.put("often", held.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1"))
+        total = often.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+        shared = with_counts(held, often, "v", "f", total)
+        shared = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs"), F.sum("f").alias("w"))
         sizes = self.classes.select("rep", "n", F.size("sketch").alias("k"))
         left = F.col("k") - need(F.col("n")) + 1 - (F.col("k") - F.size("vs"))  # values that nobody else holds come first
         rare = shared.join(sizes, "rep").select("rep", "n", "w", F.explode(F.slice("vs", F.lit(1), F.greatest(left, F.lit(0)))).alias("x"))
@@ -128,7 +142,7 @@ class _Join:
         centre = rare.groupBy("v").agg(F.count("*").alias("m"), F.max(F.struct("w", F.negative("rep").alias("r"), "n")).alias("c")).filter("m > 1")
         lists = rare.join(centre, "v").select("v", "rep", "n", "m", F.negative("c.r").alias("centre"), F.col("c.n").alias("centre_n"))
         self.list = self.scratch.put("lists", lists)
-        self.scratch.drop("rare")
+        self.scratch.drop("rare", "often")
 
     def estimate(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose union sketch agrees with a Jaccard of 0.75 but for a chance under 1e-7."""
@@ -139,11 +153,14 @@ class _Join:
         return both.filter(shared >= F.least(need(F.col("na")), need(F.col("nb")), F.lit(NEED))).select("a", "b")
 
     def sets(self) -> None:
-        """Full sets of the classes that share a list with another; one more pass over the texts."""
-        wanted = self.scratch.put("wanted", self.list.select(F.col("rep").alias("doc_id")).distinct())
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-        sets = self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_batches, "rep long, set array<long>")
-        self.full = self.scratch.put("sets", sets.dropDuplicates(["rep"]))
+        """Full sets of the classes that share a list with another (of all, if exact); one more pass over the texts."""
+        wanted = self.classes if self.exact else self.classes.join(self.list.select("rep").distinct(), "rep", "left_semi")
+        wanted = self.scratch.put("wanted", wanted.select("rep", "least", *CLASS))
+        ids = wanted.select(F.col("least").alias("doc_id")).distinct()
+        ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
+        sets = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_set_batches, "n long, sig1 long, sig2 long, set array<long>")
+        self.full = self.scratch.put("sets", sets.dropDuplicates(CLASS).join(wanted, CLASS).select("rep", "set"))
+        self.scratch.drop("wanted")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         side = lambda name: self.full.select(F.col("rep").alias(name), F.col("set").alias(f"s{name}"))
@@ -199,11 +216,17 @@ class _Join:
         """Links between members of a list that are in different components after the first round."""
         label = first.select(F.col("node").alias("rep"), F.col("component").alias("c"))
         lists = self.list.join(label, "rep", "left").select("v", "rep", "n", "m", F.coalesce("c", "rep").alias("c"), F.lit(0).alias("own"), F.col("n").alias("rest"))
-        parts = lists.filter(F.col("m") > LONG_LIST).groupBy("v").agg((F.min("c") < F.max("c")).alias("mixed")).filter("mixed")
-        long = self.scratch.put("long", lists.join(parts, "v", "left_semi").select("rep", "n", "c").distinct())
+        if self.exact:
+            long = self.classes.select("rep", "n").join(label, "rep", "left").select("rep", "n", F.coalesce("c", "rep").alias("c"))
+        else:
+            parts = lists.filter(F.col("m") > LONG_LIST).groupBy("v").agg((F.min("c") < F.max("c")).alias("mixed")).filter("mixed")
+            long = lists.join(parts, "v", "left_semi").select("rep", "n", "c").distinct()
+        long = self.scratch.put("long", long)
         near = self.meet("short", lists.filter(F.col("m") <= LONG_LIST).drop("m"), ["v"])
         far = self.meet("long", self.prefixes(long), ["h", "low", "high"])
         done = self.scratch.get("stars", near)
+        if self.exact:  # pairs that the estimate dropped before are among these
+            return self.scratch.put("links2", self.confirm(near.unionByName(far).distinct()))
         pairs = self.scratch.put("pairs", near.unionByName(far).distinct().join(done, ["a", "b"], "left_anti"))
         return self.scratch.put("links2", self.confirm(self.estimate(pairs)))
 
@@ -211,33 +234,44 @@ class _Join:
         self.sketches()
         self.lists()
         self.sets()
-        one = self.stars()
+        several = self.several()
+        one = self.stars().unionByName(several)
         first = self.scratch.put("first", components(one))
         two = self.across(first)
         final = self.scratch.put("final", components(one.unionByName(two)))
-        self.scratch.drop("sets", "lists", "long", "short-pairs", "long-pairs", "pairs", "stars")
-        names = self.classes.select("n", "sig1", "sig2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-        names = names.select("n", "sig1", "sig2", F.coalesce("component", "rep").alias("class_component"))
-        out = self.members.join(names, ["n", "sig1", "sig2"], "left")
-        component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("class_component", "doc_id"))
-        return out.select(
+        self.scratch.drop("sets", "lists", "long", "short-pairs", "long-pairs", "pairs", "stars", "links1", "links2", "first", "several")
+        # a component is named after its smallest doc_id; only classes of several rows or of a component need the name
+        named = self.classes.select(*CLASS, "rep", "least", "copies").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+        least = named.filter("component is not null").groupBy("component").agg(F.min("least").alias("first_id"))
+        names = named.filter("copies > 1 or component is not null").join(least, "component", "left").select(*CLASS, F.coalesce("first_id", "least").alias("class_component"))
+        names = self.scratch.put("names", names)
+        self.scratch.drop("classes", "final")
+        rows = self.members.filter("n > 0 and doc_id is not null")
+        if names.count() <= BROADCAST_ROWS:
+            out = rows.join(F.broadcast(names), CLASS, "left")
+        else:  # the rows of a class that very many have are dealt to SALTS parts
+            salted = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*CLASS, "salt"], "left")
+        out = out.select("doc_id", "n", F.coalesce("class_component", "doc_id").alias("component"))
+        alone = self.members.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
+        return out.unionByName(alone).select(
             "doc_id",
             F.col("n").alias("n_shingles"),
-            component.cast("long").alias("component_id"),
-            F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+            F.col("component").alias("component_id"),
+            F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"),
         )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, ...)."""
-    return _Join(docs).run()
+def near_duplicates(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, ...). ``exact``: no link is missed by any chance."""
+    return _Join(docs, exact).run()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group; rows that share a kept doc_id and rows with a null doc_id stay."""
-    scratch = Scratch(docs.sparkSession, "gone")
-    gone = scratch.put("ids", near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    scratch, name = Scratch(docs.sparkSession, "gone"), fresh(docs, "_gone")
+    gone = scratch.put("ids", near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, quoted("doc_id") == F.col(name), "left_anti").select(*columns(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

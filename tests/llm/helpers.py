@@ -1,13 +1,15 @@
 import pandas as pd
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, rep string, n long, size long"
+#: Names that operators use or might use for columns of their own.
+CLASHES = "_of _drop _mix _row _ROW_ _gone _page _copies _leak _salt a.b host h hs page item_id of part sets sketch at fill level kept score".split()
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, rep string, n long, size long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 
 
 def documents(spark, texts, sources=None, ids=None):
     """A documents table with extra columns whose names clash with those that operators use."""
     ids = list(range(len(texts))) if ids is None else ids
     sources = [f"s{i % 3}" for i in range(len(texts))] if sources is None else sources
-    rows = [(i, t, "en", s, len(t or ""), "x", 1, 2) for i, t, s in zip(ids, texts, sources)]
+    rows = [(i, t, "en", s, len(t or ""), "x", 1, 2, *CLASHES) for i, t, s in zip(ids, texts, sources)]
     return spark.createDataFrame(rows, COLUMNS)
 
 

@@ -8,9 +8,9 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from biolab.llm import decontaminate, line_dedup, mixing, quality_rules
+from biolab.llm import _joins, decontaminate, line_dedup, mixing, quality_rules
 
-from .helpers import EDGE, WORDS, collected, documents
+from .helpers import CLASHES, EDGE, WORDS, collected, documents
 
 
 def words(t):
@@ -36,9 +36,15 @@ def corpus(seed=1, n=80):
     return out
 
 
+def runs(t, lengths):
+    w = [x.lower() for x in words(t)]
+    return {tuple(w[i : i + k]) for k in lengths for i in range(len(w) - k + 1)}
+
+
 def test_decontaminate_equals_brute_force(spark):
     rng = random.Random(2)
     items = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(3, 70))) for _ in range(25)] + [None, "", "short one"]
+    lengths = {len(words(t)) for t in items} & {1, 2, 3, 4}
     texts = EDGE + ["short one", "Short  ONE", "not short one"]
     for _ in range(60):
         w = words(rng.choice(items))
@@ -52,7 +58,7 @@ def test_decontaminate_equals_brute_force(spark):
     want = {}
     for i, t in enumerate(texts):
         for j, u in enumerate(items):
-            a, b = grams(t), grams(u)
+            a, b = grams(t) | runs(t, lengths), grams(u)
             if b and 100 * len(a & b) >= 75 * len(b):
                 want[i, j] = (len(a & b), len(b))
     assert got == want and len(want) > 20
@@ -61,6 +67,67 @@ def test_decontaminate_equals_brute_force(spark):
     assert decontaminate.find(docs.limit(0), bench).count() == 0 == decontaminate.find(docs, bench.limit(0)).count()
 
 
+def test_sketches_decide_and_save_work(spark, monkeypatch):
+    """What the sketches don't nominate isn't found, and they meet fewer rows than whole item sets would."""
+    rng = random.Random(7)
+    item = " ".join(rng.choice(WORDS) for _ in range(100))
+    docs = documents(spark, [item, item + " more", " ".join(WORDS)])
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    items = decontaminate.item_table(bench)
+    assert items.filter("in_sketch").count() < 0.45 * items.count()
+    assert decontaminate.find(docs, bench).count() == 2
+    whole = decontaminate.candidates
+    monkeypatch.setattr(decontaminate, "candidates", lambda *a: whole(*a).filter("doc_id <> 1"))
+    assert [r.doc_id for r in decontaminate.find(docs, bench).collect()] == [0]
+
+
+def test_each_row_is_judged_by_its_own_text(spark):
+    words_ = [f"z{i}" for i in range(24)]
+    halves = [" ".join(words_[:14]), " ".join(words_[10:])]
+    bench = spark.createDataFrame([(0, " ".join(words_)), (1, "z3 z4")], "item_id long, text string")
+    docs = documents(spark, [*halves, *halves, " ".join(words_), " ".join(words_)], ids=[None, None, 4, 4, None, 7])
+    got = sorted((r.doc_id or -1, r.item_id, r.n_shared) for r in decontaminate.find(docs, bench).collect())
+    assert got == [(-1, 0, 20), (-1, 1, 1), (-1, 1, 1), (4, 1, 1), (7, 0, 20), (7, 1, 1)]
+    assert sorted(r.doc_id or -1 for r in decontaminate.remove(docs, bench).collect()) == [-1, 4]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_attach_salts_what_is_too_large_to_broadcast(spark, how):
+    docs = documents(spark, ["t"] * 50, [None if i % 5 == 0 else f"s{i % 4}" for i in range(50)])
+    table = spark.createDataFrame([(None, 1), ("s1", 2), ("s2", 3)], "of string, v long")
+    wide, small = (_joins.attach(docs, docs["source"], table, "of", most, how) for most in (0, 10))
+    assert wide[1] == small[1] == "_row__" and wide[0].columns == small[0].columns == [*docs.columns, "_row__"]
+    rows = lambda x: sorted((r["doc_id"], None if r["_row__"] is None else r["_row__"]["v"]) for r in x[0].collect())
+    assert rows(wide) == rows(small) and len(rows(wide)) == (50 if how == "left" else 50 - sum(i % 5 > 0 and i % 4 in (0, 3) for i in range(50)))
+
+
+def test_extra_columns_stay_as_they_are(spark, monkeypatch):
+    docs = documents(spark, ["a b c\nfooter"] * 3 + EDGE)
+    bench = spark.createDataFrame([(0, "no such item in here at all")], "item_id long, text string")
+    for most in (100_000, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_HOSTS", most)
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+        monkeypatch.setattr(quality_rules, "BROADCAST_HOSTS", most)
+        for out in (line_dedup.dedup(docs, most=0.5), decontaminate.remove(docs, bench), mixing.mix(docs)):
+            rows = out.collect()
+            assert rows and all([r[c] for c in CLASHES] == CLASHES for r in rows)
+        assert quality_rules.judge(docs).count() == docs.count()
+    again = mixing.mix(mixing.mix(docs))
+    assert again.columns[-2:] == ["mix_copy", "mix_copy_"] and again.count()
+
+
+def test_repeated_rows_and_ties(spark):
+    text = " ".join(WORDS[:30])
+    docs = documents(spark, [text] * 4 + [text + "\nx"] * 2, ["a"] * 6, ids=[1, 1, 2, 2, 3, 3])
+    bench = spark.createDataFrame([(5, text), (6, text)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find(docs, bench).collect()) == [(d, i) for d in (1, 2, 3) for i in (5, 6)]
+    copies = [(r.doc_id, r.copies) for r in mixing.plan(docs).collect()]
+    assert len(copies) == 6 and len(set(copies)) == 3  # repeated rows draw alike
+    judged = quality_rules.judge(docs).collect()
+    assert len(judged) == 6 and len({r.n_words for r in judged if r.doc_id < 3}) == 1
+    assert [r.text for r in line_dedup.dedup(docs, min_pages=2, ratio=0.4).filter("doc_id = 3").collect()] == ["x", "x"]
+
+
 def fill(total, shares, caps):
     """Water filling by raising the level through the caps, one source at a time."""
     open_, held = set(range(len(caps))), 0.0
@@ -98,6 +165,23 @@ def test_mixing(spark):
     assert mixing.plan(docs.limit(0)).count() == 0 == mixing.mix(docs.limit(0)).count()
 
 
+@pytest.mark.parametrize("n", [1, 40, 400])
+def test_water_filling_is_exact_for_any_number_of_sources(spark, n):
+    rng = random.Random(n)
+    sizes = [rng.choice([0, 1, 5, 5, 100, 10**6]) for _ in range(n)]
+    table = spark.createDataFrame([(f"s{i:04}", s, i) for i, s in enumerate(sizes)], "source string, source_size long, rank long")
+    got = [r.target for r in mixing.targets(table, mixing.Scratch(spark, "t")).orderBy("rank").collect()]
+    assert got == pytest.approx(fill(1.5 * sum(sizes), [(3, 1, 2)[k % 3] for k in range(n)], [2.0 * s for s in sizes]))
+
+
+def test_a_copy_is_drawn_with_the_probability_of_the_fraction(spark):
+    ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    for rate in (0.25, 1.6):
+        got = ids.select(mixing.copies_of(mixing.F.lit(rate)).alias("n")).groupBy("n").count().collect()
+        share = {r["n"]: r["count"] / 20_000 for r in got}
+        assert set(share) == {int(rate), int(rate) + 1} and abs(share[int(rate) + 1] - rate % 1) < 0.015
+
+
 def rules(t):
     w = words(t)
     windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))

@@ -65,6 +65,35 @@ def test_null_ids_repeated_rows_and_empty(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_a_doc_id_with_two_texts_links_what_each_text_links(spark):
+    one, two = list(WORDS[:50]), list(WORDS[100:150])
+    near = lambda w: " ".join([*w[:49], "changed"])
+    docs = documents(spark, [" ".join(one), " ".join(two), near(one), near(two)], ids=[1, 1, 2, 3])
+    got = near_dedup.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+
+
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_exact_mode_needs_no_sketch(spark, monkeypatch, broadcast):
+    """With sketches that retain far too little the plain mode may miss links; the exact one gives the brute-force result."""
+    monkeypatch.setattr(near_dedup, "K", 8)
+    monkeypatch.setattr(near_dedup, "NEED", 7)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", broadcast)
+    texts = EDGE + variants(5)
+    got = collected(near_dedup.near_duplicates(documents(spark, texts), exact=True), "doc_id")
+    assert list(zip(got.n_shingles, got.component_id)) == brute(texts)
+
+
+def test_a_value_in_very_many_sketches_is_broadcast(spark, monkeypatch):
+    from biolab.llm import _joins
+
+    monkeypatch.setattr(_joins, "HOT", 1)
+    rows = spark.createDataFrame([(1, i) for i in range(1500)] + [(2, 1), (2, 2), (3, 1)], "v long, x long")
+    counts = rows.groupBy("v").count().filter("count > 1")
+    got = _joins.with_counts(rows, counts, "v", "count", 1500)
+    assert sorted(map(tuple, got.groupBy("v", "count").count().toDF("v", "n", "rows").collect())) == [(1, 1500, 1500), (2, 2, 2)]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
