@@ -2,7 +2,7 @@
 
 1. One pass over the texts hashes every distinct shingle with one hash function. A document keeps its
    set's size, a 128-bit signature of the whole set and its sketch, the ``K`` smallest hashes.
-2. Documents with one size and signature are a class, which gets a number; copies are never paired.
+2. Documents with one size and signature are a class, which goes by its smallest doc_id; copies are never paired.
 3. The retained values are inverted. Two sets with Jaccard 0.75 share ``NEED`` of ``K`` retained values
    but for a chance under 1e-7 (binomial tail at K = 64), small sets more than that for sure. So of each
    sketch, in order of how many sketches hold a value, only the ``K - NEED + 1`` rarest values are
@@ -107,14 +107,21 @@ class _Join:
         self.exact = exact
 
     def sketches(self) -> None:
-        """The rows' classes. A class has a number of its own, as one doc_id may be the smallest of two classes."""
+        """The rows' classes. A class goes by its smallest doc_id; where a doc_id is the smallest of several classes (of its
+        several texts), all but one of them get numbers below all doc_ids."""
         rows = self.docs.mapInArrow(_sketch_batches, "doc_id long, n long, sig1 long, sig2 long, sketch array<long>")
         rows = self.scratch.put("sketched", rows)
         self.members = self.scratch.put("members", rows.drop("sketch"))
         named = rows.filter("n > 0 and doc_id is not null")
         classes = named.groupBy(*CLASS).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch"))
-        self.classes = self.scratch.put("classes", classes.withColumn("rep", F.monotonically_increasing_id()))
-        self.scratch.drop("sketched")
+        classes = self.scratch.put("found", classes)
+        twice = classes.groupBy("least").agg(F.min("sig1").alias("low"), F.count("*").alias("k")).filter("k > 1")
+        twice = self.scratch.put("twice", twice.select(F.col("least").alias("of"), "low"))
+        below = F.lit(min(0, classes.agg(F.min("least")).first()[0] or 0) - 1) - F.monotonically_increasing_id()
+        classes = classes.join(twice, F.col("least") == F.col("of"), "left")
+        rep = F.when(F.col("sig1") > F.col("low"), below).otherwise(F.col("least"))
+        self.classes = self.scratch.put("classes", classes.withColumn("rep", rep).drop("of", "low"))
+        self.scratch.drop("sketched", "found", "twice")
 
     def several(self) -> DataFrame:
         """Links (a, b) between the classes of one doc_id's different texts."""
