@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Parts that the rows of one key are dealt to where its table is too large to broadcast.
 SALTS = 32
@@ -54,3 +55,10 @@ def with_counts(rows: DataFrame, counts: DataFrame, key: str, n: str, total: int
     hot = F.broadcast(counts.filter(F.col(n) > limit))
     cold = rows.join(hot.select(key), key, "left_anti").join(counts.filter(F.col(n) <= limit), key)
     return cold.unionByName(rows.join(hot, key))
+
+
+def map_batches(docs: DataFrame, batches) -> DataFrame:
+    """``docs.mapInArrow`` with a function that keeps all columns; it sees them as c0, c1, ..., so any names go."""
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    schema = StructType([StructField(c, f.dataType) for c, f in zip(plain, docs.schema)])
+    return docs.toDF(*plain).mapInArrow(batches, schema).toDF(*docs.columns)
