@@ -20,8 +20,14 @@ nothing stands before, keep their number of times, and a text's first word is sc
 order interpolates with 1 / (V + 1), which is also what an unknown word gets. Words are lower-cased runs without white
 space; an end follows the last word.
 
+Discounts come from how many entries have count 1 to 4. Where such a number is 0 the formula has no value, and 0.5, 1.0, 1.5 stand
+for it; a discount for count k is kept between 0.05 k and 0.95 k, as small corpora can give values outside that would make
+probabilities negative or let lower orders vanish.
+
 Defined cases: a null or empty text is one end; without training rows the model is uniform (V = 0,
-probability 1); a null doc_id is a training row; repeated rows count as often as they occur.
+probability 1); a null doc_id is a training row; repeated rows count as often as they occur; words whose hashes tie are one word
+(a chance of 2^-64 a pair); a very long text is hashed in pieces and scored as a whole, in memory; an empty table gives an empty
+result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,12 +1,13 @@
 """Token counts of a byte-level BPE, by the whole-token shortcut.
 
-Once per process, every vocabulary string is run through the merges; those that come out as one token
-are proven whole. A text is cut into pre-tokens by the tokenizer's own pattern; a pre-token that is a
+Before a job, on the driver, every vocabulary string is run through the merges; those that come out as one token
+are proven whole, and the proven table (at most the vocabulary, some 0.5 MB) is broadcast. A text is cut into pre-tokens by the tokenizer's own pattern; a pre-token that is a
 proven string counts one, and only the rest is merged, with a bounded cache. Nothing is truncated or
 padded; strings of added tokens inside a text count as the one token the library makes of them.
 
 Defined cases: a null text is empty and has 0 tokens; texts of any length are cut at spaces between
-letters, where a pre-token always starts; repeated rows are counted alike; other columns are not read.
+letters, where a pre-token always starts; repeated rows are counted alike; merges that tie in rank go from the left; an empty table gives
+an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,10 +38,17 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def decoded(raw: bytes) -> str | None:
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 class Counter(dict):
     """Pre-token -> number of tokens; missing ones are merged and kept up to a bound."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, proven: list[str] | None = None):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         kind = model["pre_tokenizer"]
@@ -54,17 +62,11 @@ class Counter(dict):
             self.rank[raw(left), raw(right)] = i
         added = {x["content"] for x in model.get("added_tokens", [])}
         self.added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        for s in model["model"]["vocab"]:
-            if s in added:
-                continue
-            b = raw(s)
-            try:
-                text = b.decode()
-            except UnicodeDecodeError:
-                continue
-            if self.merged(b) == 1:
-                self[text] = 1
-        self.proven = dict(self)
+        if proven is None:
+            texts = ((s, decoded(raw(s))) for s in model["model"]["vocab"] if s not in added)
+            proven = [t for s, t in texts if t is not None and self.merged(raw(s)) == 1]
+        self.proven = dict.fromkeys(proven, 1)
+        self.update(self.proven)
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 
@@ -148,15 +150,28 @@ class Counter(dict):
 
 
 @cache
-def counter(path: str) -> Counter:
-    return Counter(path)
+def proven_table(path: str) -> list[str]:
+    """The vocabulary strings that encode alone as one token."""
+    return list(Counter(path).proven)
+
+
+_counters: dict[str, Counter] = {}
+
+
+def counter(path: str, proven) -> Counter:
+    """A process's counter; ``proven`` is the broadcast table."""
+    if path not in _counters:
+        _counters[path] = Counter(path, proven.value)
+    return _counters[path]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit). ``path`` is where the vocabulary file is on every machine."""
+    """(doc_id, n_bytes, n_tokens, over_limit). ``path`` is where the vocabulary file is on the driver and every machine."""
+
+    proven = docs.sparkSession.sparkContext.broadcast(proven_table(path))
 
     def batches(rows):
-        count = counter(path).count
+        count = counter(path, proven).count
         for whole in rows:
             for batch in slices(whole, "text"):
                 _, offsets = text_bytes(batch.column(1))
