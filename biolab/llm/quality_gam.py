@@ -11,7 +11,9 @@ documented bound: only these texts are met in training; all texts are scored).
 
 Defined cases: null and empty texts have all features 0 and get the score of that bin; without labels
 (or labels of one value) every score is the smoothed share of label 1, 0.5 if there are none; a
-doc_id with several labels counts as its smallest; rows that repeat are scored alike.
+doc_id with several labels counts as its smallest; rows that repeat are scored alike; trees that tie split at the first bin; words
+of a very long text are handled as a whole, in memory; an empty table gives an empty result; other columns are not read by ``score``
+and kept by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._joins import map_batches
 from ._words import gram_hashes, slices, text_bytes, word_hashes
 
 HELD_OUT = 2
@@ -241,10 +244,10 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
     def batches(rows):
         for whole in rows:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, f"c{where}"):
                 yield batch.filter(pa.array(model.score(features(batch.column(where))) >= threshold))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return map_batches(docs, batches)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
