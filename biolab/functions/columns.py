@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
@@ -19,6 +19,15 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def once(*cols) -> Column:
+    """The columns as one generated row: what uses them later doesn't compute them again, as it may where projections are merged."""
+    return F.inline(F.array(F.struct(*cols)))
+
+
 def to_double(c: Column) -> Column:
     return F.when(c.rlike(FLOAT), c.try_cast("double"))
 
@@ -62,6 +71,13 @@ def parse_number(raw: Column) -> Column:
     return F.struct(value.alias("value"), F.when(got, ambiguous).alias("ambiguous"), F.when(got, strategy).alias("strategy"))
 
 
+def with_number(df: DataFrame, raw: str, **more: Column) -> DataFrame:
+    """Adds value, number_ambiguous and strategy of the column ``raw``, as of ``parse_number``, and ``more``, all computed once."""
+    kept, n = [quoted(c) for c in df.columns], parse_number(quoted(raw))
+    added = {"value": n["value"], "number_ambiguous": n["ambiguous"], "strategy": n["strategy"], **more}
+    return df.select(*kept, *(c.alias(k) for k, c in added.items())).select(*kept, once(*added))
+
+
 def parse_number_with_hint(raw: Column, typical_max: Column) -> Column:
     """As ``parse_number``; an ambiguous reading far from a typical maximum is read the other way if that fits it."""
     n = parse_number(raw)

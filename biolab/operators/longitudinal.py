@@ -1,4 +1,4 @@
-"""Questions over time: latest value, history, trend, comparison, counts. (Designed, never built, in the reference.)"""
+"""Questions over time: latest value, history, trend, comparison, counts; and the store of patients, sessions and markers."""
 
 from __future__ import annotations
 
@@ -34,3 +34,48 @@ def compare(df: DataFrame, keys: list[str], when: str, value: str, tie: str, sta
 def stats(df: DataFrame) -> DataFrame:
     """Patients, sessions, records: plain counts of distinct values, which Spark splits into partial aggregates."""
     return df.agg(F.countDistinct("patient_id").alias("patients"), F.countDistinct("doc_id").alias("sessions"), F.count("*").alias("records"))
+
+
+def store(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(patients, sessions, markers) of resolved rows with patient_id, doc_id and date: a session is a document."""
+    patients = df.select(F.col("patient_id").alias("id")).distinct().select("id", F.concat(F.lit("patient-"), "id").alias("slug"), F.lit(False).alias("archived"))
+    sessions = df.groupBy(F.col("doc_id").alias("id")).agg(F.min("patient_id").alias("patient_id"), F.min("date").alias("date"), F.lit("measurements").alias("source"))
+    markers = df.filter("resolved and value is not null").select(F.col("doc_id").alias("session_id"), F.col("ord").alias("id"), F.col("raw_name").alias("name"), "standardized_name", "value", "unit")
+    return patients, sessions, markers
+
+
+def archive(patients: DataFrame, ids: list) -> DataFrame:
+    """Marks patients as archived; nothing is removed."""
+    return patients.withColumn("archived", F.col("archived") | F.col("id").isin(ids))
+
+
+def listed(patients: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(id, slug, n_sessions, last_date) of the patients that aren't archived."""
+    seen = sessions.groupBy("patient_id").agg(F.count("*").alias("n_sessions"), F.max("date").alias("last_date"))
+    kept = patients.filter("not archived").join(seen, F.col("id") == F.col("patient_id"), "left")
+    return kept.select("id", "slug", F.coalesce("n_sessions", F.lit(0)).alias("n_sessions"), "last_date")
+
+
+def export(patients: DataFrame, sessions: DataFrame, markers: DataFrame, only_latest: bool = False) -> DataFrame:
+    """(patient_id, slug, date, session_id, id, standardized_name, value, unit) of patients that aren't archived; the last of each marker if asked."""
+    of = sessions.select(F.col("id").alias("session_id"), "patient_id", "date")
+    who = patients.filter("not archived").select(F.col("id").alias("patient_id"), "slug")
+    df = markers.join(of, "session_id").join(who, "patient_id")
+    df = df.select("patient_id", "slug", "date", "session_id", "id", "standardized_name", "value", "unit")
+    if not only_latest:
+        return df
+    return latest(df.withColumn("tie", F.struct("session_id", "id")), ["patient_id", "standardized_name"], "date", ["slug", "session_id", "id", "value", "unit"], "tie")
+
+
+def summary(exported: DataFrame) -> DataFrame:
+    """(patient_id, n_markers, n_values, first_date, last_date) of an export."""
+    return exported.groupBy("patient_id").agg(
+        F.countDistinct("standardized_name").alias("n_markers"), F.count("*").alias("n_values"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
+    )
+
+
+def out_of_range(df: DataFrame) -> DataFrame:
+    """Adds ``flagged``: outside the usual or the possible band of the marker in its unit; false without a band."""
+    from biolab.operators.validate import plausibility
+
+    return plausibility(df).withColumn("flagged", F.coalesce(F.col("plausible") != "ok", F.lit(False))).drop("plausible")

@@ -99,3 +99,66 @@ def patients(page_rows: DataFrame) -> DataFrame:
     """(doc_id, n_ids, first_id, single): a document with two identity numbers is refused."""
     ids = page_rows.select("doc_id", "page", columns.patient_id(F.col("text")).alias("id"))
     return ids.groupBy("doc_id").agg(F.countDistinct("id").alias("n_ids"), F.min_by("id", F.when(F.col("id").isNotNull(), F.col("page"))).alias("first_id")).withColumn("single", F.col("n_ids") <= 1)
+
+
+def page_results(docs: DataFrame, start, limit: int = 30_000) -> DataFrame:
+    """(doc_id, page, was_split, error, answers) of every page of (doc_id, content): an outside extractor's answers to its blocks.
+
+    Dense pages are cut into blocks, which makes the page ``was_split``; the errors of a page's blocks are joined. ``start`` as of
+    ``files.extract``.
+    """
+    from biolab.sources import files
+
+    blocks = split_dense(pages(docs), limit)
+    got = files.extract(blocks, start)
+    of = got.groupBy("doc_id", "page").agg(
+        (F.count("*") > 1).alias("was_split"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("block", "error")))), lambda x: x["error"]), "; ").alias("error"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("answer").isNotNull(), F.struct("block", "answer")))), lambda x: x["answer"]).alias("answers"),
+    )
+    return of.withColumn("error", F.nullif("error", F.lit("")))
+
+
+def page_markers(results: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, page, ord, name, value, comparator, unit, reference_range, flagged, source_text, verified) of the pages' answers.
+
+    Markers of a page that failed without being split are left out. Each is held against the text of its page, which is looked up
+    by number; one whose value isn't near its name there isn't ``verified``.
+    """
+    from biolab.operators import answers
+
+    usable = results.filter(F.col("error").isNull() | F.col("was_split"))
+    each = usable.select("doc_id", "page", F.posexplode("answers").alias("block", "answer"))
+    items = each.select("doc_id", "page", "block", F.posexplode(answers.items(F.col("answer"))).alias("k", "x")).select("doc_id", "page", "block", "k", "x.*")
+    read = items.select("*", columns.once(answers.coerced(F.col("value"), F.col("comparator")).alias("c")))
+    text = pages(docs).withColumnRenamed("text", "page_text")
+    both = read.join(text, ["doc_id", "page"], "left")
+    near = answers.near(F.coalesce("page_text", F.lit("")), F.col("c.written"), F.col("name"))
+    order = Window.partitionBy("doc_id").orderBy("page", "block", "k")
+    return both.select(
+        "doc_id", "page", F.row_number().over(order).alias("ord"), "name", F.col("c.value").alias("value"), F.col("c.comparator").alias("comparator"),
+        columns.normalize_unit(F.coalesce("unit", F.lit(""))).alias("unit"), "reference_range", F.coalesce("flagged", F.lit(False)).alias("flagged"), "source_text", (near & F.col("c.value").isNotNull()).alias("verified"),
+    )
+
+
+def page_conflicts(read: DataFrame) -> DataFrame:
+    """(doc_id, standardized_name, candidates) of markers that pages give different values of.
+
+    ``read`` has doc_id, page, ord, raw_name, value, standardized_name, and raw_unit_norm, the unit as given, before any is inferred.
+    The first reading counts: later ones with its value and unit are repeats and no candidates. Comparators aren't looked at.
+    """
+    rows = read.filter("standardized_name is not null and value is not null")
+    first = rows.groupBy("doc_id", "standardized_name").agg(F.min("ord").alias("first_ord"))
+    marked = rows.join(first, ["doc_id", "standardized_name"])
+    of_first = marked.filter("ord = first_ord").select("doc_id", "standardized_name", F.col("value").alias("v0"), F.col("raw_unit_norm").alias("u0"))
+    other = (F.abs(F.col("value") - F.col("v0")) >= 0.0001) | (F.col("raw_unit_norm") != F.col("u0"))
+    keep = marked.join(of_first, ["doc_id", "standardized_name"]).filter((F.col("ord") == F.col("first_ord")) | other)
+    each = F.sort_array(F.collect_list(F.struct("ord", "raw_name", "value", F.col("raw_unit_norm").alias("unit"), "page")))
+    return keep.groupBy("doc_id", "standardized_name").agg(each.alias("candidates")).filter(F.size("candidates") > 1)
+
+
+def page_statuses(results: DataFrame, markers: DataFrame) -> DataFrame:
+    """(doc_id, page, status, error, marker_count): a split page is partial, one with an error failed."""
+    n = markers.groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+    status = F.when(F.col("was_split"), "partial").when(F.col("error").isNotNull(), "failed").otherwise("ok")
+    return results.join(n, ["doc_id", "page"], "left").select("doc_id", "page", status.alias("status"), "error", F.coalesce("n", F.lit(0)).alias("marker_count"))

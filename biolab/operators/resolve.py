@@ -1,7 +1,8 @@
 """Name resolution against the catalog: exact alias, normalised alias, ambiguous names by unit and value.
 
-Distinct raw names are normalised once. The catalog has a few thousand names at most (its size is that
-of a file read on the driver), so its tables are broadcast and measurements are never shuffled.
+Distinct raw names are normalised and looked up once, if they are few (a count decides), and the table of them is broadcast; else,
+and on streams, names that no exact alias settles are normalised row by row. The catalog's tables are broadcast where the
+number of its names proves them small. Measurements are never shuffled by name, however common a name is.
 """
 
 from __future__ import annotations
@@ -13,10 +14,15 @@ from biolab.functions import columns
 from biolab.sources import catalog
 
 
+#: Up to so many names of the catalog (a few hundred bytes each) are broadcast; beyond it the planner decides.
+BROADCAST_NAMES = 200_000
+#: Up to so many distinct raw names (some 500 bytes each with what they resolve to) reach the driver and are broadcast.
+FEW_NAMES = 50_000
+
+
 def parsed(m: DataFrame) -> DataFrame:
     """Adds value, comparator, unit (canonical) and drops nothing; value is null where there is no number."""
-    n, c = columns.parse_number(F.col("raw_value")), columns.split_comparator(F.col("raw_value"))
-    return m.select("*", n["value"].alias("value"), n["ambiguous"].alias("number_ambiguous"), n["strategy"].alias("strategy"), c["comparator"].alias("comparator"), columns.normalize_unit(F.col("raw_unit")).alias("unit"))
+    return columns.with_number(m, "raw_value", comparator=columns.split_comparator(F.col("raw_value"))["comparator"], unit=columns.normalize_unit(F.col("raw_unit")))
 
 
 def _compatible(unit: Column, forms: Column, allowed: Column) -> Column:
@@ -35,29 +41,38 @@ def _candidate(candidates: Column, unit: Column, value: Column) -> Column:
     return F.get(fits, 0)["id"]
 
 
-def resolve(m: DataFrame, path: str | None = None) -> DataFrame:
+def resolve(m: DataFrame, path: str | None = None, names: DataFrame | None = None) -> DataFrame:
     """Adds standardized_name, display_name, category, confidence, method, resolved, final unit and unit_status.
 
     ``m`` has raw_name, value and unit. An exact alias must allow the unit, unless the name is ambiguous; then
-    the first candidate that fits decides, and the default is marked ambiguous if none does.
+    the first candidate that fits decides, and the default is marked ambiguous if none does. ``names``: a table that has
+    all raw names of ``m`` as raw_name and is cheap to read for them; without it they are looked up row by row.
     """
     spark: SparkSession = m.sparkSession
     rows, amb = catalog.entries(path)
+    small = F.broadcast if sum(len(r[5]) + 5 for r in rows) + len(amb) <= BROADCAST_NAMES else lambda df: df
     marker = catalog.markers(spark, rows).select("id", "display_name", "category", "allowed_units", "unit_forms")
     alias, ambiguous = catalog.aliases(spark, rows), catalog.ambiguous(spark, amb)
-    hit = alias.join(marker, "id").join(ambiguous.withColumnRenamed("ambiguous_name", "alias"), "alias", "left")
-    entry = F.broadcast(hit.select("alias", F.struct("id", "allowed_units", "unit_forms", "candidates").alias("e")))
-    names = m.select("raw_name").distinct().select("raw_name", F.lower(columns.trim(F.col("raw_name"))).alias("low"), columns.normalize_name(F.col("raw_name")).alias("norm"))
+    hit = alias.join(small(marker), "id").join(small(ambiguous.withColumnRenamed("ambiguous_name", "alias")), "alias", "left")
+    entry = hit.select("alias", F.struct("id", "allowed_units", "unit_forms", "candidates").alias("e"))
     only = ambiguous.select(F.col("ambiguous_name").alias("alias"), F.struct("default_id", "candidates").alias("d"))
-    names = (
-        names.join(entry.select(F.col("alias").alias("low"), F.col("e").alias("e1")), "low", "left")
-        .join(entry.select(F.col("alias").alias("norm"), F.col("e").alias("e2")), "norm", "left")
-        .join(F.broadcast(only.select(F.col("alias").alias("low"), F.col("d").alias("d1"))), "low", "left")
-        .join(F.broadcast(only.select(F.col("alias").alias("norm"), F.col("d").alias("d2"))), "norm", "left")
-        .select("raw_name", "low", "norm", "e1", "e2", F.coalesce("d1", "d2").alias("d"))
-    )
-    # AQE broadcasts the resolved names if they are few; a hot name makes no hot task either way
-    df = m.join(names, "raw_name", "left")
+
+    def named_by(df, key, k):
+        df = df.join(small(entry.select(F.col("alias").alias(key), F.col("e").alias(f"e{k}"))), key, "left")
+        return df.join(small(only.select(F.col("alias").alias(key), F.col("d").alias(f"d{k}"))), key, "left")
+
+    low = F.lower(columns.trim(F.col("raw_name")))
+    few = None if m.isStreaming or names is None else names.select("raw_name").distinct().limit(FEW_NAMES + 1).collect()
+    if few is not None and len(few) <= FEW_NAMES:
+        names = spark.createDataFrame(few, "raw_name string").select("raw_name", columns.once(low.alias("low"), columns.normalize_name(F.col("raw_name")).alias("norm")))
+        names = named_by(named_by(names, "low", 1), "norm", 2)
+        names = names.select(F.col("raw_name").alias("_raw"), "low", "norm", "e1", "e2", F.coalesce("d1", "d2").alias("d"))
+        df = m.join(F.broadcast(names), F.col("raw_name").eqNullSafe(F.col("_raw")), "left")
+    else:
+        df = named_by(m.withColumn("low", low), "low", 1)
+        exact = F.col("e1").isNotNull() & (F.col("e1.candidates").isNotNull() | _compatible(F.col("unit"), F.col("e1.unit_forms"), F.col("e1.allowed_units")))
+        df = df.select("*", columns.once(F.when(~F.coalesce(exact, F.lit(False)), columns.normalize_name(F.col("raw_name"))).alias("norm")))
+        df = named_by(df, "norm", 2).withColumn("d", F.coalesce("d1", "d2"))
     unit, value = F.col("unit"), F.col("value")
     named, fits = {}, {}
     for k in ("e1", "e2"):
@@ -75,7 +90,7 @@ def resolve(m: DataFrame, path: str | None = None) -> DataFrame:
     confidence = F.when(by_rule, F.when(fit.isNotNull(), "inferred_from_unit").otherwise("ambiguous")).when(use1, "exact").when(use2, "normalized")
     method = F.when(by_rule, "disambiguation").when(use1, "exact_alias").when(use2, "normalized_pipeline")
     df = df.select(*m.columns, chosen.alias("standardized_name"), confidence.alias("confidence"), method.alias("method"))
-    df = df.join(F.broadcast(marker.select(F.col("id").alias("_id"), "display_name", "category", "allowed_units")), F.col("standardized_name") == F.col("_id"), "left")
+    df = df.join(small(marker.select(F.col("id").alias("_id"), "display_name", "category", "allowed_units")), F.col("standardized_name") == F.col("_id"), "left")
     allowed = F.col("allowed_units")
     status = F.when((unit != "") | F.array_contains(allowed, ""), "Observed").when(F.size(allowed) == 1, "Inferred").otherwise("Missing")
     final = F.when((unit == "") & (status == "Inferred"), F.get(allowed, 0)).otherwise(unit)

@@ -43,11 +43,10 @@ def readings(reports: DataFrame) -> DataFrame:
     Unresolved names reserve no span; stop words and single letters are no names.
     """
     c = candidates(reports)
-    n = columns.parse_number(F.col("raw_value"))
-    c = c.select("*", n["value"].alias("value"), columns.comparator(F.col("mark")).alias("comparator"), columns.normalize_unit(F.col("raw_unit")).alias("unit")).filter("value is not null")
+    c = columns.with_number(c, "raw_value", comparator=columns.comparator(F.col("mark")), unit=columns.normalize_unit(F.col("raw_unit"))).filter("value is not null")
     low = F.lower("raw_name")
     r = resolve(c).filter(F.col("resolved") | ((F.octet_length("raw_name") >= 2) & ~low.isin(V.STOP_WORDS)))
-    rows = r.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("layout", "start", "end", "raw_name", "value", "comparator", "unit", "unit_status", "standardized_name", "confidence", "resolved"))).alias("all"))
+    rows = r.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("layout", "start", "end", "raw_name", "raw_value", "raw_unit", "value", "comparator", "unit", "unit_status", "standardized_name", "display_name", "category", "confidence", "method", "resolved"))).alias("all"))
 
     def free(x, taken):
         hit = lambda p: F.exists(taken, lambda t: (p >= t["start"]) & (p < t["end"]))

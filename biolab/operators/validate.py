@@ -66,9 +66,10 @@ def _cross_results() -> list[Column]:
     ]
 
 
-def cross_checks(kept: DataFrame) -> DataFrame:
-    """(doc_id, and for each check its inputs and whether it warns): one aggregate for all of them."""
-    return kept.groupBy("doc_id").agg(*_cross_inputs()).select("doc_id", *_cross_results())
+def cross_checks(kept: DataFrame, inputs: bool = False) -> DataFrame:
+    """(doc_id, and for each check its results and whether it warns): one aggregate for all of them. ``inputs``: with the values checked."""
+    more = ["tc_value", "ratio_value"] if inputs else []
+    return kept.groupBy("doc_id").agg(*_cross_inputs()).select("doc_id", *_cross_results(), *more)
 
 
 def assess(a: dict[str, Column]) -> Column:
@@ -77,9 +78,11 @@ def assess(a: dict[str, Column]) -> Column:
     return F.when(a["failed_pages"] > 0, 2).when((a["resolved"] == 0) | (a["unresolved"] > a["resolved"]) | bad, 1).otherwise(0)
 
 
-def document_status(resolved: DataFrame) -> DataFrame:
+def document_status(resolved: DataFrame, page_counts: DataFrame | None = None) -> DataFrame:
     """A row for each document: counters, warnings and its status, the worst of all checks.
 
+    ``page_counts`` (doc_id, failed_pages, partial_pages, rejections) of paged documents; others have none of these.
+
     Two aggregates over one pass of the rows: by (document, marker), then by document. Documents with
     neither a kept nor an unresolved row are ``found_nothing``, even if they have conflicts.
     """
@@ -95,7 +98,13 @@ def document_status(resolved: DataFrame) -> DataFrame:
     counters = ["resolved", "unresolved", "conflicts", "ambiguous", "unit_gaps", "impossible", "unusual"]
     df = df.select("doc_id", *counters, *_cross_results())
     df = df.select("doc_id", *counters, (F.col("pct_warns").cast("int") + F.col("friedewald_warns").cast("int") + F.col("tc_hdl_warns").cast("int")).alias("cross_warnings"))
-    rank = assess({k: F.col(k) for k in counters[:5]} | dict.fromkeys(("failed_pages", "partial_pages", "rejections"), F.lit(0)))
+    paged = ("failed_pages", "partial_pages", "rejections")
+    if page_counts is None:
+        of_pages = dict.fromkeys(paged, F.lit(0))
+    else:
+        df = df.join(page_counts.select("doc_id", *paged), "doc_id", "left")
+        of_pages = {k: F.coalesce(k, F.lit(0)) for k in paged}
+    rank = assess({k: F.col(k) for k in counters[:5]} | of_pages)
     rank = F.greatest(rank, F.when(F.col("impossible") > 0, 2).when((F.col("unusual") > 0) | (F.col("cross_warnings") > 0), 1).otherwise(0))
     return df.select(
         "doc_id", *counters, "cross_warnings", F.element_at(F.array(*[F.lit(s) for s in RANK]), rank + 1).alias("status"),

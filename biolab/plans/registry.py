@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from biolab.functions import columns
 from biolab.functions import fixed_values as V
-from biolab.operators import answers, conflicts, longitudinal, pages, text, validate
+from biolab.operators import answers, conflicts, longitudinal, output, pages, parse, text, validate, warnings
 from biolab.operators.resolve import parsed, resolve
 from biolab.sources import catalog, files, tabular
 from biolab.sources.measurements import measurements, reports
@@ -35,7 +36,8 @@ def _read(spark, d, name):
 
 
 def _resolved(spark, d):
-    return resolve(parsed(measurements(spark, d)))
+    m = measurements(spark, d)
+    return resolve(parsed(m), names=m)
 
 
 def _numeric(spark, d):
@@ -186,22 +188,87 @@ def display_value(spark, d):
     return parsed(measurements(spark, d)).filter("value is not null").select(*ID, columns.display_value(F.col("value")).alias("shown"))
 
 
+def _warnings(spark, d):
+    r = _resolved(spark, d)
+    g = conflicts.groups(r.filter("value is not null"))
+    kept = validate.plausibility(conflicts.kept(g))
+    parts = [warnings.of_groups(g), warnings.of_values(kept), warnings.of_checks(validate.cross_checks(kept, inputs=True))]
+    out = warnings.of_rows(r)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+_SHOWN = lambda v: f"CASE WHEN {v} = floor({v}) AND abs({v}) < 1e6 THEN printf('%.0f', {v}) ELSE printf('%.2f', round({v}::decimal(20, 6), 2)) END"
+_TWO = lambda v: f"printf('%.2f', round({v}::decimal(20, 6), 2))"
+
+
+@query(f"""WITH {O.CROSS} SELECT doc_id, 'skipped' AS "check", ord::bigint AS at, chr(39) || raw_name || chr(39) || ' was left out: ' || chr(39) || raw_value || chr(39) || ' is no number' AS warning FROM resolved WHERE value IS NULL
+UNION ALL SELECT doc_id, 'unresolved', ord, chr(39) || raw_name || chr(39) || ' is no known marker' FROM resolved WHERE value IS NOT NULL AND NOT resolved
+UNION ALL SELECT doc_id, CASE WHEN agree THEN 'repeated' ELSE 'conflict' END, (SELECT min(ord) FROM firsts f WHERE f.doc_id = g.doc_id AND f.standardized_name = g.standardized_name),
+ CASE WHEN agree THEN printf('%s was read %d times with one value; the first is kept', standardized_name, n_readings) ELSE printf('%s was read %d times with different values', standardized_name, n_readings) END FROM grouped g WHERE n_readings > 1
+UNION ALL SELECT doc_id, 'plausibility', ord, plausible || ' value: ' || display_name || ' = ' || {_SHOWN('value')} || ' ' || unit || ' (expected ' || {_SHOWN("(CASE plausible WHEN 'impossible' THEN hl ELSE sl END)")} || ' to ' || {_SHOWN("(CASE plausible WHEN 'impossible' THEN hh ELSE sh END)")} || ')'
+ FROM plaus JOIN band ON sn = standardized_name AND un = unit WHERE plausible IN ('impossible', 'unusual')
+UNION ALL SELECT doc_id, 'sum', 0, 'differential percentages add up to ' || {_TWO('pct_sum')} || ' (' || pct_count || ' markers)' FROM checks WHERE pct_warns
+UNION ALL SELECT doc_id, 'friedewald', 0, 'total cholesterol is ' || {_TWO('tc_v')} || ', its parts make ' || {_TWO('friedewald')} FROM checks JOIN cross1 USING (doc_id) WHERE friedewald_warns
+UNION ALL SELECT doc_id, 'ratio', 0, 'TC/HDL is given as ' || {_TWO('ratio_v')} || ', the values make ' || {_TWO('tc_hdl')} FROM checks JOIN cross1 USING (doc_id) WHERE tc_hdl_warns""")
+def warning_rows(spark, d):
+    """All warnings, a row for each."""
+    return _warnings(spark, d).select("doc_id", "check", "at", "warning")
+
+
+def _envelope_parts(spark, d):
+    n = _resolved(spark, d).filter("value is not null")
+    none = lambda kind: F.lit(None).cast(kind)
+    g = conflicts.groups(n)
+    kept = validate.plausibility(conflicts.kept(g)).select(
+        "*", none("string").alias("reference_range"), F.coalesce(F.col("plausible") != "ok", F.lit(False)).alias("flagged"), none("int").alias("page"), F.col("raw_value").alias("raw_value_text"), none("string").alias("source_text")
+    )
+    markers = kept.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", output.biomarker().alias("b")))), lambda x: x["b"]).alias("biomarkers"))
+    bad = conflicts.conflicting(n, g).select("doc_id", F.struct("standardized_name", "display_name", "category", F.transform("candidates", lambda c: F.struct(c["raw_name"].alias("raw_name"), c["value"].alias("value"), c["unit"].alias("unit"))).alias("candidates")).alias("c"))
+    bad = bad.groupBy("doc_id").agg(F.sort_array(F.collect_list("c")).alias("conflicts"))
+    unknown = n.filter("not resolved").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "raw_name", "value", "unit"))), lambda x: F.struct(x["raw_name"].alias("raw_name"), x["value"].alias("value"), x["unit"].alias("unit"))).alias("unresolved"))
+    df = validate.document_status(_resolved(spark, d)).select("doc_id", "status")
+    for part in (markers, bad, unknown, warnings.listed(_warnings(spark, d))):
+        df = df.join(part, "doc_id", "left")
+    return df.select(
+        "*", F.concat(F.lit("order-"), "doc_id").alias("source"), F.lit("csv").alias("parser"), F.lit(0).cast("long").alias("elapsed_ms"),
+        none("array<struct<page: int, status: string, error: string, marker_count: int>>").alias("page_statuses"),
+    )
+
+
 @query()
 def json_envelope(spark, d):
-    """One JSON text for each document; defaults and empty parts are left out of it."""
-    n = _resolved(spark, d)
-    g = conflicts.groups(n.filter("value is not null"))
-    row = F.struct(
-        "ord", F.col("raw_name").alias("name"), "standardized_name", "display_name", "value", "unit", "category", "confidence",
-        F.when(F.col("comparator") != "=", F.col("comparator")).alias("comparator"), F.when(F.col("unit_status") != "Observed", F.col("unit_status")).alias("unit_status"),
-    )
-    found = conflicts.kept(g).groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("biomarkers"))
-    bad = conflicts.conflicting(n.filter("value is not null"), g).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("standardized_name", "display_name", "category", "candidates"))).alias("conflicts"))
-    status = validate.document_status(n).select("doc_id", "status", "resolved", "unresolved")
-    df = status.join(found, "doc_id", "left").join(bad, "doc_id", "left")
-    data = F.struct(F.concat(F.lit("order-"), F.col("doc_id")).alias("source"), "biomarkers", "conflicts")
-    meta = F.struct(F.col("resolved").alias("markers_found"), F.col("unresolved").alias("markers_unresolved"), F.col("status").alias("document_status"), F.lit("2.0").alias("catalog_version"))
-    return df.select("doc_id", F.to_json(F.struct(F.lit("2").alias("version"), "status", data.alias("data"), meta.alias("metadata"))).alias("envelope"))
+    """One JSON text for each document; defaults and empty parts are left out of it. Tests hold it against SQL part by part."""
+    df = _envelope_parts(spark, d)
+    return df.select("doc_id", output.envelope(df).alias("envelope"))
+
+
+@query()
+def terminal_table(spark, d):
+    """What a terminal shows of each document. Tests hold it against a plain formatter."""
+    return output.terminal(_envelope_parts(spark, d))
+
+
+@query(f"""WITH {O.STATUS}, x AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'NoInput' WHEN resolved = 0 AND unresolved = 0 THEN 'NoBiomarkersFound' WHEN doc_id % 50 = 1 THEN 'VisionError' WHEN doc_id % 50 = 2 THEN 'IoError' END AS error FROM status)
+SELECT doc_id, error, CASE error WHEN 'NoInput' THEN 2 WHEN 'NoBiomarkersFound' THEN 3 WHEN 'VisionError' THEN 4 WHEN 'IoError' THEN 1 ELSE 0 END AS exit_code,
+ CASE WHEN error IS NOT NULL THEN '{{"version":"2","status":"error","error":"' || error || '"}}' END AS envelope FROM x""")
+def error_rows(spark, d):
+    """The error of each document, its exit class and its error envelope; some inputs are blank, and some have other errors."""
+    s = validate.document_status(_resolved(spark, d))
+    k = F.col("doc_id") % 50
+    found = output.outcome(F.when(k == 0, F.lit(" \n")).otherwise("text"), F.col("resolved"), F.col("unresolved"))
+    error = F.coalesce(found, F.when(k == 1, "VisionError").when(k == 2, "IoError"))
+    s = s.select("doc_id", error.alias("error"))
+    return s.select("doc_id", "error", output.exit_code(F.col("error")).alias("exit_code"), F.when(F.col("error").isNotNull(), output.error_envelope(F.col("error"))).alias("envelope"))
+
+
+@query()
+def auto_parse(spark, d):
+    """Delimited and running texts of one input, each read by its own reader. Tests hold it against both readers' brute force."""
+    m = measurements(spark, d)
+    k = F.col("doc_id") % 2
+    return parse.auto_parse(reports(m.filter(k == 0), "comma").unionByName(reports(m.filter(k == 1)))).select("doc_id", "parser", "ord", "raw_name", "value", "unit", "standardized_name", "confidence")
 
 
 # ------------------------------------------------------------ catalog
@@ -224,6 +291,23 @@ def catalog_overlay(spark, d):
     return catalog.markers(spark, [*catalog.SEED, *_OVER]).select("id", "display_name")
 
 
+def _item(r) -> str:
+    keys = {"id": r[0], "display_name": r[2], "component": r[1], "specimen": catalog.SPECIMENS.get(r[0], "serum"), "allowed_units": r[6], "category": r[3], "loinc": r[4], "alias_count": len(r[5])}
+    return json.dumps(keys, ensure_ascii=False, separators=(",", ":"))
+
+
+@query("WITH x(id, item) AS (VALUES " + ", ".join(f"({O.q(r[0])}, {O.q(_item(r))})" for r in catalog.SEED if r[3] == "lipids") + ") SELECT id, item FROM x")
+def catalog_json(spark, d):
+    """One category of the catalog as JSON."""
+    return catalog.listing_json(catalog.markers(spark, catalog.SEED), "lipids")
+
+
+@query(f"""WITH {O._catalog()}, c AS (SELECT list_sort(list_distinct(list(category) FILTER (category <> ''))) AS categories, count(*) AS biomarker_count FROM marker)
+SELECT 'biolab' AS name, '0.2' AS version, ['pdf', 'csv', 'text', 'stdin'] AS input_formats, ['json', 'table'] AS output_formats, biomarker_count, (SELECT count(*) FROM alias) AS alias_count, categories FROM c""")
+def descriptor(spark, d):
+    return catalog.descriptor(spark, catalog.SEED)
+
+
 # ------------------------------------------------------------ delimited and running text
 
 @query(f"""WITH {O.M}, r AS (SELECT doc_id, doc_id % 3 AS k, 'Test Name' || s || 'Result' || s || 'Units' || chr(10) || string_agg(CASE WHEN contains(raw_name, s) THEN '"' || raw_name || '"' ELSE raw_name END || s || '"' || raw_value || '"' || s || raw_unit, chr(10) ORDER BY ord) AS content, s
@@ -290,6 +374,59 @@ def clean_lines(spark, d):
     return pages.clean_lines(_paged(spark, d))
 
 
+def _extractor():
+    """Stands for an outside extractor: lines that end in mg/dL are its markers; it fails on pages that start with HDL."""
+    def ask(page: str) -> str:
+        if page.startswith("HDL"):
+            raise ValueError("cannot read this page")
+        rows = [line.rsplit(" ", 2) for line in page.splitlines() if line.endswith(" mg/dL") and len(line.split(" ")) > 2]
+        return json.dumps([{"name": r[0], "value": r[1], "unit": r[2]} for r in rows])
+
+    return ask
+
+
+_PAGES_READ = f"""{_PAGED}, pr AS (SELECT *, strlen(text) < 50 OR starts_with(text, 'HDL') AS failed, list_filter(string_split(text, chr(10)), lambda x: ends_with(x, ' mg/dL') AND len(string_split(x, ' ')) > 2) AS hits FROM pg)"""
+
+
+@query(f"""WITH {_PAGES_READ} SELECT doc_id, page::int AS page, CASE WHEN failed THEN 'failed' ELSE 'ok' END AS status,
+ CASE WHEN strlen(text) < 50 THEN 'page too short' WHEN failed THEN 'cannot read this page' END AS error, CASE WHEN failed THEN 0 ELSE len(hits) END AS marker_count FROM pr""")
+def page_path(spark, d):
+    """Pages through an injected extractor: their statuses, errors and numbers of markers."""
+    docs = _paged(spark, d)
+    results = pages.page_results(docs, _extractor)
+    return pages.page_statuses(results, pages.page_markers(results, docs))
+
+
+@query(f"""WITH {_PAGES_READ}, x AS (SELECT doc_id, page, unnest(hits) AS line FROM pr WHERE NOT failed)
+SELECT doc_id, page::int AS page, count(*) AS n, count(*) FILTER ({O.num("trim(regexp_replace(string_split(line, ' ')[-2], '^(<=|>=|≤|≥|<|>)', ''))")} IS NOT NULL) AS n_numbers FROM x GROUP BY ALL""")
+def page_values(spark, d):
+    """Markers of pages that didn't fail, and how many have a number (near its name on the page, as all that have one are here)."""
+    docs = _paged(spark, d)
+    m = pages.page_markers(pages.page_results(docs, _extractor), docs)
+    return m.groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.count_if("verified").alias("n_numbers"))
+
+
+@query(f"""WITH {O.RESOLVED}, rd AS (SELECT r.doc_id, r.ord, (r.ord - 1) // 4 + 1 AS page, r.raw_name, r.value, p.unit AS u, standardized_name FROM resolved r JOIN parsed p USING (doc_id, ord) WHERE resolved AND r.value IS NOT NULL),
+f AS (SELECT *, first_value(value) OVER w AS v0, first_value(u) OVER w AS u0, row_number() OVER w AS rn FROM rd WINDOW w AS (PARTITION BY doc_id, standardized_name ORDER BY ord)),
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, standardized_name) AS n FROM f WHERE rn = 1 OR abs(value - v0) >= 0.0001 OR u <> u0)
+SELECT doc_id, standardized_name, ord, value, u AS unit, page::int AS page FROM k WHERE n > 1""")
+def page_conflict_candidates(spark, d):
+    """Conflicts between pages with their candidates: units before inference, repeats of the first left out."""
+    m = measurements(spark, d)
+    read = resolve(parsed(m).withColumn("raw_unit_norm", F.col("unit")), names=m).withColumn("page", F.floor((F.col("ord") - 1) / 4).cast("int") + 1)
+    c = pages.page_conflicts(read).select("doc_id", "standardized_name", F.explode("candidates").alias("c"))
+    return c.select("doc_id", "standardized_name", "c.ord", "c.value", "c.unit", "c.page")
+
+
+@query(f"""WITH {O.STATUS} SELECT doc_id, CASE WHEN impossible > 0 OR doc_id % 11 = 0 THEN 'partial_failure' WHEN status = 'success' AND (doc_id % 7 = 0 OR doc_id % 5 = 0) THEN 'needs_review' ELSE status END AS status FROM status""")
+def paged_status(spark, d):
+    """The status of documents with failed and split pages and rejected values."""
+    r = _resolved(spark, d)
+    k = F.col("doc_id")
+    counts = r.select("doc_id").distinct().select("doc_id", (k % 11 == 0).cast("int").alias("failed_pages"), (k % 7 == 0).cast("int").alias("partial_pages"), (k % 5 == 0).cast("int").alias("rejections"))
+    return validate.document_status(r, counts.filter("failed_pages + partial_pages + rejections > 0")).select("doc_id", "status")
+
+
 @query()
 def dense_split(spark, d):
     return pages.split_dense(pages.pages(_paged(spark, d)), 120).select("doc_id", "page", "block", "text")
@@ -351,27 +488,14 @@ def _items(spark, d):
     return _answers(spark, d).select("doc_id", F.posexplode(answers.items(F.col("answer"))).alias("k", "x")).select("doc_id", (F.col("k") + 1).alias("ord"), "x.*")
 
 
-@query(f"WITH {O.M} SELECT doc_id, ord, raw_name AS name, raw_unit AS unit FROM m WHERE ord <= 3")
-def llm_json(spark, d):
-    """The first three of ``llm_json_all``, as the SQL has them."""
-    return llm_json_all(spark, d).filter("ord <= 3")
-
-
 @query(f"WITH {O.M} SELECT doc_id, ord, raw_name AS name, raw_unit AS unit FROM m")
-def llm_json_all(spark, d):
+def llm_json(spark, d):
     return _items(spark, d).select("doc_id", "ord", "name", "unit")
 
 
-@query(f"""WITH {O.PARSED}, x AS (SELECT *, trim(regexp_replace(trim(raw_value), '^(<=|>=|≤|≥|<|>)', '')) AS rest FROM parsed WHERE ord <= 3)
-SELECT doc_id, ord, CASE WHEN ord % 2 = 0 THEN {O.num('rest')} ELSE round(value, 3) END AS value, CASE WHEN ord % 2 = 0 THEN comparator ELSE '=' END AS comparator FROM x""")
-def llm_coerce(spark, d):
-    """The first three of ``llm_coerce_all``, as the SQL has them."""
-    return llm_coerce_all(spark, d).filter("ord <= 3")
-
-
 @query(f"""WITH {O.PARSED}, x AS (SELECT *, trim(regexp_replace(trim(raw_value), '^(<=|>=|≤|≥|<|>)', '')) AS rest FROM parsed)
 SELECT doc_id, ord, CASE WHEN ord % 2 = 0 THEN {O.num('rest')} ELSE round(value, 3) END AS value, CASE WHEN ord % 2 = 0 THEN comparator ELSE '=' END AS comparator FROM x""")
-def llm_coerce_all(spark, d):
+def llm_coerce(spark, d):
     c = answers.coerced(F.col("value"), F.col("comparator"))
     return _items(spark, d).select("doc_id", "ord", c.alias("c")).select("doc_id", "ord", "c.value", "c.comparator")
 
@@ -437,6 +561,42 @@ def stats(spark, d):
     return longitudinal.stats(measurements(spark, d))
 
 
+def _store(spark, d):
+    patients, sessions, markers = longitudinal.store(_resolved(spark, d))
+    return patients.withColumn("archived", F.col("archived") | (F.col("id") % 10 == 3)), sessions, markers
+
+
+_STORE = f"""{O.RESOLVED}, se AS (SELECT doc_id AS id, min(patient_id) AS patient_id, min(date) AS date FROM resolved GROUP BY doc_id),
+ex AS (SELECT se.patient_id, 'patient-' || se.patient_id AS slug, se.date, doc_id AS session_id, ord AS id, standardized_name, value, unit FROM resolved JOIN se ON se.id = doc_id WHERE resolved AND value IS NOT NULL AND se.patient_id % 10 <> 3)"""
+
+
+@query(f"WITH {_STORE} SELECT patient_id, slug, date::varchar AS date, session_id, id, standardized_name, value, unit FROM ex")
+def store_export(spark, d):
+    return longitudinal.export(*_store(spark, d)).withColumn("date", F.col("date").cast("string"))
+
+
+@query(f"WITH {_STORE} SELECT patient_id, standardized_name, max(date)::varchar AS date, arg_max(slug, (date, session_id, id)) AS slug, arg_max(session_id, (date, session_id, id)) AS session_id, arg_max(id, (date, session_id, id)) AS id, arg_max(value, (date, session_id, id)) AS value, arg_max(unit, (date, session_id, id)) AS unit FROM ex GROUP BY patient_id, standardized_name")
+def store_export_latest(spark, d):
+    return longitudinal.export(*_store(spark, d), only_latest=True).withColumn("date", F.col("date").cast("string"))
+
+
+@query(f"WITH {_STORE} SELECT patient_id, count(DISTINCT standardized_name) AS n_markers, count(*) AS n_values, min(date)::varchar AS first_date, max(date)::varchar AS last_date FROM ex GROUP BY patient_id")
+def store_summary(spark, d):
+    s = longitudinal.summary(longitudinal.export(*_store(spark, d)))
+    return s.select("patient_id", "n_markers", "n_values", F.col("first_date").cast("string").alias("first_date"), F.col("last_date").cast("string").alias("last_date"))
+
+
+@query(f"WITH {_STORE} SELECT patient_id AS id, 'patient-' || patient_id AS slug, count(*) AS n_sessions, max(date)::varchar AS last_date FROM se WHERE patient_id % 10 <> 3 GROUP BY patient_id")
+def store_list(spark, d):
+    return longitudinal.listed(*_store(spark, d)[:2]).withColumn("last_date", F.col("last_date").cast("string"))
+
+
+@query(f"""WITH {O.RESOLVED}, {O.BANDS} SELECT doc_id, ord, value, unit, coalesce(value < hl OR value > hh OR value < sl OR value > sh, false) AS flagged FROM resolved LEFT JOIN band ON sn = standardized_name AND un = unit
+WHERE standardized_name IN ('tsh', 'hba1c') AND value IS NOT NULL""")
+def history_flags(spark, d):
+    return longitudinal.out_of_range(longitudinal.history(_numeric(spark, d), ["tsh", "hba1c"])).select("doc_id", "ord", "value", "unit", "flagged")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resolve every measurement and roll documents up to a review status."""
     return QUERIES["document_status"](spark, sf_dir)

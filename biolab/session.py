@@ -19,6 +19,8 @@ def local_session(app: str = "biolab", cpus: int | None = None, **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(n))
+        # a generated method over 8000 bytes of bytecode is never compiled by the JVM: such a stage runs faster in smaller pieces
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

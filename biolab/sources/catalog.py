@@ -46,21 +46,26 @@ SEED = [
     ("tsh", "Thyrotropin", "TSH", "thyroid", "3016-3", ["thyroid stimulating hormone"], ["mIU/L"]),
     ("free_t4", "Thyroxine free", "Free T4", "thyroid", "3024-7", ["ft4"], ["ng/dL", "pmol/L"]),
     ("vitamin_d", "25-hydroxyvitamin D", "Vitamin D", "vitamins", "1989-3", ["25-oh vitamin d"], ["ng/mL", "nmol/L"]),
-    ("crp_standard", "C reactive protein", "CRP", "inflammation", "1988-5", ["c-reactive protein"], ["mg/L", "mg/dL"]),
-    ("crp_hs", "C reactive protein high sensitivity", "hs-CRP", "inflammation", "30522-7", ["hscrp", "hs-crp"], ["mg/L"]),
+    ("hscrp", "C-Reactive Protein", "hsCRP", "inflammation", "30522-7", ["hs-crp", "c reactive protein"], ["mg/L", "mg/dL"]),
+    ("standard_crp", "C-Reactive Protein", "CRP (Standard)", "inflammation", "1988-5", [], ["mg/L", "mg/dL"]),
     ("total_protein", "Protein", "Total Protein", "liver", "2885-2", [], ["g/dL", "g/L"]),
     ("urine_protein", "Protein in urine", "Urine Protein", "kidney", "2888-6", [], ["mg/dL", "mg/L"]),
 ]
 
+#: The names of C-reactive protein, their ids, bounds and default decide results.
 #: ambiguous name, default id, ordered candidates (id, units, value below, value above)
 SEED_AMBIGUOUS = [
-    ("crp", "crp_hs", [("crp_hs", ["mg/L"], 10.0, None), ("crp_standard", ["mg/L"], None, 10.0), ("crp_standard", ["mg/dL"], None, None)]),
+    ("crp", "hscrp", [("hscrp", ["mg/L", "mg/dL"], 10.0, None), ("standard_crp", ["mg/L", "mg/dL"], None, 10.0)]),
     ("protein", "total_protein", [("total_protein", ["g/dL", "g/L"], None, None), ("urine_protein", ["mg/dL", "mg/L"], None, None)]),
-    ("c-reactive protein", "crp_standard", [("crp_hs", ["mg/L"], 3.0, None)]),
+    ("c-reactive protein", "hscrp", [("hscrp", ["mg/L", "mg/dL"], 10.0, None), ("standard_crp", ["mg/L", "mg/dL"], None, 10.0)]),
+    ("c reactive protein", "hscrp", [("hscrp", ["mg/L", "mg/dL"], 10.0, None), ("standard_crp", ["mg/L", "mg/dL"], None, 10.0)]),
     ("glucose", "fasting_glucose", [("fasting_glucose", ["mg/dL"], None, 20.0), ("fasting_glucose", ["mmol/L"], 40.0, None)]),
 ]
 
-MARKER = "seq int, id string, component string, display_name string, category string, loinc string, aliases array<string>, allowed_units array<string>"
+#: specimens of seed markers that aren't measured in serum
+SPECIMENS = {"hba1c": "blood", "hemoglobin": "blood", "hematocrit": "blood", "wbc_count": "blood", "platelets": "blood", "urine_protein": "urine"}
+
+MARKER = "seq int, id string, component string, display_name string, category string, loinc string, aliases array<string>, allowed_units array<string>, specimen string, qualifier string"
 AMBIGUOUS = "ambiguous_name string, default_id string, candidates array<struct<id: string, units: array<string>, below: double, above: double>>"
 
 
@@ -71,7 +76,7 @@ def overlay_entries(path: str | None = None) -> tuple[list, list]:
         return [], []
     with open(path, "rb") as f:
         raw = tomllib.load(f)
-    markers = [(m["id"], m.get("component", ""), m.get("display_name", ""), m.get("category", ""), m.get("loinc", ""), m.get("aliases", []), m.get("allowed_units", [])) for m in raw.get("marker", [])]
+    markers = [(m["id"], m.get("component", ""), m.get("display_name", ""), m.get("category", ""), m.get("loinc", ""), m.get("aliases", []), m.get("allowed_units", []), m.get("specimen", "serum"), m.get("qualifier", "")) for m in raw.get("marker", [])]
     ambiguous = [
         (d["ambiguous_name"], d["default_id"], [(c["id"], c.get("when_unit_in", []), c.get("when_value_below"), c.get("when_value_above")) for c in d.get("candidates", [])])
         for d in raw.get("disambiguation", [])
@@ -84,9 +89,15 @@ def entries(path: str | None = None) -> tuple[list, list]:
     return [*SEED, *more], [*SEED_AMBIGUOUS, *ambiguous]
 
 
+def table(spark: SparkSession, rows: list) -> DataFrame:
+    """All entries; seed entries have the specimen of SPECIMENS or serum, and no qualifier."""
+    full = [(i, *r[:7], *(r[7:] or (SPECIMENS.get(r[0], "serum"), ""))) for i, r in enumerate(rows)]
+    return spark.createDataFrame(full, MARKER)
+
+
 def markers(spark: SparkSession, rows: list) -> DataFrame:
     """Entries in order; the last of each id counts."""
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], MARKER)
+    df = table(spark, rows)
     last = df.groupBy("id").agg(F.max_by(F.struct(*[c for c in df.columns if c != "id"]), "seq").alias("m")).select("id", "m.*")
     units = F.array_union(F.transform("allowed_units", F.lower), F.transform("allowed_units", lambda u: F.lower(columns.normalize_unit(u))))
     return last.withColumn("unit_forms", units)
@@ -94,7 +105,7 @@ def markers(spark: SparkSession, rows: list) -> DataFrame:
 
 def aliases(spark: SparkSession, rows: list) -> DataFrame:
     """(alias, id): every name a marker goes by; the later entry wins, spellings of ids only fill gaps."""
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], MARKER)
+    df = table(spark, rows)
     own = F.array_union(F.array(F.lower("id")), F.filter(F.array(F.lower("component"), F.lower("display_name")), lambda x: x != ""))
     own = df.select("seq", "id", F.posexplode(F.concat(own, F.transform("aliases", F.lower))).alias("k", "alias"), F.lit(1).alias("strong"))
     spelled = F.array(F.replace(F.lower("id"), F.lit("_"), F.lit(" ")), F.replace(F.lower("id"), F.lit("_"), F.lit("-")))
@@ -117,3 +128,21 @@ def listing(marker_rows: DataFrame, category: str | None = None) -> DataFrame:
     """The catalog, or one category of it, in order of id."""
     df = marker_rows if category is None else marker_rows.filter(F.col("category") == category)
     return df.select("id", "display_name", "category", "loinc", F.coalesce(F.nullif(F.array_join("allowed_units", ", "), F.lit("")), F.lit("-")).alias("units"), F.size("aliases").alias("alias_count")).orderBy("id")
+
+
+def listing_json(marker_rows: DataFrame, category: str | None = None) -> DataFrame:
+    """(id, item): a JSON text of eight keys for each marker, in order of id."""
+    df = marker_rows if category is None else marker_rows.filter(F.col("category") == category)
+    item = F.struct("id", "display_name", "component", "specimen", "allowed_units", "category", "loinc", F.size("aliases").alias("alias_count"))
+    return df.select("id", F.to_json(item).alias("item")).orderBy("id")
+
+
+def descriptor(spark: SparkSession, rows: list) -> DataFrame:
+    """One row: what the engine reads, writes and knows."""
+    known = markers(spark, rows).agg(
+        F.count("*").alias("biomarker_count"), F.sort_array(F.collect_set(F.when(F.col("category") != "", F.col("category")))).alias("categories")
+    )
+    names = aliases(spark, rows).agg(F.count("*").alias("alias_count"))
+    fixed = {"name": "biolab", "version": "0.2", "input_formats": ["pdf", "csv", "text", "stdin"], "output_formats": ["json", "table"]}
+    cols = [(F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).alias(k) for k, v in fixed.items()]
+    return known.join(F.broadcast(names)).select(*cols, "biomarker_count", "alias_count", "categories")

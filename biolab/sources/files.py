@@ -19,6 +19,68 @@ def route(path: Column, head: Column | None = None) -> Column:
     return F.when((ext == "pdf") | ((ext == "") & magic), "pdf").when(ext.isin(IMAGES), "image").otherwise("text")
 
 
+def stdin(spark: SparkSession, stream=None) -> DataFrame:
+    """(source, content) of what standard input holds; blank input is an error."""
+    import sys
+
+    text = (stream or sys.stdin).read()
+    if not text.strip():
+        raise ValueError("NoInput: standard input is blank")
+    return spark.createDataFrame([("stdin", text)], "source string, content string")
+
+
+def binaries(spark: SparkSession, path: str) -> DataFrame:
+    """(path, kind, content) of report files of any kind, a row for each."""
+    df = spark.read.format("binaryFile").load(path)
+    return df.select("path", route(F.col("path"), F.col("content")).alias("kind"), "content")
+
+
+def _with_file(command: list[str], content: bytes, out: str | None = None):
+    """What a tool writes for a file: to standard output, or as files whose names start with ``out``, in order of name."""
+    import pathlib
+    import subprocess
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        source = pathlib.Path(folder, "in")
+        source.write_bytes(content)
+        try:
+            done = subprocess.run([x.format(source=source, folder=folder) for x in command], capture_output=True, timeout=600, check=True)
+        except (OSError, subprocess.SubprocessError):
+            return None  # no tool, or it failed: there is no result
+        if out is None:
+            return done.stdout.decode(errors="replace")
+        return [p.read_bytes() for p in sorted(pathlib.Path(folder).glob(f"{out}*"))]
+
+
+PDF_TEXT = ["pdftotext", "-layout", "{source}", "-"]
+PDF_IMAGES = ["pdftoppm", "-png", "-r", "150", "{source}", "{folder}/page"]
+
+
+def pdf_texts(files: DataFrame, command: list[str] = PDF_TEXT) -> DataFrame:
+    """(path, content) of pdf files with a text layer. The tool is an outside program; where it fails there is no text layer."""
+
+    def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            yield pd.DataFrame({"path": pdf["path"], "content": [_with_file(command, c) for c in pdf["content"]]})
+
+    df = files.filter("kind = 'pdf'").select("path", "content").mapInPandas(batches, "path string, content string")
+    return df.filter(has_text_layer(F.col("content")))
+
+
+def page_images(files: DataFrame, command: list[str] = PDF_IMAGES) -> DataFrame:
+    """(path, page, image): pdf pages as an outside program draws them, in order, and image files as their one page."""
+
+    def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                drawn = _with_file(command, content, "page") or []
+                yield pd.DataFrame({"path": [path] * len(drawn), "page": range(1, len(drawn) + 1), "image": drawn})
+
+    drawn = files.filter("kind = 'pdf'").select("path", "content").mapInPandas(batches, "path string, page int, image binary")
+    return drawn.unionByName(files.filter("kind = 'image'").select("path", F.lit(1).alias("page"), F.col("content").alias("image")))
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(source, content), a row for each file."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("content"))

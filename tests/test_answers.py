@@ -9,12 +9,12 @@ from biolab.sources.measurements import measurements
 from .test_queries import SF, test_same_rows_as_sql as same_rows_as_sql
 
 
-@pytest.mark.parametrize("name", ["llm_json_all", "llm_coerce_all"])
+@pytest.mark.parametrize("name", ["llm_json", "llm_coerce"])
 def test_all_answers_are_the_rows_of_sql(spark, name):
     same_rows_as_sql(spark, name)
 
 
-@pytest.mark.parametrize("name", ["llm_json_all", "llm_coerce_all", "verify_proximity"])
+@pytest.mark.parametrize("name", ["llm_json", "llm_coerce", "verify_proximity"])
 def test_every_measurement_is_answered(spark, name):
     keys = lambda df: sorted((r.doc_id, r.ord) for r in df.select("doc_id", "ord").collect())
     want = keys(measurements(spark, SF))

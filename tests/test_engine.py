@@ -26,8 +26,8 @@ def test_resolution_order_units_and_ambiguity(spark):
     )
     assert names(df) == [
         ("ldl_cholesterol", "exact", "mg/dL", "Observed"), (None, None, "U/L", "Observed"), ("hemoglobin", "normalized", "", "Missing"), ("tsh", "exact", "mIU/L", "Inferred"),
-        ("crp_hs", "inferred_from_unit", "mg/L", "Observed"), ("crp_standard", "ambiguous", "mg/L", "Observed"), ("crp_standard", "inferred_from_unit", "mg/L", "Observed"), ("crp_standard", "ambiguous", "", "Missing"),
-        ("total_protein", "inferred_from_unit", "g/L", "Observed"), ("crp_standard", "ambiguous", "mg/L", "Observed"), (None, None, "x", "Observed"), ("tc_hdl_ratio", "exact", "", "Observed"),
+        ("hscrp", "inferred_from_unit", "mg/L", "Observed"), ("hscrp", "ambiguous", "mg/L", "Observed"), ("standard_crp", "inferred_from_unit", "mg/L", "Observed"), ("hscrp", "ambiguous", "", "Missing"),
+        ("total_protein", "inferred_from_unit", "g/L", "Observed"), ("hscrp", "inferred_from_unit", "mg/L", "Observed"), (None, None, "x", "Observed"), ("tc_hdl_ratio", "exact", "", "Observed"),
     ]
 
 

@@ -8,18 +8,18 @@ import pytest
 from biolab.plans import registry
 
 SF = "/root/testdata/sf0.001"
-FEW = ["resolve_full", "dedupe_keep_first", "document_status", "clean_lines", "llm_coerce", "trend"]
 
 
-@pytest.mark.parametrize("name", FEW)
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "orders", "events", "documents", "conversations", "pages"):
         p = f"{SF}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{p}{'/*.parquet' if os.path.isdir(p) else ''}'")
     df = registry.QUERIES[name](spark, SF)
-    shown = lambda rows: sorted(repr(tuple(round(float(x), 6) + 0.0 if isinstance(x, float) else x for x in r)) for r in rows)
-    assert shown(df.collect()) == shown(con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.ORACLES[name]})").fetchall())
+    shown = lambda rows: sorted(repr(tuple(round(float(x), 6) + 0.0 if isinstance(x, float) else list(x) if isinstance(x, (list, tuple)) else x for x in r)) for r in rows)
+    assert shown(df.collect()) == shown(con.execute(f"SELECT {', '.join(f'{chr(34)}{c}{chr(34)}' for c in df.columns)} FROM ({registry.ORACLES[name]})").fetchall())
 
 
 def test_entry_has_every_query(spark):
