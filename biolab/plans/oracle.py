@@ -103,7 +103,9 @@ def _catalog() -> str:
 PARSED = f"""{M}, src AS (SELECT * FROM m), {parse('raw_value')},
 parsed AS (SELECT doc_id, ord, patient_id, date, raw_name, raw_value, raw_unit, value, ambiguous AS number_ambiguous, strategy, {comparator('raw_value')} AS comparator, {unit('raw_unit')} AS unit FROM num)"""
 
-RESOLVED = f"""{PARSED}, {name_steps('m')}, {_catalog()},
+def resolution(parsed: str, source: str, keys: str) -> str:
+    """Step ``resolved`` behind the steps ``parsed``; names are those of ``source``."""
+    return f"""{parsed}, {name_steps(source)}, {_catalog()},
 r0 AS (SELECT p.*, n.low, n.norm, a1.id AS i1, a2.id AS i2, m1.allowed AS al1, m2.allowed AS al2, m1.forms AS f1, m2.forms AS f2, b1.name AS b1, b2.name AS b2, coalesce(b1.default_id, b2.default_id) AS dflt
  FROM parsed p JOIN names n USING (raw_name) LEFT JOIN alias a1 ON a1.alias = n.low LEFT JOIN marker m1 ON m1.id = a1.id LEFT JOIN amb b1 ON b1.name = n.low
  LEFT JOIN alias a2 ON a2.alias = n.norm LEFT JOIN marker m2 ON m2.id = a2.id LEFT JOIN amb b2 ON b2.name = n.norm),
@@ -114,9 +116,12 @@ r3 AS (SELECT r2.*, (SELECT arg_min(c.id, c.k) FROM cand c WHERE c.name = rule A
 r4 AS (SELECT *, coalesce(fit, fallback) AS sid, CASE WHEN rule IS NOT NULL THEN CASE WHEN fit IS NOT NULL THEN 'inferred_from_unit' ELSE 'ambiguous' END WHEN u1 THEN 'exact' WHEN u2 THEN 'normalized' END AS confidence,
  CASE WHEN rule IS NOT NULL THEN 'disambiguation' WHEN u1 THEN 'exact_alias' WHEN u2 THEN 'normalized_pipeline' END AS method FROM r3),
 r5 AS (SELECT r4.*, display_name, category, CASE WHEN unit <> '' OR list_contains(allowed, '') THEN 'Observed' WHEN len(allowed) = 1 THEN 'Inferred' ELSE 'Missing' END AS unit_status, allowed FROM r4 LEFT JOIN marker ON marker.id = sid),
-resolved AS (SELECT doc_id, ord, patient_id, date, raw_name, raw_value, value, comparator, CASE WHEN unit = '' AND unit_status = 'Inferred' THEN allowed[1] ELSE unit END AS unit, unit_status,
+resolved AS (SELECT {keys}, raw_name, raw_value, value, comparator, CASE WHEN unit = '' AND unit_status = 'Inferred' THEN allowed[1] ELSE unit END AS unit, unit_status,
  sid AS standardized_name, display_name, category, confidence, method, sid IS NOT NULL AS resolved FROM r5)"""
 
+
+RESOLVED = resolution(PARSED, "m", "doc_id, ord, patient_id, date")
+
 GROUPED = f"""{RESOLVED}, ok AS (SELECT * FROM resolved WHERE value IS NOT NULL),
 firsts AS (SELECT *, row_number() OVER w AS rn, first_value(value) OVER w AS v0, first_value(unit) OVER w AS u0, first_value(comparator) OVER w AS c0 FROM ok WHERE resolved WINDOW w AS (PARTITION BY doc_id, standardized_name ORDER BY ord)),
 grouped AS (SELECT doc_id, standardized_name, count(*) AS n_readings, bool_and(abs(value - v0) < 0.0001 AND unit = u0 AND comparator = c0) AS agree FROM firsts GROUP BY ALL),
@@ -148,3 +153,57 @@ def redact(x: str) -> str:
     for pattern, sub in V.REDACTIONS:
         x = f"regexp_replace({x}, {q(pattern)}, {q(sub)}, 'g')"
     return x
+
+
+# ------------------------------------------------------------ running text
+
+REPORT = f"""{M}, rep AS (SELECT doc_id, string_agg(CASE WHEN ord % 3 = 0 THEN raw_name || chr(10) || 'Results: ' || raw_value || ' (' || raw_unit || ')' ELSE raw_name || ': ' || raw_value || ' ' || raw_unit END, chr(10) ORDER BY ord) AS content
+ FROM m GROUP BY doc_id)"""
+
+
+def _layout(k: int, pattern: str) -> str:
+    """Matches of one layout with their places: each match is put between two marks, and the lengths of what stands before it are summed."""
+    marked = f"string_split(regexp_replace(content, {q(pattern)}, chr(1) || '\\0' || chr(2), 'g'), chr(1))"
+    start = "list_sum(list_transform(parts[1:i - 1], lambda x: len(replace(x, chr(2), ''))))::bigint"
+    return f"""marked{k} AS (SELECT doc_id, {marked} AS parts FROM rep),
+hit{k} AS (SELECT doc_id, {start} AS start, split_part(parts[i], chr(2), 1) AS hit FROM marked{k}, unnest(range(2, len(parts) + 1)) AS r(i)),
+layout{k} AS (SELECT doc_id, {k} AS layout, start, start + len(hit) AS stop, regexp_extract(hit, {q(pattern)}, ['name', 'cmp', 'value', 'unit']) AS g FROM hit{k})"""
+
+
+def _bare(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+TOKENS = f"""{REPORT}, {_layout(0, '(?m)' + V.HUB)}, {_layout(1, '(?i)' + V.COLON)}, {_layout(2, '(?i)' + V.GENERAL)},
+tok AS (SELECT doc_id, layout, start, stop, {_bare('g.name')} AS raw_name, g.cmp AS mark, g.value AS raw_value, {_bare('g.unit')} AS raw_unit FROM (SELECT * FROM layout0 UNION ALL SELECT * FROM layout1 UNION ALL SELECT * FROM layout2))"""
+
+
+def _free(layout: int, taken: str) -> str:
+    inside = lambda p: f"r.{p} >= t.start AND r.{p} < t.stop"
+    return f"(SELECT * FROM named r WHERE layout = {layout} AND NOT EXISTS (SELECT 1 FROM {taken} t WHERE t.doc_id = r.doc_id AND ({inside('start')} OR {inside('stop')})))"
+
+
+_TEXT_PARSED = f"""{TOKENS}, src AS (SELECT * FROM tok), {parse('raw_value')},
+parsed AS (SELECT doc_id, layout, start, stop, raw_name, raw_value, value, {comparator('mark')} AS comparator, {unit('raw_unit')} AS unit FROM num WHERE value IS NOT NULL)"""
+
+READINGS = f"""{resolution(_TEXT_PARSED, 'tok', 'doc_id, layout, start, stop')},
+named AS (SELECT * FROM resolved WHERE resolved OR (strlen(raw_name) >= 2 AND lower(raw_name) NOT IN ({', '.join(map(q, V.STOP_WORDS))}))),
+k0 AS (SELECT * FROM named WHERE layout = 0), t0 AS (SELECT doc_id, start, stop FROM k0 WHERE resolved),
+k1 AS {_free(1, 't0')}, t1 AS (SELECT * FROM t0 UNION ALL SELECT doc_id, start, stop FROM k1 WHERE resolved), k2 AS {_free(2, 't1')},
+readings AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY layout, start) - 1)::int AS ord FROM (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2))"""
+
+
+# ------------------------------------------------------------ answered values near their names
+
+PROXIMITY = f"""{PARSED}, page AS (SELECT doc_id, string_agg(raw_name || ': ' || raw_value || ' ' || raw_unit, chr(10) ORDER BY ord) AS content FROM m GROUP BY doc_id),
+w0 AS (SELECT doc_id, ord, round(value, 3) AS v, trim(regexp_replace(trim(raw_value), '^(<=|>=|≤|≥|<|>)', '')) AS rest, lower(raw_name) AS low,
+ list_filter(regexp_extract_all(lower(raw_name), '\\p{{L}}+'), lambda x: strlen(x) >= 4) AS words FROM parsed),
+w AS (SELECT doc_id, ord, CASE WHEN ord % 2 = 0 THEN rest WHEN v = floor(v) THEN v::bigint::varchar ELSE v::varchar END AS written,
+ coalesce(list_filter(words, lambda x: strlen(x) = list_max(list_transform(words, lambda y: strlen(y))))[-1], low) AS token FROM w0),
+cut AS (SELECT *, regexp_replace(regexp_replace(written, '0+$', ''), '\\.+$', '') AS short FROM w),
+variants AS (SELECT doc_id, ord, token, written AS x FROM cut WHERE written <> '' UNION ALL
+ SELECT doc_id, ord, token, CASE WHEN contains(written, '.') THEN CASE WHEN short <> written AND short <> '' THEN short END ELSE written || '.0' END FROM cut WHERE written <> ''),
+parts AS (SELECT doc_id, ord, token, x, lower(content) AS low, string_split(content, x) AS parts FROM variants JOIN page USING (doc_id) WHERE x IS NOT NULL),
+places AS (SELECT doc_id, ord, token, x, low, list_sum(list_transform(parts[1:i], lambda y: len(y)))::bigint + (i - 1) * len(x) AS p FROM parts, unnest(range(1, len(parts))) AS r(i)),
+hits AS (SELECT DISTINCT doc_id, ord FROM places WHERE contains(substring(low, greatest(p - 200, 0) + 1, p - greatest(p - 200, 0) + len(x) + 200), token)),
+near AS (SELECT w.doc_id, w.ord, written, h.ord IS NOT NULL AS verified FROM w LEFT JOIN hits h ON h.doc_id = w.doc_id AND h.ord = w.ord)"""

@@ -332,14 +332,14 @@ def csv_rows(spark, d):
     return tabular.rows(_tables(spark, d))
 
 
-@query()
+@query(f'WITH {O.TOKENS} SELECT doc_id, layout::int AS layout, start, stop AS "end", raw_name, mark, raw_value, raw_unit FROM tok')
 def text_tokens(spark, d):
-    return text.candidates(reports(measurements(spark, d)))
+    return text.candidates(reports(measurements(spark, d), "hub"))
 
 
-@query()
+@query(f"WITH {O.READINGS} SELECT doc_id, ord, layout::int AS layout, raw_name, value, comparator, unit, standardized_name, confidence, resolved FROM readings")
 def text_resolved(spark, d):
-    r = text.readings(reports(measurements(spark, d)))
+    r = text.readings(reports(measurements(spark, d), "hub"))
     return r.select("doc_id", "ord", "layout", "raw_name", "value", "comparator", "unit", "standardized_name", "confidence", "resolved")
 
 
@@ -500,7 +500,7 @@ def llm_coerce(spark, d):
     return _items(spark, d).select("doc_id", "ord", c.alias("c")).select("doc_id", "ord", "c.value", "c.comparator")
 
 
-@query()
+@query(f"WITH {O.PROXIMITY} SELECT doc_id, ord, written, verified FROM near")
 def verify_proximity(spark, d):
     """Whether each answered value stands near its name in the document's text."""
     c = _items(spark, d).select("doc_id", "ord", "name", answers.coerced(F.col("value"), F.col("comparator"))["written"].alias("written"))

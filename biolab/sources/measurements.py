@@ -41,9 +41,11 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(m: DataFrame, layout: str = "text") -> DataFrame:
-    """(doc_id, content): a document's measurements as running text or as a delimited table. At most 17 rows make one."""
-    if layout == "text":
+    """(doc_id, content): a document's measurements as running text, in two lines each third one (``hub``), or as a delimited table. At most 17 rows make one."""
+    if layout in ("text", "hub"):
         line = F.concat_ws(" ", F.concat("raw_name", F.lit(":")), "raw_value", "raw_unit")
+        if layout == "hub":
+            line = F.when(F.col("ord") % 3 == 0, F.concat("raw_name", F.lit("\nResults: "), "raw_value", F.lit(" ("), "raw_unit", F.lit(")"))).otherwise(line)
         head, sep = "", "\n"
     else:
         head, sep = {"comma": ("Test Name,Result,Units\n", ","), "semicolon": ("Test Name;Result;Units\n", ";"), "tab": ("Test Name\tResult\tUnits\n", "\t")}[layout]
