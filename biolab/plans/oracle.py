@@ -174,7 +174,9 @@ def _bare(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
-TOKENS = f"""{REPORT}, {_layout(0, '(?m)' + V.HUB)}, {_layout(1, '(?i)' + V.COLON)}, {_layout(2, '(?i)' + V.GENERAL)},
+def tokens(report: str) -> str:
+    """Step ``tok`` behind the steps ``report``, of which ``rep`` has the texts."""
+    return f"""{report}, {_layout(0, '(?m)' + V.HUB)}, {_layout(1, '(?i)' + V.COLON)}, {_layout(2, '(?i)' + V.GENERAL)},
 tok AS (SELECT doc_id, layout, start, stop, {_bare('g.name')} AS raw_name, g.cmp AS mark, g.value AS raw_value, {_bare('g.unit')} AS raw_unit FROM (SELECT * FROM layout0 UNION ALL SELECT * FROM layout1 UNION ALL SELECT * FROM layout2))"""
 
 
@@ -183,16 +185,31 @@ def _free(layout: int, taken: str) -> str:
     return f"(SELECT * FROM named r WHERE layout = {layout} AND NOT EXISTS (SELECT 1 FROM {taken} t WHERE t.doc_id = r.doc_id AND ({inside('start')} OR {inside('stop')})))"
 
 
-_TEXT_PARSED = f"""{TOKENS}, src AS (SELECT * FROM tok), {parse('raw_value')},
-parsed AS (SELECT doc_id, layout, start, stop, raw_name, raw_value, value, {comparator('mark')} AS comparator, {unit('raw_unit')} AS unit FROM num WHERE value IS NOT NULL)"""
-
-READINGS = f"""{resolution(_TEXT_PARSED, 'tok', 'doc_id, layout, start, stop')},
-named AS (SELECT * FROM resolved WHERE resolved OR (strlen(raw_name) >= 2 AND lower(raw_name) NOT IN ({', '.join(map(q, V.STOP_WORDS))}))),
+def readings(report: str, more: str = "") -> str:
+    """Steps ``resolved`` and ``readings`` of the texts in ``rep``; ``more`` adds rows of a layout 3, which are resolved too."""
+    steps = f"""{tokens(report)}, src AS (SELECT * FROM tok{more}), {parse('raw_value')},
+parsed AS (SELECT doc_id, layout, start, stop, raw_name, raw_value, value, {comparator('mark')} AS comparator, {unit('raw_unit')} AS unit FROM num)"""
+    return f"""{resolution(steps, 'src', 'doc_id, layout, start, stop')},
+named AS (SELECT * FROM resolved WHERE value IS NOT NULL AND (resolved OR (strlen(raw_name) >= 2 AND lower(raw_name) NOT IN ({', '.join(map(q, V.STOP_WORDS))})))),
 k0 AS (SELECT * FROM named WHERE layout = 0), t0 AS (SELECT doc_id, start, stop FROM k0 WHERE resolved),
 k1 AS {_free(1, 't0')}, t1 AS (SELECT * FROM t0 UNION ALL SELECT doc_id, start, stop FROM k1 WHERE resolved), k2 AS {_free(2, 't1')},
 readings AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY layout, start) - 1)::int AS ord FROM (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2))"""
 
 
+TOKENS, READINGS = tokens(REPORT), readings(REPORT)
+
+_COMMAS = "len({0}) - len(replace({0}, ',', ''))"
+#: Even documents are written as tables, odd ones as running text; either may be taken for the other.
+_EITHER = f"""{M}, written AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Test Name,Result,Units' || chr(10) || string_agg(CASE WHEN contains(raw_name, ',') THEN '"' || raw_name || '"' ELSE raw_name END || ',"' || raw_value || '",' || raw_unit, chr(10) ORDER BY ord)
+ ELSE string_agg(raw_name || ': ' || raw_value || ' ' || raw_unit, chr(10) ORDER BY ord) END AS content FROM m GROUP BY doc_id),
+lines AS (SELECT *, string_split(content, chr(10)) AS ls, string_split(string_split(content, chr(10))[1], ',') AS fields FROM written),
+sniffed AS (SELECT doc_id, content, len(ls) >= 2 AND {_COMMAS.format('ls[1]')} >= 2 AND len(list_filter(fields, lambda f: regexp_full_match(trim(f), '[\\p{{L}}\\s]+'))) >= len(fields) // 2
+ AND abs({_COMMAS.format("coalesce(ls[2], '')")} - ({_COMMAS.format('ls[1]')})) <= 1 AS delimited FROM lines),
+rep AS (SELECT doc_id, content FROM sniffed WHERE NOT delimited)"""
+_TABLED = " UNION ALL SELECT doc_id, 3, ord, 0, raw_name, trim(raw_value), trim(raw_value), raw_unit FROM m JOIN sniffed USING (doc_id) WHERE delimited AND doc_id % 2 = 0"
+AUTO = readings(_EITHER, _TABLED)
+
+
 # ------------------------------------------------------------ answered values near their names
 
 PROXIMITY = f"""{PARSED}, page AS (SELECT doc_id, string_agg(raw_name || ': ' || raw_value || ' ' || raw_unit, chr(10) ORDER BY ord) AS content FROM m GROUP BY doc_id),
