@@ -2,12 +2,11 @@
 
 For each host, the pages containing a line are divided by the host's pages; lines over ``RATIO`` and
 on at least ``MIN_PAGES`` pages go from all of the host's pages. Pages with one and the same text
-count as one page, so a text that is copied often isn't taken for boilerplate. With ``most``, lines on two pages
-or more that are over that share of a host's pages go too, so hosts of fewer than ``MIN_PAGES`` pages aren't exempt.
+count as one page, so a text that is copied often isn't taken for boilerplate. Lines on two pages
+or more that are over the share ``MOST`` of a host's pages go too, so hosts of fewer than ``MIN_PAGES`` pages aren't exempt.
 
-The pipeline takes ``SITE_RATIO`` and ``MOST``. ``SITE_RATIO`` stands in the gap of the measured line frequencies: on sf0.1 (20 hosts
-of about 496 distinct pages) the footer is on 8.6 to 13.2 % of each host's pages, and no other line is on more than 4.7 %.
-The registered query keeps ``RATIO`` and no ``most``, as its SQL has them.
+``RATIO`` stands in the gap of the measured line frequencies: on sf0.1 (20 hosts of about 496 distinct pages) the footer is
+on 8.6 to 13.2 % of each host's pages, and no other line is on more than 4.7 %.
 
 A host's dropped lines are few by proof: their shares of pages add up to the mean number of distinct
 lines of a page, so there are at most (mean lines a page) / ratio of them, whatever the host's size.
@@ -28,9 +27,8 @@ from ._joins import attach, quoted
 from ._scratch import Scratch
 from .quality_rules import SPACE, held
 
-RATIO = 0.10
+RATIO = 0.06
 MIN_PAGES = 5
-SITE_RATIO = 0.06
 MOST = 0.5
 #: Up to so many hosts and so many dropped lines (16 bytes each) over all hosts, the table of dropped lines is broadcast;
 #: beyond it the join is a salted shuffle.
@@ -43,7 +41,7 @@ def bare(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACE))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, most: float | None = None) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, most: float | None = MOST) -> DataFrame:
     """(host, line hash, n_pages, host_pages) of the lines to drop."""
     scratch = Scratch(docs.sparkSession, "lines")
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), bare), lambda x: x != "")
@@ -66,7 +64,7 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
     return found
 
 
-def dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, most: float | None = None) -> DataFrame:
+def dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, most: float | None = MOST) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``; all rows and columns stay."""
     found = boilerplate(docs, host, ratio, min_pages, most)
     part = lambda h: F.pmod(h, F.lit(PARTS)).cast("int")
@@ -98,7 +96,7 @@ l AS (SELECT rid, source, text, i, lines[i] AS line, trim(lines[i], chr(32) || c
       FROM (SELECT *, string_split(text, chr(10)) AS lines FROM t), unnest(range(1, len(lines) + 1)) AS r(i)),
 pages AS (SELECT source, count(DISTINCT text) AS host_pages FROM t GROUP BY source),
 c AS (SELECT source, bare, count(DISTINCT text) AS n FROM l WHERE bare <> '' GROUP BY source, bare),
-f AS (SELECT c.source, bare, true AS hit FROM c JOIN pages p ON c.source IS NOT DISTINCT FROM p.source WHERE n >= 5 AND n > 0.1 * host_pages),
+f AS (SELECT c.source, bare, true AS hit FROM c JOIN pages p ON c.source IS NOT DISTINCT FROM p.source WHERE n >= 5 AND n > 0.06::double * host_pages OR n >= 2 AND n > 0.5 * host_pages),
 k AS (SELECT rid, count(*) AS n_lines, count(hit) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE hit IS NULL), '') AS kept
       FROM l LEFT JOIN f ON l.source IS NOT DISTINCT FROM f.source AND l.bare = f.bare GROUP BY rid)
 SELECT doc_id, n_lines, n_dropped, md5(kept) AS kept_md5 FROM k JOIN t USING (rid)"""

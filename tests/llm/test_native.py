@@ -210,18 +210,20 @@ def test_a_good_page_of_a_bad_host_goes_with_it(spark):
     assert not got.kept.iloc[-1] and not got.base_failed.iloc[-1] and got.kept.iloc[70]
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("ratio, most", [(line_dedup.RATIO, line_dedup.MOST), (0.1, None)])
+def test_line_dedup_equals_brute_force(spark, ratio, most):
     texts = EDGE + corpus(5, 120) + ["same text\nfooter here"] * 30
     sources = [None if i % 10 == 0 else f"s{i % 2}" for i in range(len(texts))]
     docs = documents(spark, texts, sources)
-    got = collected(line_dedup.dedup(docs), "doc_id")
+    got = collected(line_dedup.dedup(docs, ratio=ratio, most=most), "doc_id")
     space = " \t\n\x0b\x0c\r"
     pages, holds = defaultdict(set), defaultdict(set)
     for t, s in zip(texts, sources):
         pages[s].add(t or "")
         for x in (t or "").split("\n"):
             holds[s, x.strip(space)].add(t or "")
-    drop = {k for k, v in holds.items() if k[1] and len(v) >= 5 and len(v) > 0.1 * len(pages[k[0]])}
+    share = {k: len(v) / len(pages[k[0]]) for k, v in holds.items() if k[1]}
+    drop = {k for k, x in share.items() if (len(holds[k]) >= 5 and x > ratio) or (most and len(holds[k]) >= 2 and x > most)}
     want = [t if t is None else "\n".join(x for x in t.split("\n") if (s, x.strip(space)) not in drop) for t, s in zip(texts, sources)]
     assert [None if x is None or x != x else x for x in got.text] == want and drop
     assert got.columns.tolist() == docs.columns
