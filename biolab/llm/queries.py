@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from . import decontaminate, kneser_ney, line_dedup, mixing, near_dedup, pii, quality_gam, quality_rules, suffix_dedup, token_counts
+from . import conversation_repair, decontaminate, hard_negatives, kneser_ney, line_dedup, mixing, near_dedup, pii, quality_gam, quality_rules, sharding, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_quality_gam": quality_gam.query,
     "op9_kneser_ney": partial(kneser_ney.query, order=3),
     "op10_line_dedup": line_dedup.query,
+    "op11_virtual_slots": sharding.query,
+    "op12_hard_negatives": hard_negatives.query,
+    "op13_repair_conversations": conversation_repair.query,
 }
 
 ORACLES = {
@@ -25,4 +28,5 @@ ORACLES = {
     "op4_mix_sources": mixing.oracle(),
     "op6_quality_rules": quality_rules.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
