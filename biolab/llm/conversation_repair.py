@@ -291,3 +291,44 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = digests(*repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
     return df.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def _oracle() -> str:
+    """DuckDB SQL for ``query``: costs and audits from the first turn on, in a recursive step for each turn."""
+    more = lambda s, cost, letter: f"CASE WHEN {s} IS NOT NULL THEN {{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}'}} END"
+    when = lambda cond, x: f"CASE WHEN {cond} THEN {x} END"
+    go = [[more(f"s{s}", DELETE, "D")] for s in range(4)]
+    for (s, letter), to in KEPT.items():
+        go[to].append(when(f"l = '{letter}'", more(f"s{s}", "t", "K")))
+    for s, to in enumerate(NEXT):
+        go[to].append(when("l <> 'd'", more(f"s{s}", f"{REROLE} + t", "R")))
+    step = ", ".join(f"least({', '.join(x)}) AS g{s}" for s, x in enumerate(go))
+    put = lambda s: more(s, INSERT, "I")
+    byte = "lambda c, b: list_reduce(list_prepend(xor(c, b), [1, 2, 3, 4, 5, 6, 7, 8]::ubigint[]), lambda a, i: xor(a >> 1, 3988292384::ubigint * (a & 1)))"
+    order = "PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy"
+    return f"""
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') AS key FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(key, ''), lambda b: ascii(b)::ubigint)), {byte}), 4294967295::ubigint) % 20 AS what FROM named),
+dmg AS (SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+ FROM crc, unnest(CASE WHEN what = 3 THEN [0, 1] ELSE [0] END) AS u(copy) WHERE what <> 0),
+placed AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER ({order}) AS pos, left(role, 1) AS ini, lag(left(role, 1)) OVER ({order}) AS before,
+ row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM dmg),
+f AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM placed),
+letters AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' WHEN ini IN ('s', 'u', 'a') THEN ini ELSE 'x' END AS l, coalesce(fault = 'truncated', false)::int AS t FROM f),
+dp AS (SELECT DISTINCT conv_id, 0::bigint AS pos, {{'c': 0, 'a': ''}} AS s0, NULL::struct(c integer, a varchar) AS s1, {{'c': {INSERT}, 'a': 'I'}} AS s2, {{'c': {2 * INSERT}, 'a': 'II'}} AS s3 FROM conversations
+ UNION ALL SELECT conv_id, pos, g0, g1, h2, least(g3, {put('h2')}) FROM (SELECT *, least(g2, {put('g0')}, {put('g1')}, {put('g3')}) AS h2
+ FROM (SELECT dp.conv_id, letters.pos, {step} FROM dp JOIN letters ON letters.conv_id = dp.conv_id AND letters.pos = dp.pos + 1))),
+best AS (SELECT conv_id, least(s0, s3) AS r FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1),
+edits AS (SELECT conv_id, i, substring(r.a, i, 1) AS e FROM best, unnest(range(1, len(r.a) + 1)) AS u(i)),
+shown AS (SELECT *, count(*) FILTER (e <> 'I') OVER w AS pos, count(*) FILTER (e <> 'D') OVER w - 1 AS nth FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+met AS (SELECT s.*, CASE WHEN e <> 'I' THEN role END AS role, CASE WHEN e <> 'I' THEN text END AS text, max((e = 'K' AND s.nth = 0 AND ini = 's')::int) OVER (PARTITION BY s.conv_id) AS led
+ FROM shown s LEFT JOIN placed p ON p.conv_id = s.conv_id AND p.pos = s.pos),
+line AS (SELECT conv_id, i, CASE WHEN e = 'K' THEN role WHEN (nth - led) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, '') AS line FROM met WHERE e <> 'D'),
+sha AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY i)) AS repaired_sha256 FROM line GROUP BY conv_id),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+ count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0)::bigint AS gaps, coalesce(blank, 0)::bigint AS blank, coalesce(duplicate, 0)::bigint AS duplicate, coalesce(truncated, 0)::bigint AS truncated, coalesce(illegal, 0)::bigint AS illegal,
+ r.c::bigint AS cost, r.a AS audit, coalesce(repaired_sha256, '{hashlib.sha256(b"").hexdigest()}') AS repaired_sha256 FROM best LEFT JOIN n USING (conv_id) LEFT JOIN sha USING (conv_id)"""
+
+
+ORACLE = _oracle()

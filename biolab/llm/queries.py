@@ -29,4 +29,5 @@ ORACLES = {
     "op6_quality_rules": quality_rules.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
     "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_repair_conversations": conversation_repair.ORACLE,
 }

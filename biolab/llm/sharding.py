@@ -27,10 +27,12 @@ from ._scratch import Scratch
 
 SLOTS = 8192
 SHARDS = 24
+#: Shards are level once they differ by no more than this share of their mean, so that few slots move.
+SLACK = 0.001
 #: Bytes that a record takes besides its text.
 OVERHEAD = 8
 #: Copies of one record that share a slot.
-COPIES = 1024
+COPIES = 64
 #: Records of a cell, about.
 CELL = 10_000
 #: Records with more than COPIES copies: up to so many (some 50 bytes each) are broadcast.
@@ -59,7 +61,7 @@ class SlotMap:
         """The next version, with shards levelled by ``weight`` (of each slot).
 
         Shards above the mean give up their largest slots that fit into the excess, the lightest shards take those, largest
-        first; then the heaviest and the lightest swap or move one slot at a time while that narrows their gap.
+        first; then a heavy shard and the lightest swap or move one slot at a time while that narrows their gap and it isn't slack yet.
         """
         shard, mean = self.shard.copy(), weight.sum() / self.shards
         total, pool = self.totals(weight), []
@@ -73,11 +75,17 @@ class SlotMap:
             shard[slot] = at = int(total.argmin())
             total[at] += weight[slot]
         for _ in range(20 * self.shards):
-            a, b = int(total.argmax()), int(total.argmin())
-            mine, theirs, gap = np.flatnonzero(shard == a), np.flatnonzero(shard == b), total[a] - total[b]
-            change = weight[mine][:, None] - np.append(weight[theirs], 0)[None, :]
-            off = np.where((change > 0) & (change < gap), np.abs(change - gap / 2), np.inf)
-            if not off.size or not np.isfinite(off.min()):
+            b = int(total.argmin())
+            if total.max() - total[b] <= SLACK * mean:
+                break
+            theirs = np.flatnonzero(shard == b)
+            for a in np.argsort(-total, kind="stable"):  # the heaviest that has something to give
+                mine, gap = np.flatnonzero(shard == a), total[a] - total[b]
+                change = weight[mine][:, None] - np.append(weight[theirs], 0)[None, :]
+                off = np.where((change > 0) & (change < gap), np.abs(change - gap / 2), np.inf)
+                if off.size and np.isfinite(off.min()):
+                    break
+            else:
                 break
             i, j = np.unravel_index(off.argmin(), off.shape)
             shard[mine[i]] = b
