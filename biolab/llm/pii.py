@@ -386,22 +386,29 @@ def found(texts: pa.Array, weights: np.ndarray, move: np.ndarray):
         mine = marked[bounds[i] : bounds[i + 1]]
         if len(mine):
             raw = data[offsets[i] : offsets[i + 1]]
+            a, b = starts[mine] - offsets[i], ends[mine] - offsets[i]
+            breaks = np.cumsum(raw == 10) if len(mine) > 1 else None
+            # a run goes on while the next word follows, has the same label and is on the same line
+            new = np.append(True, (np.diff(mine) != 1) | (labels[mine][1:] != labels[mine][:-1]) | (breaks[a[1:]] != breaks[b[:-1] - 1])) if breaks is not None else np.array([True])
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(mine)) - 1
+            points = np.cumsum((raw & 0xC0) != 0x80)  # code points up to each byte
+            spans = points[a[head]] - 1, points[b[tail] - 1]
             taken = sorted(s for spans in base for s in spans)
-            at = 0
-            while at < len(mine):
-                end = at
-                while end + 1 < len(mine) and mine[end + 1] == mine[end] + 1 and labels[mine[end + 1]] == labels[mine[at]] and not (raw[ends[mine[end]] - offsets[i] : starts[mine[end + 1]] - offsets[i]] == 10).any():
-                    end += 1
-                kind = KINDS[labels[mine[at]] - 1]
-                s = len(raw[: starts[mine[at]] - offsets[i]].tobytes().decode())
-                e = s + len(raw[starts[mine[at]] - offsets[i] : ends[mine[end]] - offsets[i]].tobytes().decode())
+            reach = np.maximum.accumulate([e for _, e in taken]) if taken else None  # the furthest end of the first base spans
+            before = np.searchsorted([s for s, _ in taken], spans[1]) if taken else None
+            for j, (s, e) in enumerate(zip(*(x.tolist() for x in spans))):
+                label = int(labels[mine[head[j]]]) - 1
                 while s < e and text[s] in _EDGE:
                     s += 1
                 while e > s and text[e - 1] in _EDGE:
                     e -= 1
-                if s < e and plausible(kind, text[s:e]) and not any(a < e and s < b for a, b in taken):
-                    more[labels[mine[at]] - 1].append((s, e))
-                at = end + 1
+                if s < e and plausible(KINDS[label], text[s:e]):
+                    k = int(before[j]) if taken else 0
+                    while k and taken[k - 1][0] >= e:  # the run's end moved back over marks
+                        k -= 1
+                    if not k or reach[k - 1] <= s:
+                        more[label].append((s, e))
         yield base, more
 
 
