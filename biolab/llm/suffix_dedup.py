@@ -20,8 +20,8 @@ Documents that equal an earlier one as a whole are settled first and not cut up:
 have 50.
 
 Defined cases: a null text is empty; texts under 50 bytes lose nothing and take nothing; matches don't cross documents;
-very long texts are hashed as a whole, some 60 bytes of memory for each of their bytes; of rows that repeat a
-doc_id with different texts one (any) is cut up and decides for all of them, with one text they are one document; rows
+very long texts are hashed as a whole, some 60 bytes of memory for each of their bytes; rows that repeat a doc_id with different
+texts are rows of one document: each is cut by what earlier documents have, not by one another; rows equal in both lose the same; rows
 with a null doc_id lose nothing and take nothing; ties are settled by the smallest doc_id; an empty table gives an
 empty result; other columns are not read.
 """
@@ -43,6 +43,7 @@ from ._scratch import Scratch
 from ._words import BYTE, U, inverse_powers, mix, powers, slices, text_bytes
 from .external_suffix import Column, Queue, sort_text, starts_of
 
+KEY = ["doc_id", "tid"]
 WIDTH = 50
 GRAM = 20
 KEY_BITS = 56
@@ -127,8 +128,9 @@ def joined(table: pa.Table, n: int) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) for i in range(n)] if parts else [np.zeros(0, np.int64)] * n
 
 
-def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(ids.view(U)) % U(buckets)).astype(np.int64)
+def _bucket(ids: np.ndarray, texts: np.ndarray, buckets: int) -> np.ndarray:
+    """By doc_id and text, so that texts of one doc_id spread too."""
+    return (mix(mix(ids.view(U)) ^ texts.view(U)) % U(buckets)).astype(np.int64)
 
 
 def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
@@ -273,6 +275,15 @@ class Shard:
         return self.home.take(frag), self.number.take(frag), start - begin, end - begin
 
 
+def row_numbers(doc: np.ndarray, tid: np.ndarray) -> np.ndarray:
+    """A number for each distinct (doc, tid), from 0."""
+    order = np.lexsort((tid, doc))
+    doc, tid = doc[order], tid[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.concatenate(([False], (doc[1:] != doc[:-1]) | (tid[1:] != tid[:-1]))))
+    return out
+
+
 def united(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
     """Maximal runs of the intervals of each doc."""
     order = np.lexsort((start, doc))
@@ -285,9 +296,15 @@ def united(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
     return doc[head], start[head], far[np.append(head[1:], len(doc)) - 1]
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, tid) of every row; what is removed from a row goes by doc_id and text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tid"))
+
+
 def picked(texts: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of ``texts`` whose doc_id is (left_semi) or isn't (left_anti) among ``ids``."""
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", how)
+    """Rows of ``texts`` whose doc_id and text are (left_semi) or aren't (left_anti) among ``ids``."""
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, KEY, how).select(*texts.columns)
 
 
 def copies_marked(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -306,17 +323,16 @@ def copies_marked(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two tables. (doc_id, n_bytes, sha256, copy) of all rows, ``copy`` telling whether an earlier document has the same
-    text, and (doc_id, starts, ends) of the covered runs of documents that are not copies."""
+    """Two tables. (doc_id, tid, n_bytes, sha256, copy) of all rows, ``copy`` telling whether an earlier document has the same
+    text, and (doc_id, tid, starts, ends) of the covered runs of rows that are not copies. ``tid``: a hash of the text."""
     scratch = Scratch(docs.sparkSession, "suffix")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = scratch.put("rows", docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256")))
+    docs = identified(docs)
+    rows = scratch.put("rows", docs.select("doc_id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256")))
     rows = scratch.put("all", copies_marked(rows, scratch))
     scratch.drop("rows", "first")
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = shards = int(total // BUCKET) + 1
-    # rows that repeat a doc_id are met once
-    copies = scratch.put("copies", rows.filter("copy").select("doc_id").distinct())
+    copies = scratch.put("copies", rows.filter("copy").select(*KEY).distinct())
     texts = picked(docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WIDTH)), copies, "left_anti")
 
     def keys(batches):
@@ -324,19 +340,19 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         held, n = [], 0
 
         def flush():
-            key, doc = (np.concatenate(x) for x in zip(*held))
-            home = _bucket(doc, buckets)
+            key, doc, home = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((doc, home, key))
             key, doc, home = key[order], doc[order], home[order]
             head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (home[1:] != home[:-1]))))
             tail = np.append(head[1:], len(key)) - 1
-            key, least, most = key[head], doc[head], doc[tail]
-            return packed((s, planes(np.diff(k, prepend=0), a, b - a)) for s, k, a, b in dealt(key % shards, key, least, most)).to_batches()
+            key, least, most, home = key[head], doc[head], doc[tail], home[head]
+            return packed((s, planes(np.diff(k, prepend=0), a, b - a, h)) for s, k, a, b, h in dealt(key % shards, key, least, most, home)).to_batches()
 
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 key, text, _, _ = fragments(*text_bytes(batch.column(1)))
-                held.append((key.astype(np.int64), batch.column(0).to_numpy()[text]))
+                ids = batch.column(0).to_numpy()
+                held.append((key.astype(np.int64), ids[text], _bucket(ids, batch.column(2).to_numpy(), buckets)[text]))
                 n += len(key)
                 if n > RUN:
                     yield from flush()
@@ -346,24 +362,24 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def shared(table: pa.Table) -> pa.Table:
         """Keys that two documents hold, to the buckets of the documents."""
-        parts = [unplaned(b.as_py(), 3) for b in table["blob"]]
-        key, least, more = np.concatenate([np.cumsum(p[0]) for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in (1, 2))
+        parts = [unplaned(b.as_py(), 4) for b in table["blob"]]
+        key, least, more, home = np.concatenate([np.cumsum(p[0]) for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
         order = np.argsort(key, kind="stable")
-        key, least, most = key[order], least[order], (least + more)[order]
+        key, least, most, home = key[order], least[order], (least + more)[order], home[order]
         head = starts_of(key)
         twice = np.repeat(np.minimum.reduceat(least, head) != np.maximum.reduceat(most, head), np.diff(np.append(head, len(key))))
-        return packed((g, planes(k)) for g, k in dealt(_bucket(least[twice], buckets), key[twice]))
+        return packed((g, planes(k)) for g, k in dealt(home[twice], key[twice]))
 
     def cut(found: pa.Table, text: pa.Table) -> pa.Table:
         """A bucket's fragments with a shared key: each distinct one once, and where they occur."""
         wanted = np.unique(joined(found, 1)[0])
         got, bodies, at_byte = [], [], 0
         if len(wanted):
-            seen: set[int] = set()
-            for whole in text.select(["doc_id", "text"]).to_batches():
+            seen: set[tuple[int, int]] = set()
+            for whole in text.select(["doc_id", "text", "tid"]).to_batches():
                 for batch in slices(whole, "text", SLICE):
-                    ids = batch.column(0).to_numpy()
-                    again = np.array([i in seen or seen.add(i) for i in ids.tolist()], bool)
+                    ids, tids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                    again = np.array([i in seen or seen.add(i) for i in zip(ids.tolist(), tids.tolist())], bool)
                     data, offsets = text_bytes(batch.column(1))
                     key, number, a, b = fragments(data, offsets)
                     key = key.astype(np.int64)
@@ -379,10 +395,10 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
                     bodies.append(data[np.repeat(a[one], size) + inner])
                     at_byte += int(size.sum())
-                    got.append((key, h, ids[number], a - offsets[number], b - a, where))
+                    got.append((key, h, ids[number], tids[number], a - offsets[number], b - a, where))
         if not at_byte:
             return pa.table({"at": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("head", "places", "body")}})
-        key, h, doc, off, size, where = (np.concatenate(x) for x in zip(*got))
+        key, h, doc, tid, off, size, where = (np.concatenate(x) for x in zip(*got))
         order = np.lexsort((where < 0, h, key))
         new = np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (h[order][1:] != h[order][:-1])))
         head = order[new]
@@ -391,7 +407,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
         data, size_of, start = np.concatenate(bodies), size[head], where[head]
         body = b"".join(data[x : x + n].tobytes() for x, n in zip(start.tolist(), size_of.tolist()))
-        blobs = planes(key[head], h[head], least, size_of), planes(doc, off, kind), zstandard.ZstdCompressor(1).compress(body)
+        blobs = planes(key[head], h[head], least, size_of), planes(doc, tid, off, kind), zstandard.ZstdCompressor(1).compress(body)
         return pa.table({"at": pa.array([text["at"][0].as_py()], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in zip(("head", "places", "body"), blobs)}})
 
     def heads(batches):
@@ -420,10 +436,11 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def bucket_of(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_bucket(batch.column(0).to_numpy(), buckets), pa.int32())], names=["doc_id", "text", "at"])
+            home = _bucket(batch.column(0).to_numpy(), batch.column(2).to_numpy(), buckets)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32())], names=["doc_id", "text", "tid", "at"])
 
     hot = scratch.put("keys", texts.mapInArrow(keys, PACKED).groupBy("at").applyInArrow(shared, PACKED))
-    placed = texts.mapInArrow(bucket_of, "doc_id long, text string, at int")
+    placed = texts.mapInArrow(bucket_of, "doc_id long, text string, tid long, at int")
     pieces = scratch.put("pieces", hot.groupBy("at").cogroup(placed.groupBy("at")).applyInArrow(cut, "at int, head binary, places binary, body binary"))
     scratch.drop("keys")
     met = pieces.select("at", "head").mapInArrow(heads, PACKED)
@@ -461,70 +478,72 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def unite(own: pa.Table, found: pa.Table) -> pa.Table:
         """A bucket's covered runs: whole fragments in documents after their least one, and what the sorters found in that one."""
-        schema = pa.schema([("doc_id", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
         if not own.num_rows:
             return schema.empty_table()
         _, _, first, size = unplaned(own["head"][0].as_py(), 4)
         first = first.copy()
-        doc, off, kind = unplaned(own["places"][0].as_py(), 3)
+        doc, tid, off, kind = unplaned(own["places"][0].as_py(), 4)
+        row = row_numbers(doc, tid)
+        at_row = np.unique(row, return_index=True)[1]
         sorted_ = pc.equal(found["tag"], 1)
         number, least, _ = joined(found.filter(pc.invert(sorted_)), 3)
         first[number] = least
         whole = doc > first[kind]
-        spans = [(doc[whole], off[whole], off[whole] + size[kind[whole]])]
+        spans = [(row[whole], off[whole], off[whole] + size[kind[whole]])]
         number, start, end = joined(found.filter(sorted_), 3)
         if len(number):
             order = np.argsort(number, kind="stable")
             number, start, end = number[order], start[order], end[order]
-            doc, off, kind = doc[~whole], off[~whole], kind[~whole]
+            of, off, kind = row[~whole], off[~whole], kind[~whole]
             a, b = np.searchsorted(number, kind, "left"), np.searchsorted(number, kind, "right")
             n = b - a
             at = np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            spans.append((np.repeat(doc, n), np.repeat(off, n) + start[at], np.repeat(off, n) + end[at]))
-        doc, start, end = (np.concatenate(x) for x in zip(*spans))
-        if not len(doc):
+            spans.append((np.repeat(of, n), np.repeat(off, n) + start[at], np.repeat(off, n) + end[at]))
+        row, start, end = (np.concatenate(x) for x in zip(*spans))
+        if not len(row):
             return schema.empty_table()
-        doc, start, end = united(doc, start, end)
-        head = starts_of(doc)
-        ends = pa.array(np.append(head, len(doc)), pa.int32())
-        return pa.table({"doc_id": doc[head], "starts": pa.ListArray.from_arrays(ends, pa.array(start)), "ends": pa.ListArray.from_arrays(ends, pa.array(end))})
+        row, start, end = united(row, start, end)
+        head = starts_of(row)
+        ends = pa.array(np.append(head, len(row)), pa.int32())
+        at = at_row[row[head]]
+        return pa.table({"doc_id": doc[at], "tid": tid[at], "starts": pa.ListArray.from_arrays(ends, pa.array(start)), "ends": pa.ListArray.from_arrays(ends, pa.array(end))})
 
     sent = answers.groupBy("at").cogroup(pieces.select("at", "head", "body").groupBy("at")).applyInArrow(send, PACKED)
     spans = scratch.put("sorted", sent.groupBy("at").applyInArrow(sort, PACKED))
     found = answers.select("at", "blob", F.lit(0).alias("tag")).unionByName(spans.withColumn("tag", F.lit(1)))
     own = pieces.select("at", "head", "places")
-    spans = scratch.put("spans", own.groupBy("at").cogroup(found.groupBy("at")).applyInArrow(unite, "doc_id long, starts array<long>, ends array<long>"))
+    spans = scratch.put("spans", own.groupBy("at").cogroup(found.groupBy("at")).applyInArrow(unite, "doc_id long, tid long, starts array<long>, ends array<long>"))
     scratch.drop("pieces", "answers", "sorted")
     return rows, spans
 
 
 def dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two tables: all rows as of ``repeated_spans``, and (doc_id, n_removed, n_spans, kept) of documents that lose a part."""
+    """Two tables: all rows as of ``repeated_spans``, and (doc_id, tid, n_removed, n_spans, kept) of rows that lose a part, repeated rows once."""
     rows, spans = repeated_spans(docs)
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = picked(named, spans.select("doc_id"), "left_semi").dropDuplicates(["doc_id"])
+    texts = picked(identified(docs), spans.select(*KEY), "left_semi").dropDuplicates(KEY)
 
     def remove(batches):
         for batch in batches:
             removed, kept = [], []
-            for text, a, b in zip(batch.column(1), batch.column(2), batch.column(3)):
+            for text, a, b in zip(*(batch.column(i) for i in (2, 3, 4))):
                 raw, at, parts = text.as_buffer().to_pybytes(), 0, []
                 for x, y in zip(a.as_py(), b.as_py()):
                     parts.append(raw[at:x])
                     at = y
                 kept.append(b"".join(parts) + raw[at:])
                 removed.append(len(raw) - len(kept[-1]))
-            n = [len(a) for a in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_removed", "n_spans", "kept"])
+            n = [len(a) for a in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "tid", "n_removed", "n_spans", "kept"])
 
-    return rows, texts.join(spans, "doc_id").mapInArrow(remove, "doc_id long, n_removed long, n_spans long, kept binary")
+    return rows, texts.select(*KEY, "text").join(spans, KEY).mapInArrow(remove, "doc_id long, tid long, n_removed long, n_spans long, kept binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     rows, cut = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    cut = cut.select("doc_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha256"))
+    cut = cut.select(*KEY, "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha256"))
     whole = F.col("copy") & (F.col("n_bytes") >= WIDTH)
-    return rows.join(cut, "doc_id", "left").select(
+    return rows.join(cut, KEY, "left").select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),

@@ -116,3 +116,27 @@ def test_null_ids_repeats_and_empty(spark, tmp_path):
     assert [r.n_removed for r in suffix_dedup.query(spark, f"{tmp_path}/a").collect()] == [0, 0, 0]
     documents(spark, [text]).limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert suffix_dedup.query(spark, f"{tmp_path}/b").count() == 0
+
+
+@pytest.mark.parametrize("bucket", [300, 16 << 20])
+def test_texts_of_one_doc_id_are_judged_each(spark, monkeypatch, tmp_path, bucket):
+    """Two and more texts of one doc_id, in both row orders: none decides for another, and none takes from another."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(suffix_dedup, "SHARD", bucket)
+    run = lambda a, b: " ".join(WORDS[a:b])
+    rows = [(1, run(0, 90)), (2, run(20, 80) + " x"), (2, run(100, 150)), (2, run(100, 140) + " y"), (2, run(0, 90)), (3, run(110, 200)), (3, run(300, 320)), (3, run(300, 320)), (4, run(300, 330))]
+    got = []
+    for name, order in (("a", rows), ("b", rows[::-1])):
+        documents(spark, [t for _, t in order], ids=[i for i, _ in order]).repartition(3).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got.append(sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.query(spark, f"{tmp_path}/{name}").collect()))
+    starts = lambda t: {t.encode()[i : i + 50] for i in range(len(t) - 49)}
+    want = []
+    for i, t in rows:
+        earlier = set().union(*(starts(u) for j, u in rows if j < i), set())
+        gone = bytearray(len(t) + 1)
+        for k in range(len(t) - 49):
+            if t.encode()[k : k + 50] in earlier:
+                gone[k : k + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(t.encode(), gone) if not g)
+        want.append((i, len(t), sum(gone), sum(g and not h for g, h in zip(gone, b"\0" + gone)), hashlib.sha256(kept).hexdigest()))
+    assert got[0] == got[1] == sorted(want)
