@@ -221,6 +221,8 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 def count_pairs(texts: DataFrame, folder: str, vocabulary: Vocabulary, total: int, scratch: Scratch, order: int) -> "Model":
     words = len(vocabulary)
     width = words + 1  # ids 0 .. V - 1, and V for the beginning
+    if width * width >= 1 << 64:
+        raise ValueError(f"{words} distinct words: a pair of word numbers takes more than 64 bits")
     shards = max(1, -(-total // SHARD))
     spans = max(1, -(-width // SHARD))
     size = -(-width // spans)

@@ -11,7 +11,7 @@ A word whose score for O is over all others by more than two transitions can mak
 its neighbours are. The chain falls apart there without changing any label, and only the stretches between are decoded.
 
 Defined cases: a null text is empty and has no spans; offsets are code points, ends are exclusive;
-repeated rows give the same spans; of labels that tie the first is taken; words of a very long text are handled slice by slice of
+repeated rows give the same spans; a word of over 200 bytes is of no kind by itself; of labels that tie the first is taken; words of a very long text are handled slice by slice of
 documents, a single text as a whole; an empty table gives an empty result; other columns are not read by ``find_pii`` and kept by
 ``redact``, whatever their names.
 """
