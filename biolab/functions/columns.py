@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,11 @@ def once(*cols) -> Column:
     return F.inline(F.array(F.struct(*cols)))
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that is computed once, however often ``f`` names it: in nested expressions copies of copies are too much to compile."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def to_double(c: Column) -> Column:
     return F.when(c.rlike(FLOAT), c.try_cast("double"))
 
@@ -121,21 +127,37 @@ def _any(words: list[str]) -> str:
     return "(?:" + "|".join(w.replace("(", r"\(").replace(")", r"\)") for w in words) + ")"
 
 
-def normalize_name(raw: Column) -> Column:
-    """A marker's name for lookup: translation, specimen, method, abbreviation, spelling, noise words, dashes."""
-    s = F.lower(trim(raw))
-    s = F.coalesce(_lookup(V.ITALIAN, s), s)
-    s = F.regexp_replace(s, "^" + _any(V.SPECIMEN_PREFIXES), "")
-    s = trim(F.regexp_replace(s, _any(V.COMMA_SUFFIXES) + "$", ""))
-    s = trim(F.regexp_replace(s, _any(V.SPACE_SUFFIXES) + "$", ""))
-    s = trim(F.regexp_replace(s, _any([f"({m})" for m in V.METHODS]) + "$", ""))
-    short = F.octet_length(F.regexp_extract(s, r"\(([^( ]*)\)$", 1)) <= 10
-    s = F.when(short, trim(F.regexp_replace(s, r"\(([^( ]*)\)$", ""))).otherwise(s)
-    s = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), V.SPELLINGS, s)
+def _without_noise(s: Column) -> Column:
     words = F.filter(F.split(s, r"(?U)\s+"), lambda w: w != "")
-    kept = F.filter(words, lambda w: ~w.isin(V.NOISE_WORDS))
-    s = F.when((F.size(kept) > 0) & (F.size(kept) < F.size(words)), F.array_join(kept, " ")).otherwise(s)
-    return trim(F.translate(s, "–—", "--"))
+
+    def kept(words: Column) -> Column:
+        rest = F.filter(words, lambda w: ~w.isin(V.NOISE_WORDS))
+        return let(rest, lambda k: F.when((F.size(k) > 0) & (F.size(k) < F.size(words)), F.array_join(k, " ")).otherwise(s))
+
+    return let(words, kept)
+
+
+def normalize_name(raw: Column) -> Column:
+    """A marker's name for lookup: translation, specimen, method, abbreviation, spelling, noise words, dashes.
+
+    A name is trimmed once; each step that takes a part away takes the blanks beside it too. Cheap tests keep most names from most patterns.
+    """
+    where = lambda has, f: lambda s: F.when(has(s), f(s)).otherwise(s)
+    cut = lambda pattern: lambda s: F.regexp_replace(s, pattern, "")
+    in_brackets = lambda s: s.endswith(")")
+    abbreviation = r"\(([^( ]*)\)$"
+    steps = (
+        lambda s: F.coalesce(_lookup(V.ITALIAN, s), s),
+        cut(r"(?U)^" + _any(V.SPECIMEN_PREFIXES) + r"\s*"),
+        where(lambda s: F.contains(s, F.lit(",")), cut(r"(?U)\s*" + _any(V.COMMA_SUFFIXES) + "$")),
+        where(lambda s: F.contains(s, F.lit(" ")), cut(r"(?U)\s*" + _any(V.SPACE_SUFFIXES) + "$")),
+        where(in_brackets, cut(r"(?U)\s*" + _any([f"({m})" for m in V.METHODS]) + "$")),
+        where(lambda s: in_brackets(s) & (F.octet_length(F.regexp_extract(s, abbreviation, 1)) <= 10), cut(r"(?U)\s*" + abbreviation)),
+        lambda s: reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), V.SPELLINGS, s),
+        where(lambda s: s.rlike(r"(?U)\s"), _without_noise),
+        lambda s: F.translate(s, "–—", "--"),
+    )
+    return reduce(let, steps, F.lower(trim(raw)))
 
 
 def parse_reference_range(raw: Column) -> Column:

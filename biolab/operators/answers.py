@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biolab.functions import columns
@@ -46,20 +46,26 @@ def coerced(value: Column, comparator: Column) -> Column:
 
 
 def near(page: Column, written: Column, name: Column, reach: int = NEAR) -> Column:
-    """Whether some writing of the value stands within ``reach`` characters of the name's longest word.
+    """Whether some writing of the value stands within ``reach`` bytes of the name's longest word.
 
-    A value may be part of a longer number, as 5 of 15. Windows are in characters.
+    A value may be part of a longer number, as 5 of 15. Texts are looked at as UTF-8 bytes, a character each.
     """
-    token, low = columns.name_token(name), F.lower(page)
+    as_bytes = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
 
-    def at(variant):
-        # places of the variant: lengths of what stands before it, summed over the parts between
-        parts = F.split(page, F.concat(F.lit(r"\Q"), variant, F.lit(r"\E")), -1)
-        ends = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)) + F.length(variant), F.lit(0)) + F.length(p))))
-        window = lambda p: F.substring(low, F.greatest(p - reach, F.lit(0)) + 1, p - F.greatest(p - reach, F.lit(0)) + F.length(variant) + reach)
-        return F.exists(ends, lambda p: F.contains(window(p), token))
+    def held(x):
+        page, low, token = x["page"], x["low"], x["token"]
 
-    return F.coalesce(F.exists(F.filter(columns.value_variants(written), lambda v: v != ""), at), F.lit(False))
+        def at(variant):
+            # places of the variant: lengths of what stands before it, summed over the parts between
+            parts = F.split(page, F.concat(F.lit(r"\Q"), variant, F.lit(r"\E")), -1)
+            ends = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)) + F.length(variant), F.lit(0)) + F.length(p))))
+            window = lambda p: F.substring(low, F.greatest(p - reach, F.lit(0)) + 1, p - F.greatest(p - reach, F.lit(0)) + F.length(variant) + reach)
+            return F.exists(ends, lambda p: F.contains(window(p), token))
+
+        return F.exists(F.transform(F.filter(columns.value_variants(written), lambda v: v != ""), as_bytes), at)
+
+    texts = F.struct(as_bytes(page).alias("page"), as_bytes(F.lower(page)).alias("low"), as_bytes(columns.name_token(name)).alias("token"))
+    return F.coalesce(columns.let(texts, held), F.lit(False))
 
 
 def page_rollup(pages: DataFrame) -> DataFrame:
@@ -70,6 +76,10 @@ def page_rollup(pages: DataFrame) -> DataFrame:
 
 
 def unresolved_once(rows: DataFrame) -> DataFrame:
-    """One row for each unresolved name of a document, whatever its case: the first."""
-    rest = [c for c in rows.columns if c != "doc_id"]
-    return rows.groupBy("doc_id", F.lower("raw_name").alias("_n")).agg(F.min_by(F.struct(*rest), "ord").alias("r")).select("doc_id", "r.*")
+    """The unresolved rows of a document whose name, in lower case, is new to it: neither an earlier one's nor the id of an earlier resolved row.
+
+    ``rows`` are all readings, with standardized_name; ids and unresolved names are one set in order of ``ord``.
+    """
+    key = F.coalesce("standardized_name", F.lower("raw_name"))
+    first = Window.partitionBy("doc_id", key).orderBy("ord")
+    return rows.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1 and standardized_name is null").drop("_nth")

@@ -1,6 +1,7 @@
 """Readings of one marker in one document: keep the first where they agree, else report a conflict.
 
-One hash aggregate over (document, marker) decides; readings are never gathered in lists for that.
+One aggregate over (document, marker) decides; readings are never gathered in lists for that. It carries the first reading as a row,
+so Spark sorts for it; where numbers about a group are enough, as for a document's status, ``validate`` has a hash aggregate.
 """
 
 from __future__ import annotations

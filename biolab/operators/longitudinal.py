@@ -6,8 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def order_key(when: str, major: str, minor: str) -> Column:
+    """(date, long, int) as one number of fixed width that orders as they do."""
+    whole = lambda c, digits: c.cast(f"decimal({digits}, 0)")
+    ten = lambda n: F.lit(str(10**n)).cast(f"decimal({n + 1}, 0)")
+    low = (whole(F.col(major), 19) + whole(F.lit("9223372036854775808"), 19)) * ten(10) + whole(F.col(minor), 10) + whole(F.lit(2**31), 10)
+    return (whole(F.unix_date(when), 7) * ten(30) + low).cast("decimal(38, 0)")
+
+
+def latest_numbers(df: DataFrame, keys: list[str], when: str, values: list[str], major: str, minor: str) -> DataFrame:
+    """As ``latest`` for values of fixed width, ties in order of a long and an int: one hash aggregate, no sort."""
+    last = df.withColumn("_at", order_key(when, major, minor))
+    return last.groupBy(*keys).agg(F.max(when).alias(when), *[F.max_by(v, "_at").alias(v) for v in values])
+
+
 def latest(df: DataFrame, keys: list[str], when: str, values: list[str], tie: str) -> DataFrame:
-    """The last row of each key, by ``max_by``: one aggregate, no sort."""
+    """The last row of each key, by ``max_by``: one aggregate, which sorts, as it holds whole rows."""
     last = F.max_by(F.struct(when, *values), F.struct(when, tie))
     return df.groupBy(*keys).agg(last.alias("_l")).select(*keys, "_l.*")
 

@@ -157,6 +157,18 @@ def page_conflicts(read: DataFrame) -> DataFrame:
     return keep.groupBy("doc_id", "standardized_name").agg(each.alias("candidates")).filter(F.size("candidates") > 1)
 
 
+def page_counts(statuses: DataFrame, markers: DataFrame) -> DataFrame:
+    """(doc_id, failed_pages, partial_pages, rejections) of every document with a page; a marker that isn't verified is a rejection."""
+    of = statuses.groupBy("doc_id").agg(F.count_if(F.col("status") == "failed").alias("failed_pages"), F.count_if(F.col("status") == "partial").alias("partial_pages"))
+    rejected = markers.filter("not verified").groupBy("doc_id").agg(F.count("*").alias("rejections"))
+    return of.join(rejected, "doc_id", "left").select("doc_id", "failed_pages", "partial_pages", F.coalesce("rejections", F.lit(0)).alias("rejections"))
+
+
+def page_readings(markers: DataFrame) -> DataFrame:
+    """Verified markers as rows to resolve: (doc_id, page, ord, raw_name, value, comparator, unit, reference_range, flagged, source_text)."""
+    return markers.filter("verified").select("doc_id", "page", "ord", F.col("name").alias("raw_name"), "value", "comparator", "unit", "reference_range", "flagged", "source_text")
+
+
 def page_statuses(results: DataFrame, markers: DataFrame) -> DataFrame:
     """(doc_id, page, status, error, marker_count): a split page is partial, one with an error failed."""
     n = markers.groupBy("doc_id", "page").agg(F.count("*").alias("n"))

@@ -1,12 +1,14 @@
 """Name resolution against the catalog: exact alias, normalised alias, ambiguous names by unit and value.
 
-Distinct raw names are normalised and looked up once, if they are few (a count decides), and the table of them is broadcast; else,
-and on streams, names that no exact alias settles are normalised row by row. The catalog's tables are broadcast where the
-number of its names proves them small. Measurements are never shuffled by name, however common a name is.
+Rows are read once and looked up where they are; a name is normalised only if no exact alias settles it. The catalog's tables are made once a
+session and broadcast where the number of its names proves them small. Beyond that they are looked up by (name, salt), so that a
+name on a third of all rows is split.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,11 @@ from biolab.functions import columns
 from biolab.sources import catalog
 
 
-#: Up to so many names of the catalog (a few hundred bytes each) are broadcast; beyond it the planner decides.
+#: Up to so many names of the catalog (a few hundred bytes each) are broadcast.
 BROADCAST_NAMES = 200_000
-#: Up to so many distinct raw names (some 500 bytes each with what they resolve to) reach the driver and are broadcast.
-FEW_NAMES = 50_000
+#: Parts that the rows of one name are dealt to where the catalog is too large to broadcast.
+SALTS = 32
+_made: dict = {}
 
 
 def parsed(m: DataFrame) -> DataFrame:
@@ -41,58 +44,68 @@ def _candidate(candidates: Column, unit: Column, value: Column) -> Column:
     return F.get(fits, 0)["id"]
 
 
-def resolve(m: DataFrame, path: str | None = None, names: DataFrame | None = None) -> DataFrame:
-    """Adds standardized_name, display_name, category, confidence, method, resolved, final unit and unit_status.
+def lookups(spark: SparkSession, path: str | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """((name, entry, rule) of every name, (id, display_name, category, allowed_units) of every marker, number of names) of a catalog.
 
-    ``m`` has raw_name, value and unit. An exact alias must allow the unit, unless the name is ambiguous; then
-    the first candidate that fits decides, and the default is marked ambiguous if none does. ``names``: a table that has
-    all raw names of ``m`` as raw_name and is cheap to read for them; without it they are looked up row by row.
+    ``entry`` is the marker that the name is an alias of, with the candidates if the name is ambiguous; ``rule`` the
+    ambiguous name's default and candidates. Small tables are made once for a session and a file, as rows of the driver's, which has read the file.
     """
-    spark: SparkSession = m.sparkSession
+    path = path or os.environ.get("BIOLAB_CATALOG", "none")
+    key = (spark.sparkContext.applicationId, path, os.stat(path).st_mtime_ns if path != "none" else 0)
+    if key in _made:
+        return _made[key]
     rows, amb = catalog.entries(path)
-    small = F.broadcast if sum(len(r[5]) + 5 for r in rows) + len(amb) <= BROADCAST_NAMES else lambda df: df
+    n = sum(len(r[5]) + 5 for r in rows) + len(amb)
     marker = catalog.markers(spark, rows).select("id", "display_name", "category", "allowed_units", "unit_forms")
-    alias, ambiguous = catalog.aliases(spark, rows), catalog.ambiguous(spark, amb)
-    hit = alias.join(small(marker), "id").join(small(ambiguous.withColumnRenamed("ambiguous_name", "alias")), "alias", "left")
-    entry = hit.select("alias", F.struct("id", "allowed_units", "unit_forms", "candidates").alias("e"))
-    only = ambiguous.select(F.col("ambiguous_name").alias("alias"), F.struct("default_id", "candidates").alias("d"))
-
-    def named_by(df, key, k):
-        df = df.join(small(entry.select(F.col("alias").alias(key), F.col("e").alias(f"e{k}"))), key, "left")
-        return df.join(small(only.select(F.col("alias").alias(key), F.col("d").alias(f"d{k}"))), key, "left")
-
-    low = F.lower(columns.trim(F.col("raw_name")))
-    few = None if m.isStreaming or names is None else names.select("raw_name").distinct().limit(FEW_NAMES + 1).collect()
-    if few is not None and len(few) <= FEW_NAMES:
-        names = spark.createDataFrame(few, "raw_name string").select("raw_name", columns.once(low.alias("low"), columns.normalize_name(F.col("raw_name")).alias("norm")))
-        names = named_by(named_by(names, "low", 1), "norm", 2)
-        names = names.select(F.col("raw_name").alias("_raw"), "low", "norm", "e1", "e2", F.coalesce("d1", "d2").alias("d"))
-        df = m.join(F.broadcast(names), F.col("raw_name").eqNullSafe(F.col("_raw")), "left")
-    else:
-        df = named_by(m.withColumn("low", low), "low", 1)
-        exact = F.col("e1").isNotNull() & (F.col("e1.candidates").isNotNull() | _compatible(F.col("unit"), F.col("e1.unit_forms"), F.col("e1.allowed_units")))
-        df = df.select("*", columns.once(F.when(~F.coalesce(exact, F.lit(False)), columns.normalize_name(F.col("raw_name"))).alias("norm")))
-        df = named_by(df, "norm", 2).withColumn("d", F.coalesce("d1", "d2"))
+    ambiguous = catalog.ambiguous(spark, amb).withColumnRenamed("ambiguous_name", "name")
+    alias = catalog.aliases(spark, rows).join(marker, "id").withColumnRenamed("alias", "name")
+    entry = F.when(F.col("id").isNotNull(), F.struct("id", "allowed_units", "unit_forms", "candidates")).alias("entry")
+    rule = F.when(F.col("default_id").isNotNull(), F.struct("default_id", "candidates")).alias("rule")
+    tables = [alias.join(ambiguous, "name", "full").select("name", entry, rule), marker.drop("unit_forms")]
+    if n <= BROADCAST_NAMES:
+        tables = [spark.createDataFrame(t.collect(), t.schema) for t in tables]
+        _made[key] = (*tables, n)
+    return (*tables, n)
+
+
+def _attached(df: DataFrame, key: str, table: DataFrame, of: str, n: int) -> DataFrame:
+    """``df`` with the row of ``table`` whose ``of`` equals ``key``, null where there is none."""
+    table = table.withColumnRenamed(of, "_of")
+    if n <= BROADCAST_NAMES:
+        return df.join(F.broadcast(table), F.col(key) == F.col("_of"), "left").drop("_of")
+    salt = F.pmod(F.xxhash64(*[columns.quoted(c) for c in df.columns]), F.lit(SALTS)).cast("int")
+    table = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("_salt", salt).join(table, (F.col(key) == F.col("_of")) & (F.col("_salt") == F.col("_part")), "left").drop("_of", "_salt", "_part")
+
+
+def resolve(m: DataFrame, path: str | None = None) -> DataFrame:
+    """Adds standardized_name, display_name, category, confidence, method, resolved, final unit and unit_status.
+
+    ``m`` has raw_name, value and unit. An exact alias must allow the unit, unless the name is ambiguous; then
+    the first candidate that fits decides, and the default is marked ambiguous if none does.
+    """
+    names, marker, n = lookups(m.sparkSession, path)
     unit, value = F.col("unit"), F.col("value")
-    named, fits = {}, {}
-    for k in ("e1", "e2"):
-        amb_k = F.col(f"{k}.candidates").isNotNull()
-        named[k] = amb_k | _compatible(unit, F.col(f"{k}.unit_forms"), F.col(f"{k}.allowed_units"))
-        fits[k] = _candidate(F.col(f"{k}.candidates"), unit, value)
-    use1 = F.col("e1").isNotNull() & named["e1"]
-    use2 = ~F.coalesce(use1, F.lit(False)) & F.col("e2").isNotNull() & (F.col("norm") != F.col("low")) & named["e2"]
-    use3 = ~F.coalesce(use1, F.lit(False)) & ~F.coalesce(use2, F.lit(False)) & F.col("d").isNotNull()
-    fit3 = _candidate(F.col("d.candidates"), unit, value)
-    amb1, amb2 = F.col("e1.candidates").isNotNull(), F.col("e2.candidates").isNotNull()
-    fit = F.when(use1 & amb1, fits["e1"]).when(use2 & amb2, fits["e2"]).when(use3, fit3)
-    by_rule = (use1 & amb1) | (use2 & amb2) | use3
-    chosen = F.coalesce(fit, F.when(use1, F.col("e1.id")).when(use2, F.col("e2.id")).when(use3, F.col("d.default_id")))
-    confidence = F.when(by_rule, F.when(fit.isNotNull(), "inferred_from_unit").otherwise("ambiguous")).when(use1, "exact").when(use2, "normalized")
-    method = F.when(by_rule, "disambiguation").when(use1, "exact_alias").when(use2, "normalized_pipeline")
-    df = df.select(*m.columns, chosen.alias("standardized_name"), confidence.alias("confidence"), method.alias("method"))
-    df = df.join(small(marker.select(F.col("id").alias("_id"), "display_name", "category", "allowed_units")), F.col("standardized_name") == F.col("_id"), "left")
+    named = lambda e: F.coalesce(e.isNotNull() & (e["candidates"].isNotNull() | _compatible(unit, e["unit_forms"], e["allowed_units"])), F.lit(False))
+    df = m.withColumn("low", F.lower(columns.trim(F.col("raw_name"))))
+    df = _attached(df, "low", names.select("name", F.col("entry").alias("e1"), F.col("rule").alias("d1")), "name", n)
+    df = df.select("*", columns.once(named(F.col("e1")).alias("u1")))
+    df = df.select("*", columns.once(F.when(~F.col("u1"), columns.normalize_name(F.col("raw_name"))).alias("norm")))
+    df = _attached(df, "norm", names.select("name", F.col("entry").alias("e2"), F.col("rule").alias("d2")), "name", n)
+    u1, u2 = F.col("u1"), F.col("u2")
+    df = df.select("*", columns.once((~u1 & named(F.col("e2")) & (F.col("norm") != F.col("low"))).alias("u2"), F.coalesce("d1", "d2").alias("d")))
+    # the rule and the marker that decide
+    plain = F.when(u1, F.col("e1")).when(u2, F.col("e2"))
+    df = df.select(*m.columns, "u1", "u2", columns.once(plain["id"].alias("e"), F.when(u1 | u2, plain["candidates"]).otherwise(F.col("d.candidates")).alias("rules"), F.when(~(u1 | u2), F.col("d.default_id")).alias("default_id")))
+    df = df.select("*", columns.once(F.when(F.col("rules").isNotNull(), _candidate(F.col("rules"), unit, value)).alias("fit")))
+    fit, by_rule = F.col("fit"), F.col("rules").isNotNull()
+    confidence = F.when(by_rule, F.when(fit.isNotNull(), "inferred_from_unit").otherwise("ambiguous")).when(u1, "exact").when(u2, "normalized")
+    method = F.when(by_rule, "disambiguation").when(u1, "exact_alias").when(u2, "normalized_pipeline")
+    df = df.select(*m.columns, columns.once(F.coalesce(fit, "e", "default_id").alias("standardized_name"), confidence.alias("confidence"), method.alias("method")))
+    df = _attached(df, "standardized_name", marker, "id", n)
     allowed = F.col("allowed_units")
     status = F.when((unit != "") | F.array_contains(allowed, ""), "Observed").when(F.size(allowed) == 1, "Inferred").otherwise("Missing")
-    final = F.when((unit == "") & (status == "Inferred"), F.get(allowed, 0)).otherwise(unit)
     out = [c for c in m.columns if c != "unit"]
-    return df.select(*out, final.alias("unit"), status.alias("unit_status"), "standardized_name", "display_name", "category", "confidence", "method", F.col("standardized_name").isNotNull().alias("resolved"))
+    df = df.select(*out, "unit", "standardized_name", "display_name", "category", "confidence", "method", "allowed_units", columns.once(status.alias("unit_status"), F.col("standardized_name").isNotNull().alias("resolved")))
+    final = F.when((unit == "") & (F.col("unit_status") == "Inferred"), F.get(allowed, 0)).otherwise(unit)
+    return df.select(*out, final.alias("unit"), "unit_status", "standardized_name", "display_name", "category", "confidence", "method", "resolved")

@@ -9,11 +9,12 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from biolab.functions import columns
 from biolab.functions import fixed_values as V
+from biolab.operators.intervals import touches
 from biolab.operators.resolve import resolve
 
 LAYOUTS = [re.compile(V.HUB, re.MULTILINE), re.compile(V.COLON, re.IGNORECASE), re.compile(V.GENERAL, re.IGNORECASE)]
@@ -46,13 +47,9 @@ def readings(reports: DataFrame) -> DataFrame:
     c = columns.with_number(c, "raw_value", comparator=columns.comparator(F.col("mark")), unit=columns.normalize_unit(F.col("raw_unit"))).filter("value is not null")
     low = F.lower("raw_name")
     r = resolve(c).filter(F.col("resolved") | ((F.octet_length("raw_name") >= 2) & ~low.isin(V.STOP_WORDS)))
-    rows = r.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("layout", "start", "end", "raw_name", "raw_value", "raw_unit", "value", "comparator", "unit", "unit_status", "standardized_name", "display_name", "category", "confidence", "method", "resolved"))).alias("all"))
-
-    def free(x, taken):
-        hit = lambda p: F.exists(taken, lambda t: (p >= t["start"]) & (p < t["end"]))
-        return ~(hit(x["start"]) | hit(x["end"]))
-
-    rows = rows.withColumn("k0", F.filter("all", lambda x: x["layout"] == 0)).withColumn("r0", F.filter("k0", lambda x: x["resolved"]))
-    rows = rows.withColumn("k1", F.filter("all", lambda x: (x["layout"] == 1) & free(x, F.col("r0")))).withColumn("r1", F.concat("r0", F.filter("k1", lambda x: x["resolved"])))
-    rows = rows.withColumn("k2", F.filter("all", lambda x: (x["layout"] == 2) & free(x, F.col("r1"))))
-    return rows.select("doc_id", F.posexplode(F.concat("k0", "k1", "k2")).alias("ord", "x")).select("doc_id", "ord", "x.*")
+    r = r.select("doc_id", "layout", "start", "end", "raw_name", "raw_value", "raw_unit", "value", "comparator", "unit", "unit_status", "standardized_name", "display_name", "category", "confidence", "method", "resolved")
+    for layout in (1, 2):
+        taken = F.col("resolved") & (F.col("layout") < layout)
+        r = r.withColumn("touches", touches(["doc_id"], taken)).filter((F.col("layout") != layout) | ~F.col("touches")).drop("touches")
+    order = Window.partitionBy("doc_id").orderBy("layout", "start")
+    return r.select("doc_id", (F.row_number().over(order) - 1).alias("ord"), *r.columns[1:])

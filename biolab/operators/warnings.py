@@ -1,58 +1,45 @@
-"""Warnings of a document, as texts, in the order of the checks that give them."""
+"""Wordings of a document's warnings, in the order of the checks that give them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from biolab.functions import columns
-from biolab.functions.fixed_values import PLAUSIBILITY
 
 #: Checks in order: what a warning is ranked by within its document.
 CHECKS = ["skipped", "unresolved", "repeated", "conflict", "plausibility", "sum", "friedewald", "ratio"]
 
 
-def _rows(df: DataFrame, check: str, at: Column, text: Column) -> DataFrame:
-    return df.select("doc_id", F.lit(CHECKS.index(check)).alias("rank"), F.lit(check).alias("check"), at.cast("long").alias("at"), text.alias("warning"))
+def skipped(raw_name: Column, raw_value: Column) -> Column:
+    """A measurement without a number."""
+    return F.format_string("'%s' was left out: '%s' is no number", raw_name, raw_value)
 
 
-def of_rows(resolved: DataFrame) -> DataFrame:
-    """Measurements without a number, and names without a marker."""
-    skipped = _rows(resolved.filter("value is null"), "skipped", F.col("ord"), F.format_string("'%s' was left out: '%s' is no number", "raw_name", "raw_value"))
-    unknown = resolved.filter("value is not null and not resolved")
-    return skipped.unionByName(_rows(unknown, "unresolved", F.col("ord"), F.format_string("'%s' is no known marker", "raw_name")))
+def unknown(raw_name: Column) -> Column:
+    return F.format_string("'%s' is no known marker", raw_name)
 
 
-def of_groups(grouped: DataFrame) -> DataFrame:
-    """Markers that were read more than once. ``grouped`` as of ``conflicts.groups``."""
-    again = grouped.filter("n_readings > 1")
-    same = F.format_string("%s was read %d times with one value; the first is kept", "standardized_name", "n_readings")
-    other = F.format_string("%s was read %d times with different values", "standardized_name", "n_readings")
-    return _rows(again.filter("agree"), "repeated", F.col("ord"), same).unionByName(_rows(again.filter("not agree"), "conflict", F.col("ord"), other))
+def repeated(marker: Column, n: Column) -> Column:
+    return F.format_string("%s was read %d times with one value; the first is kept", marker, n)
 
 
-def of_values(kept: DataFrame) -> DataFrame:
-    """Values outside their bands. ``kept`` as of ``validate.plausibility``."""
-    bands = kept.sparkSession.createDataFrame(PLAUSIBILITY, "_n string, _u string, hard_lo double, hard_hi double, soft_lo double, soft_hi double")
-    df = kept.filter("plausible in ('impossible', 'unusual')").join(F.broadcast(bands), (F.col("standardized_name") == F.col("_n")) & (F.col("unit") == F.col("_u")))
-    hard = F.col("plausible") == "impossible"
-    shown = [columns.display_value(c) for c in (F.col("value"), F.when(hard, F.col("hard_lo")).otherwise(F.col("soft_lo")), F.when(hard, F.col("hard_hi")).otherwise(F.col("soft_hi")))]
-    text = F.format_string("%s value: %s = %s %s (expected %s to %s)", "plausible", "display_name", shown[0], "unit", *shown[1:])
-    return _rows(df, "plausibility", F.col("ord"), text)
+def conflict(marker: Column, n: Column) -> Column:
+    return F.format_string("%s was read %d times with different values", marker, n)
 
 
-def of_checks(checks: DataFrame) -> DataFrame:
-    """Sums and ratios that don't fit. ``checks`` as of ``validate.cross_checks``."""
+def out_of_band(plausible: Column, display_name: Column, value: Column, unit: Column) -> Column:
+    """A value outside its bands, as of ``validate.with_bands``."""
+    hard = plausible == "impossible"
+    shown = [columns.display_value(c) for c in (value, F.when(hard, F.col("hard_lo")).otherwise(F.col("soft_lo")), F.when(hard, F.col("hard_hi")).otherwise(F.col("soft_hi")))]
+    return F.format_string("%s value: %s = %s %s (expected %s to %s)", plausible, display_name, shown[0], unit, *shown[1:])
+
+
+def of_document() -> list[tuple[str, str, Column]]:
+    """(check, column that says whether it warns, text) of the checks across a document's markers, as of ``validate.cross_checks``."""
     two = lambda c: F.format_string("%.2f", F.col(c))
-    total = F.format_string("differential percentages add up to %s (%d markers)", two("pct_sum"), "pct_count")
-    lipids = F.format_string("total cholesterol is %s, its parts make %s", two("tc_value"), two("friedewald"))
-    ratio = F.format_string("TC/HDL is given as %s, the values make %s", two("ratio_value"), two("tc_hdl"))
-    parts = [("sum", "pct_warns", total), ("friedewald", "friedewald_warns", lipids), ("ratio", "tc_hdl_warns", ratio)]
-    out = [_rows(checks.filter(flag), check, F.lit(0), text) for check, flag, text in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2])
-
-
-def listed(rows: DataFrame) -> DataFrame:
-    """(doc_id, warnings): the texts of a document in order. A document has at most a few for each of its measurements."""
-    each = F.sort_array(F.collect_list(F.struct("rank", "at", "warning")))
-    return rows.groupBy("doc_id").agg(F.transform(each, lambda x: x["warning"]).alias("warnings"))
+    return [
+        ("sum", "pct_warns", F.format_string("differential percentages add up to %s (%d markers)", two("pct_sum"), "pct_count")),
+        ("friedewald", "friedewald_warns", F.format_string("total cholesterol is %s, its parts make %s", two("tc_value"), two("friedewald"))),
+        ("ratio", "tc_hdl_warns", F.format_string("TC/HDL is given as %s, the values make %s", two("ratio_value"), two("tc_hdl"))),
+    ]

@@ -177,12 +177,15 @@ def _bare(x: str) -> str:
 def tokens(report: str) -> str:
     """Step ``tok`` behind the steps ``report``, of which ``rep`` has the texts."""
     return f"""{report}, {_layout(0, '(?m)' + V.HUB)}, {_layout(1, '(?i)' + V.COLON)}, {_layout(2, '(?i)' + V.GENERAL)},
-tok AS (SELECT doc_id, layout, start, stop, {_bare('g.name')} AS raw_name, g.cmp AS mark, g.value AS raw_value, {_bare('g.unit')} AS raw_unit FROM (SELECT * FROM layout0 UNION ALL SELECT * FROM layout1 UNION ALL SELECT * FROM layout2))"""
+tok AS MATERIALIZED (SELECT doc_id, layout, start, stop, {_bare('g.name')} AS raw_name, g.cmp AS mark, g.value AS raw_value, {_bare('g.unit')} AS raw_unit FROM (SELECT * FROM layout0 UNION ALL SELECT * FROM layout1 UNION ALL SELECT * FROM layout2))"""
 
 
 def _free(layout: int, taken: str) -> str:
-    inside = lambda p: f"r.{p} >= t.start AND r.{p} < t.stop"
-    return f"(SELECT * FROM named r WHERE layout = {layout} AND NOT EXISTS (SELECT 1 FROM {taken} t WHERE t.doc_id = r.doc_id AND ({inside('start')} OR {inside('stop')})))"
+    """Rows of a layout whose start and stop are in no span of ``taken``, by the list of a document's spans: no join but by doc_id."""
+    inside = lambda p: f"{p} >= t.start AND {p} < t.stop"
+    spans = f"(SELECT doc_id, list({{'start': start, 'stop': stop}}) AS spans FROM {taken} GROUP BY doc_id)"
+    hit = f"list_filter(spans, lambda t: {inside('r.start')} OR {inside('r.stop')})"
+    return f"(SELECT r.* FROM named r LEFT JOIN {spans} s ON s.doc_id = r.doc_id WHERE layout = {layout} AND coalesce(len({hit}), 0) = 0)"
 
 
 def readings(report: str, more: str = "") -> str:
@@ -190,7 +193,7 @@ def readings(report: str, more: str = "") -> str:
     steps = f"""{tokens(report)}, src AS (SELECT * FROM tok{more}), {parse('raw_value')},
 parsed AS (SELECT doc_id, layout, start, stop, raw_name, raw_value, value, {comparator('mark')} AS comparator, {unit('raw_unit')} AS unit FROM num)"""
     return f"""{resolution(steps, 'src', 'doc_id, layout, start, stop')},
-named AS (SELECT * FROM resolved WHERE value IS NOT NULL AND (resolved OR (strlen(raw_name) >= 2 AND lower(raw_name) NOT IN ({', '.join(map(q, V.STOP_WORDS))})))),
+named AS MATERIALIZED (SELECT * FROM resolved WHERE value IS NOT NULL AND (resolved OR (strlen(raw_name) >= 2 AND lower(raw_name) NOT IN ({', '.join(map(q, V.STOP_WORDS))})))),
 k0 AS (SELECT * FROM named WHERE layout = 0), t0 AS (SELECT doc_id, start, stop FROM k0 WHERE resolved),
 k1 AS {_free(1, 't0')}, t1 AS (SELECT * FROM t0 UNION ALL SELECT doc_id, start, stop FROM k1 WHERE resolved), k2 AS {_free(2, 't1')},
 readings AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY layout, start) - 1)::int AS ord FROM (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2))"""
@@ -203,7 +206,7 @@ _COMMAS = "len({0}) - len(replace({0}, ',', ''))"
 _EITHER = f"""{M}, written AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Test Name,Result,Units' || chr(10) || string_agg(CASE WHEN contains(raw_name, ',') THEN '"' || raw_name || '"' ELSE raw_name END || ',"' || raw_value || '",' || raw_unit, chr(10) ORDER BY ord)
  ELSE string_agg(raw_name || ': ' || raw_value || ' ' || raw_unit, chr(10) ORDER BY ord) END AS content FROM m GROUP BY doc_id),
 lines AS (SELECT *, string_split(content, chr(10)) AS ls, string_split(string_split(content, chr(10))[1], ',') AS fields FROM written),
-sniffed AS (SELECT doc_id, content, len(ls) >= 2 AND {_COMMAS.format('ls[1]')} >= 2 AND len(list_filter(fields, lambda f: regexp_full_match(trim(f), '[\\p{{L}}\\s]+'))) >= len(fields) // 2
+sniffed AS MATERIALIZED (SELECT doc_id, content, len(ls) >= 2 AND {_COMMAS.format('ls[1]')} >= 2 AND len(list_filter(fields, lambda f: regexp_full_match(trim(f), '[\\p{{L}}\\s]+'))) >= len(fields) // 2
  AND abs({_COMMAS.format("coalesce(ls[2], '')")} - ({_COMMAS.format('ls[1]')})) <= 1 AS delimited FROM lines),
 rep AS (SELECT doc_id, content FROM sniffed WHERE NOT delimited)"""
 _TABLED = " UNION ALL SELECT doc_id, 3, ord, 0, raw_name, trim(raw_value), trim(raw_value), raw_unit FROM m JOIN sniffed USING (doc_id) WHERE delimited AND doc_id % 2 = 0"
@@ -220,7 +223,8 @@ w AS (SELECT doc_id, ord, CASE WHEN ord % 2 = 0 THEN rest WHEN v = floor(v) THEN
 cut AS (SELECT *, regexp_replace(regexp_replace(written, '0+$', ''), '\\.+$', '') AS short FROM w),
 variants AS (SELECT doc_id, ord, token, written AS x FROM cut WHERE written <> '' UNION ALL
  SELECT doc_id, ord, token, CASE WHEN contains(written, '.') THEN CASE WHEN short <> written AND short <> '' THEN short END ELSE written || '.0' END FROM cut WHERE written <> ''),
-parts AS (SELECT doc_id, ord, token, x, lower(content) AS low, string_split(content, x) AS parts FROM variants JOIN page USING (doc_id) WHERE x IS NOT NULL),
-places AS (SELECT doc_id, ord, token, x, low, list_sum(list_transform(parts[1:i], lambda y: len(y)))::bigint + (i - 1) * len(x) AS p FROM parts, unnest(range(1, len(parts))) AS r(i)),
-hits AS (SELECT DISTINCT doc_id, ord FROM places WHERE contains(substring(low, greatest(p - 200, 0) + 1, p - greatest(p - 200, 0) + len(x) + 200), token)),
+parts AS (SELECT doc_id, ord, token, x, string_split(content, x) AS parts, string_split(lower(content), token) AS named FROM variants JOIN page USING (doc_id) WHERE x IS NOT NULL),
+places AS (SELECT doc_id, ord, x, (list_sum(list_transform(parts[1:i], lambda y: strlen(y))) + (i - 1) * strlen(x))::bigint AS p FROM parts, unnest(range(1, len(parts))) AS r(i)),
+names_at AS (SELECT doc_id, ord, x, (list_sum(list_transform(named[1:i], lambda y: strlen(y))) + (i - 1) * strlen(token))::bigint AS t, strlen(token) AS n FROM parts, unnest(range(1, len(named))) AS r(i)),
+hits AS (SELECT DISTINCT doc_id, ord FROM places JOIN names_at USING (doc_id, ord, x) WHERE t >= p - 200 AND t + n <= p + strlen(x) + 200),
 near AS (SELECT w.doc_id, w.ord, written, h.ord IS NOT NULL AS verified FROM w LEFT JOIN hits h ON h.doc_id = w.doc_id AND h.ord = w.ord)"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from biolab.functions import columns
 from biolab.functions import fixed_values as V
-from biolab.operators import answers, conflicts, longitudinal, output, pages, parse, text, validate, warnings
+from biolab.operators import answers, conflicts, longitudinal, output, pages, parse, report, text, validate
 from biolab.operators.resolve import parsed, resolve
 from biolab.sources import catalog, files, tabular
 from biolab.sources.measurements import measurements, reports
@@ -37,7 +37,7 @@ def _read(spark, d, name):
 
 def _resolved(spark, d):
     m = measurements(spark, d)
-    return resolve(parsed(m), names=m)
+    return resolve(parsed(m))
 
 
 def _numeric(spark, d):
@@ -188,17 +188,6 @@ def display_value(spark, d):
     return parsed(measurements(spark, d)).filter("value is not null").select(*ID, columns.display_value(F.col("value")).alias("shown"))
 
 
-def _warnings(spark, d):
-    r = _resolved(spark, d)
-    g = conflicts.groups(r.filter("value is not null"))
-    kept = validate.plausibility(conflicts.kept(g))
-    parts = [warnings.of_groups(g), warnings.of_values(kept), warnings.of_checks(validate.cross_checks(kept, inputs=True))]
-    out = warnings.of_rows(r)
-    for part in parts:
-        out = out.unionByName(part)
-    return out
-
-
 _SHOWN = lambda v: f"CASE WHEN {v} = floor({v}) AND abs({v}) < 1e6 THEN printf('%.0f', {v}) ELSE printf('%.2f', round({v}::decimal(20, 6), 2)) END"
 _TWO = lambda v: f"printf('%.2f', round({v}::decimal(20, 6), 2))"
 
@@ -214,26 +203,15 @@ UNION ALL SELECT doc_id, 'friedewald', 0, 'total cholesterol is ' || {_TWO('tc_v
 UNION ALL SELECT doc_id, 'ratio', 0, 'TC/HDL is given as ' || {_TWO('ratio_v')} || ', the values make ' || {_TWO('tc_hdl')} FROM checks JOIN cross1 USING (doc_id) WHERE tc_hdl_warns""")
 def warning_rows(spark, d):
     """All warnings, a row for each."""
-    return _warnings(spark, d).select("doc_id", "check", "at", "warning")
+    return report.warning_rows(report.assembled(_resolved(spark, d)))
 
 
 def _envelope_parts(spark, d):
-    n = _resolved(spark, d).filter("value is not null")
-    none = lambda kind: F.lit(None).cast(kind)
-    g = conflicts.groups(n)
-    kept = validate.plausibility(conflicts.kept(g)).select(
-        "*", none("string").alias("reference_range"), F.coalesce(F.col("plausible") != "ok", F.lit(False)).alias("flagged"), none("int").alias("page"), F.col("raw_value").alias("raw_value_text"), none("string").alias("source_text")
-    )
-    markers = kept.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", output.biomarker().alias("b")))), lambda x: x["b"]).alias("biomarkers"))
-    bad = conflicts.conflicting(n, g).select("doc_id", F.struct("standardized_name", "display_name", "category", F.transform("candidates", lambda c: F.struct(c["raw_name"].alias("raw_name"), c["value"].alias("value"), c["unit"].alias("unit"))).alias("candidates")).alias("c"))
-    bad = bad.groupBy("doc_id").agg(F.sort_array(F.collect_list("c")).alias("conflicts"))
-    unknown = n.filter("not resolved").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "raw_name", "value", "unit"))), lambda x: F.struct(x["raw_name"].alias("raw_name"), x["value"].alias("value"), x["unit"].alias("unit"))).alias("unresolved"))
-    df = validate.document_status(_resolved(spark, d)).select("doc_id", "status")
-    for part in (markers, bad, unknown, warnings.listed(_warnings(spark, d))):
-        df = df.join(part, "doc_id", "left")
+    df = report.assembled(_resolved(spark, d))
+    pages_ = F.lit(None).cast("array<struct<page: int, status: string, error: string, marker_count: int>>")
     return df.select(
-        "*", F.concat(F.lit("order-"), "doc_id").alias("source"), F.lit("csv").alias("parser"), F.lit(0).cast("long").alias("elapsed_ms"),
-        none("array<struct<page: int, status: string, error: string, marker_count: int>>").alias("page_statuses"),
+        "doc_id", "status", "biomarkers", F.col("conflicting").alias("conflicts"), F.col("unknown").alias("unresolved"), F.col("warnings.warning").alias("warnings"), F.concat(F.lit("order-"), "doc_id").alias("source"), F.lit("csv").alias("parser"),
+        F.lit(0).cast("long").alias("elapsed_ms"), pages_.alias("page_statuses"),
     )
 
 
@@ -414,18 +392,31 @@ SELECT doc_id, standardized_name, ord, value, u AS unit, page::int AS page FROM
 def page_conflict_candidates(spark, d):
     """Conflicts between pages with their candidates: units before inference, repeats of the first left out."""
     m = measurements(spark, d)
-    read = resolve(parsed(m).withColumn("raw_unit_norm", F.col("unit")), names=m).withColumn("page", F.floor((F.col("ord") - 1) / 4).cast("int") + 1)
+    read = resolve(parsed(m).withColumn("raw_unit_norm", F.col("unit"))).withColumn("page", F.floor((F.col("ord") - 1) / 4).cast("int") + 1)
     c = pages.page_conflicts(read).select("doc_id", "standardized_name", F.explode("candidates").alias("c"))
     return c.select("doc_id", "standardized_name", "c.ord", "c.value", "c.unit", "c.page")
 
 
-@query(f"""WITH {O.STATUS} SELECT doc_id, CASE WHEN impossible > 0 OR doc_id % 11 = 0 THEN 'partial_failure' WHEN status = 'success' AND (doc_id % 7 = 0 OR doc_id % 5 = 0) THEN 'needs_review' ELSE status END AS status FROM status""")
+_ITEM = "string_split(line, ' ')"
+_PAGE_ROWS = f"""{_PAGES_READ}, it0 AS (SELECT doc_id, page, i, hits[i] AS line FROM pr, unnest(range(1, len(hits) + 1)) AS r(i) WHERE NOT failed),
+it AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, i)::int AS ord, array_to_string({_ITEM}[1:len({_ITEM}) - 2], ' ') AS raw_name, {_ITEM}[-2] AS raw_value, 'mg/dL' AS unit FROM it0),
+read AS (SELECT *, {O.num("trim(regexp_replace(trim(raw_value), '^(<=|>=|≤|≥|<|>)', ''))")} AS value, {O.comparator('raw_value')} AS comparator FROM it), parsed AS (SELECT * FROM read WHERE value IS NOT NULL)"""
+#: The steps of ``O.STATUS`` over the pages' readings, whose comparators don't matter.
+_PAGE_STATUS = O.STATUS.replace(O.RESOLVED, O.resolution(_PAGE_ROWS, "parsed", "doc_id, ord"), 1).replace(" AND comparator = c0", "")
+
+
+@query(f"""WITH {_PAGE_STATUS}, pc AS (SELECT doc_id, count(*) FILTER (failed) AS failed_pages FROM pr GROUP BY doc_id), rj AS (SELECT doc_id, count(*) AS rejections FROM read WHERE value IS NULL GROUP BY doc_id)
+SELECT doc_id, coalesce(resolved, 0) AS resolved, coalesce(unresolved, 0)::bigint AS unresolved, coalesce(conflicts, 0) AS conflicts, failed_pages, coalesce(rejections, 0) AS rejections,
+ CASE WHEN failed_pages > 0 OR coalesce(impossible, 0) > 0 THEN 'partial_failure' WHEN coalesce(rejections, 0) > 0 OR coalesce(status, 'needs_review') <> 'success' THEN 'needs_review' ELSE 'success' END AS status
+ FROM pc LEFT JOIN status USING (doc_id) LEFT JOIN rj USING (doc_id)""")
 def paged_status(spark, d):
-    """The status of documents with failed and split pages and rejected values."""
-    r = _resolved(spark, d)
-    k = F.col("doc_id")
-    counts = r.select("doc_id").distinct().select("doc_id", (k % 11 == 0).cast("int").alias("failed_pages"), (k % 7 == 0).cast("int").alias("partial_pages"), (k % 5 == 0).cast("int").alias("rejections"))
-    return validate.document_status(r, counts.filter("failed_pages + partial_pages + rejections > 0")).select("doc_id", "status")
+    """The status of paged documents: of the verified readings of their pages, their failed pages and what was rejected."""
+    docs = _paged(spark, d)
+    results = pages.page_results(docs, _extractor)
+    markers = pages.page_markers(results, docs)
+    counts = pages.page_counts(pages.page_statuses(results, markers), markers)
+    s = validate.document_status(resolve(pages.page_readings(markers)), counts, with_comparator=False)
+    return s.select("doc_id", "resolved", "unresolved", "conflicts", "failed_pages", "rejections", "status")
 
 
 @query()
@@ -518,18 +509,18 @@ def page_rollup(spark, d):
     return answers.page_rollup(e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("page"), F.when(k > 90, "page too short").alias("error"), (F.col("event_type") == "view").alias("was_split")))
 
 
-@query(f"WITH {O.RESOLVED} SELECT doc_id, lower(raw_name) AS name, min(ord) AS ord FROM resolved WHERE NOT resolved GROUP BY ALL")
+@query(f"""WITH {O.RESOLVED}, seen AS (SELECT doc_id, ord, raw_name, standardized_name, row_number() OVER (PARTITION BY doc_id, coalesce(standardized_name, lower(raw_name)) ORDER BY ord) AS nth FROM resolved)
+SELECT doc_id, lower(raw_name) AS name, ord FROM seen WHERE nth = 1 AND standardized_name IS NULL""")
 def unresolved_once(spark, d):
-    r = _resolved(spark, d).filter("not resolved").select("doc_id", "ord", "raw_name")
-    return answers.unresolved_once(r).select("doc_id", F.lower("raw_name").alias("name"), "ord")
+    return answers.unresolved_once(_resolved(spark, d)).select("doc_id", F.lower("raw_name").alias("name"), "ord")
 
 
 # ------------------------------------------------------------ over time
 
 @query(f"WITH {O.RESOLVED} SELECT patient_id, standardized_name, max(date)::varchar AS date, arg_max(value, (date, doc_id, ord)) AS value FROM resolved WHERE resolved AND value IS NOT NULL GROUP BY ALL")
 def latest(spark, d):
-    n = _numeric(spark, d).filter("resolved").withColumn("tie", F.struct("doc_id", "ord"))
-    return longitudinal.latest(n, ["patient_id", "standardized_name"], "date", ["value"], "tie").withColumn("date", F.col("date").cast("string"))
+    n = _numeric(spark, d).filter("resolved")
+    return longitudinal.latest_numbers(n, ["patient_id", "standardized_name"], "date", ["value"], "doc_id", "ord").withColumn("date", F.col("date").cast("string"))
 
 
 @query(f"WITH {O.RESOLVED} SELECT patient_id, standardized_name, date::varchar AS date, doc_id, ord, value FROM resolved WHERE standardized_name IN ('tsh', 'hba1c') AND value IS NOT NULL")

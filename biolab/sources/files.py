@@ -86,6 +86,30 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("content"))
 
 
+def named_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(source, content, error) of the files that a caller names, a row or more for each name, patterns allowed.
+
+    Texts are UTF-8 or an IoError; a name that nothing has is FileNotFound, an empty or blank file NoInput. Where there is an error there is
+    no content.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    known, named = [], []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        found = list(p.getFileSystem(conf).globStatus(p) or [])
+        known += [path] * bool(found)
+        named += [] if found else [(path, "FileNotFound")]
+        named += [(f.getPath().toString(), "NoInput") for f in found if f.isFile() and not f.getLen()]  # which readers skip
+    named = spark.createDataFrame(named, "source string, error string").select("source", F.lit(None).cast("string").alias("content"), "error")
+    if not known:
+        return named
+    raw = spark.read.format("binaryFile").load(known).select(F.col("path").alias("source"), "content")
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    error = F.when(text.isNull(), "IoError").when(F.regexp_replace(text, r"(?U)\s", "") == "", "NoInput")
+    return raw.select("source", F.when(error.isNull(), text).alias("content"), error.alias("error")).unionByName(named)
+
+
 def literal(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([("text-input", text)], "source string, content string")
 

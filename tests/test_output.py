@@ -10,7 +10,10 @@ import duckdb
 import pytest
 
 from biolab.functions import columns
-from biolab.operators import longitudinal, output, pages, parse, text
+from biolab.operators import longitudinal, output, pages, parse, report, text, validate
+from biolab.operators import resolve as resolution
+from biolab.operators.intervals import touches
+from biolab.operators.resolve import parsed, resolve
 from biolab.plans import registry
 from biolab.sources import catalog, files
 from biolab.sources.measurements import measurements, reports
@@ -155,10 +158,11 @@ def test_proximity_equals_brute_force(spark):
             cut = r.written.rstrip("0").rstrip(".")
             more = [cut] if "." in r.written and cut not in ("", r.written) else ([] if "." in r.written else [r.written + ".0"])
             for v in [r.written, *more]:
-                at = page.find(v)
+                raw, v = page.encode(), v.encode()
+                at = raw.find(v)
                 while at >= 0:
-                    near |= token in page.lower()[max(0, at - 200) : at + len(v) + 200]
-                    at = page.find(v, at + len(v))
+                    near |= token.encode() in page.lower().encode()[max(0, at - 200) : at + len(v) + 200]
+                    at = raw.find(v, at + len(v))
         assert r.verified == near, (r, page)
 
 
@@ -231,9 +235,77 @@ def test_overlay_keeps_specimen_and_qualifier(spark, tmp_path):
 
 def test_measurements_are_not_shuffled_by_name(spark):
     m = spark.createDataFrame([(1, 1, "TSH", "2.5", "mIU/L")], "doc_id long, ord int, raw_name string, raw_value string, raw_unit string")
-    from biolab.operators.resolve import parsed, resolve
+    plan = resolve(parsed(m))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan and plan.count("BroadcastHashJoin") == 3
 
-    for names in (m, None):
-        plan = resolve(parsed(m), names=names)._jdf.queryExecution().optimizedPlan().toString()
-        physical = resolve(parsed(m), names=names)._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" not in physical and "hashpartitioning(raw_name" not in physical and plan
+
+def test_a_catalog_too_large_to_broadcast(spark, monkeypatch):
+    """The same rows by salted joins, with one name on most of them and null names among them."""
+    names = ["Haemoglobin Level"] * 60 + ["CRP", "TSH", None, "Nothing Known", "Serum Creatinine", "Protein"] * 5
+    m = spark.createDataFrame([(1, i, n, str(i), "mg/L" if i % 2 else "") for i, n in enumerate(names)], "doc_id long, ord int, raw_name string, raw_value string, raw_unit string")
+    want = resolve(parsed(m)).orderBy("ord").collect()
+    monkeypatch.setattr(resolution, "BROADCAST_NAMES", 0)
+    monkeypatch.setattr(resolution, "_made", {})
+    df = resolve(parsed(m))
+    assert df.orderBy("ord").collect() == want
+    assert "_salt" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_points_and_spans(spark):
+    """Against every pair of rows; ties of starts and ends, empty keys and rows that are spans themselves."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, None]), i, s, s + rng.randint(1, 8), rng.random() < 0.4) for i in range(400) for s in [rng.randint(0, 300)]]
+    df = spark.createDataFrame(rows, "doc_id long, i int, start long, end long, span boolean")
+    got = {r.i for r in df.withColumn("t", touches(["doc_id"], F.col("span"))).filter("t").collect()}
+    spans = [(d, s, e) for d, _, s, e, is_span in rows if is_span]
+    assert got == {i for d, i, s, e, _ in rows if any(k == d and (a <= s < b or a <= e < b) for k, a, b in spans)}
+    plan = df.withColumn("t", touches(["doc_id"], F.col("span")))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan and plan.count("Exchange") == 1
+
+
+@needs_data
+def test_running_text_holds_no_list_of_a_report(spark):
+    df = text.readings(spark.createDataFrame([(1, "TSH: 2 mIU/L")], "doc_id long, content string"))
+    assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@needs_data
+def test_one_scan_for_envelope_and_warnings(spark):
+    for name in ("json_envelope", "warning_rows", "terminal_table"):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 2, name  # lines and orders
+
+
+def test_counters_of_a_batch(spark):
+    m = spark.createDataFrame([(1, 1, "TSH", "2.5", "mIU/L"), (2, 1, "TSH", "n/a", ""), (3, 1, "TSH", "600", "mIU/L")], "doc_id long, ord int, raw_name string, raw_value string, raw_unit string")
+    df = report.assembled(resolve(parsed(m)))
+    df, seen = report.observed(df, "batch", F.when(F.col("found_nothing"), "NoBiomarkersFound"))
+    df.write.format("noop").mode("overwrite").save()
+    got = seen.get
+    assert (got["documents"], got["success"], got["needs_review"], got["partial_failure"], got["exit_0"], got["exit_3"], got["warnings"]) == (3, 1, 1, 1, 2, 1, 2)
+
+
+def test_documents_that_only_pages_know(spark):
+    m = spark.createDataFrame([(1, 1, "TSH", "2.5", "mIU/L")], "doc_id long, ord int, raw_name string, raw_value string, raw_unit string")
+    counts = spark.createDataFrame([(1, 0, 1, 0), (2, 1, 0, 0)], "doc_id long, failed_pages long, partial_pages long, rejections long")
+    got = {r.doc_id: (r.status, r.resolved, r.failed_pages) for r in validate.document_status(resolve(parsed(m)), counts).collect()}
+    assert got == {1: ("needs_review", 1, 0), 2: ("partial_failure", 0, 1)}
+
+
+@needs_data
+def test_status_and_latest_are_hash_aggregates(spark):
+    for name in ("document_status", "latest"):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHash" not in plan, name
+
+
+def test_order_keys_order_as_their_parts(spark):
+    import datetime
+    import itertools
+
+    days = [datetime.date(1, 1, 1), datetime.date(1969, 12, 31), datetime.date(2025, 1, 1), datetime.date(9999, 12, 31)]
+    rows = list(itertools.product(days, [-(2**63), -1, 0, 7, 2**63 - 1], [-(2**31), 0, 2**31 - 1]))
+    df = spark.createDataFrame(rows[::-1], "d date, a long, b int").withColumn("k", longitudinal.order_key("d", "a", "b"))
+    assert [tuple(r)[:3] for r in df.orderBy("k").collect()] == rows and df.select("k").distinct().count() == len(rows)
