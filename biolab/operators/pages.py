@@ -83,15 +83,41 @@ def dense_blocks(text: str, limit: int) -> list[str]:
     return [b for b in (x.strip() for x in [*blocks, held]) if b]
 
 
+#: Line ends as Python splits at them.
+_LINE = "\r\n|[\n\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+
+
+def blocks_of_lines(text: Column, limit: int) -> Column:
+    """As ``dense_blocks`` for a page over the limit none of whose lines is over it. Places are cut before what matches there, so nothing is lost."""
+    bare = lambda parts: F.filter(F.transform(parts, columns.trim), lambda b: b != "")
+    heading = r"^\s*(?:" + "|".join(V.SECTIONS) + r")\s*[:\-]?\s*$"
+    none = F.array().cast("array<string>")
+
+    def pack(state: Column, line: Column) -> Column:
+        full = (state["held"] != "") & (F.octet_length(state["held"]) + F.octet_length(line) + 1 > limit)
+        more = F.when(state["held"] == "", line).otherwise(F.concat(state["held"], F.lit("\n"), line))
+        return F.struct(F.when(full, F.concat(state["done"], F.array(state["held"]))).otherwise(state["done"]).alias("done"), F.when(full, line).otherwise(more).alias("held"))
+
+    packed = F.aggregate(F.split(text, _LINE), F.struct(none.alias("done"), F.lit("").alias("held")), pack, lambda s: F.concat(s["done"], F.array(s["held"])))
+    fits = lambda parts: F.forall(parts, lambda b: F.octet_length(b) <= limit)
+    or_else = lambda there, parts, other: F.when(there, columns.let(bare(parts), lambda p: F.when(fits(p), p).otherwise(other))).otherwise(other)
+    by_blank = or_else(F.contains(text, F.lit("\n\n")), F.split(text, "(?=\n\n)"), bare(packed))
+    return or_else(text.rlike("(?imdU)" + heading), F.split(text, f"(?imdU)(?={heading})"), by_blank)
+
+
 def split_dense(page_rows: DataFrame, limit: int = 30_000) -> DataFrame:
-    """(doc_id, page, block, text); only pages over the limit pass through Python."""
+    """(doc_id, page, block, text); only pages with a line over the limit pass through Python."""
     small = page_rows.filter(F.octet_length("text") <= limit).select("doc_id", "page", F.lit(1).alias("block"), "text")
+    page_rows = page_rows.filter(F.octet_length("text") > limit)
+    long_line = F.exists(F.split("text", _LINE), lambda x: F.octet_length(x) > limit)
+    cut = page_rows.filter(~long_line).select("doc_id", "page", F.posexplode(columns.let(F.col("text"), lambda t: blocks_of_lines(t, limit))).alias("k", "text"))
+    small = small.unionByName(cut.select("doc_id", "page", (F.col("k") + 1).alias("block"), "text"))
 
     @F.pandas_udf("array<string>")
     def blocks(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: dense_blocks(t, limit))
 
-    large = page_rows.filter(F.octet_length("text") > limit).select("doc_id", "page", F.posexplode(blocks("text")).alias("k", "text"))
+    large = page_rows.filter(long_line).select("doc_id", "page", F.posexplode(blocks("text")).alias("k", "text"))
     return small.unionByName(large.select("doc_id", "page", (F.col("k") + 1).alias("block"), "text"))
 
 

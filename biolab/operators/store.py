@@ -117,12 +117,13 @@ class Store:
         written.append(self._put("patients", batch, people.withColumn("seq", F.lit(seq).cast("long"))))
         return self._commit(base, written)
 
-    def archive(self, ids: list[int], archived: bool = True) -> int | None:
-        """Marks patients as archived (or not): one more row for each of them."""
+    def archive(self, ids: list[int] | DataFrame, archived: bool = True) -> int | None:
+        """Marks patients as archived (or not): one more row for each of them. ``ids``: a few of them, or a table with a column id."""
         base = self.last()
-        if base is None or not ids:
+        if base is None or ids == []:
             return base
-        rows = self.patients(base).filter(F.col("id").isin(ids)).withColumn("archived", F.lit(archived)).withColumn("seq", F.lit(base + 1).cast("long"))
+        ids = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id long")
+        rows = self.patients(base).join(ids.select("id").distinct(), "id", "left_semi").withColumn("archived", F.lit(archived)).withColumn("seq", F.lit(base + 1).cast("long"))
         return self._commit(base, [self._put("patients", uuid.uuid4().hex, rows)])
 
     # ------------------------------------------------------------ questions

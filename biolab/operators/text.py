@@ -20,6 +20,13 @@ from biolab.operators.resolve import resolve
 LAYOUTS = [re.compile(V.HUB, re.MULTILINE), re.compile(V.COLON, re.IGNORECASE), re.compile(V.GENERAL, re.IGNORECASE)]
 
 
+def found(text: str | None):
+    """(layout, start, end, name, comparator, value, unit) of every match of each layout."""
+    for k, layout in enumerate(LAYOUTS):
+        for m in layout.finditer(text or ""):
+            yield k, m.start(), m.end(), m["name"].strip(), m["cmp"] or "", m["value"], (m["unit"] or "").strip()
+
+
 def candidates(reports: DataFrame) -> DataFrame:
     """(doc_id, layout, start, end, raw_name, comparator, raw_value, raw_unit) of every match of each layout."""
 
@@ -27,10 +34,9 @@ def candidates(reports: DataFrame) -> DataFrame:
         for batch in rows:
             out = [[] for _ in range(8)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, layout in enumerate(LAYOUTS):
-                    for m in layout.finditer(text or ""):
-                        for c, x in zip(out, (doc, k, m.start(), m.end(), m["name"].strip(), m["cmp"] or "", m["value"], (m["unit"] or "").strip())):
-                            c.append(x)
+                for match in found(text):
+                    for c, x in zip(out, (doc, *match)):
+                        c.append(x)
             kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), *[pa.string()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["doc_id", "layout", "start", "end", "raw_name", "mark", "raw_value", "raw_unit"])
 

@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from biolab.functions import columns
+from biolab.functions import columns, table_functions
 from biolab.functions import fixed_values as V
 from biolab.operators import answers, conflicts, longitudinal, output, pages, parse, report, text, validate
 from biolab.operators.resolve import parsed, resolve
-from biolab.sources import catalog, files, tabular
+from biolab.operators.store import Store
+from biolab.session import shared_folder
+from biolab.sources import catalog, delimited_files, files, tabular
 from biolab.sources.measurements import measurements, reports
 
 from . import oracle as O
@@ -215,16 +217,45 @@ def _envelope_parts(spark, d):
     )
 
 
-@query()
+def _json(**fields: str) -> str:
+    """SQL of a JSON object whose null fields are left out; the fields are SQL of JSON texts."""
+    return "'{' || concat_ws(',', " + ", ".join(f"""'"{k}":' || {v}""" for k, v in fields.items()) + ") || '}'"
+
+
+_J = lambda c: f"to_json({c})::varchar"
+_UNLESS = lambda c, default: f"CASE WHEN {c} <> '{default}' THEN to_json({c})::varchar END"
+_SHORT = _json(raw_name=_J("raw_name"), value="value::varchar", unit=_J("unit"))
+_MARKER = _json(
+    name=_J("raw_name"), standardized_name=_J("standardized_name"), display_name=_J("display_name"), value="value::varchar", unit=_J("unit"), category=_J("category"), resolved="'true'", confidence=_J("confidence"),
+    resolution_method=_J("method"), comparator=_UNLESS("comparator", "="), flagged="CASE WHEN plausible <> 'ok' THEN 'true' END", unit_status=_UNLESS("unit_status", "Observed"), raw_value_text=_J("raw_value"), raw_unit=_UNLESS("raw_unit", ""),
+)
+_RANKED = "list_position(['skipped', 'unresolved', 'repeated', 'conflict', 'plausibility', 'sum', 'friedewald', 'ratio'], \"check\")"
+_PARTS = f"""{O.STATUS}, mk AS (SELECT k.*, p.raw_unit, {_SHOWN('k.value')} AS shown FROM plaus k JOIN parsed p USING (doc_id, ord)),
+cd AS (SELECT doc_id, standardized_name, arg_min(display_name, ord) AS display_name, arg_min(category, ord) AS category, '[' || string_agg({_SHORT}, ',' ORDER BY ord) || ']' AS candidates,
+ string_agg('  ' || {_SHOWN('value')} || ' ' || unit || ' [' || raw_name || ']', chr(10) ORDER BY ord) AS lines FROM firsts JOIN grouped USING (doc_id, standardized_name) WHERE NOT agree GROUP BY doc_id, standardized_name),
+wn AS (SELECT doc_id, list(warning ORDER BY {_RANKED}, "at", warning) AS ws FROM ({ORACLES['warning_rows']}) GROUP BY doc_id)"""
+
+
+@query(f"""WITH {_PARTS}, bm AS (SELECT doc_id, count(*) AS n, '[' || string_agg({_MARKER}, ',' ORDER BY ord) || ']' AS js FROM mk GROUP BY doc_id),
+un AS (SELECT doc_id, count(*) AS n, '[' || string_agg({_SHORT}, ',' ORDER BY ord) || ']' AS js FROM resolved WHERE value IS NOT NULL AND NOT resolved GROUP BY doc_id),
+cj AS (SELECT doc_id, '[' || string_agg({_json(standardized_name=_J('standardized_name'), display_name=_J('display_name'), category=_J('category'), candidates='candidates')}, ',' ORDER BY standardized_name) || ']' AS js FROM cd GROUP BY doc_id),
+x AS (SELECT s.doc_id, s.status, {_json(source=_J("('order-' || s.doc_id)"), biomarkers="coalesce(bm.js, '[]')", unresolved="coalesce(un.js, '[]')", conflicts="cj.js", parse_warnings="coalesce(to_json(ws)::varchar, '[]')")} AS data,
+ {_json(elapsed_ms="'0'", markers_found="coalesce(bm.n, 0)::varchar", markers_unresolved="coalesce(un.n, 0)::varchar", document_status=_J('s.status'), parser=_J("'csv'"), catalog_version=_J("'2.0'"))} AS meta
+ FROM status s LEFT JOIN bm USING (doc_id) LEFT JOIN un USING (doc_id) LEFT JOIN cj USING (doc_id) LEFT JOIN wn USING (doc_id))
+SELECT doc_id, {_json(version=_J("'2'"), status=_J('status'), data='data', metadata='meta')} AS envelope FROM x""")
 def json_envelope(spark, d):
-    """One JSON text for each document; defaults and empty parts are left out of it. Tests hold it against SQL part by part."""
+    """One JSON text for each document; defaults and empty parts are left out of it."""
     df = _envelope_parts(spark, d)
     return df.select("doc_id", output.envelope(df).alias("envelope"))
 
 
-@query()
+@query(f"""WITH {_PARTS}, tw AS (SELECT doc_id, count(*) AS n, greatest(9, max(len(display_name)))::int AS wa, greatest(5, max(len(shown)))::int AS wb, greatest(4, max(len(unit)))::int AS wc, greatest(8, max(len(category)))::int AS wd FROM mk GROUP BY doc_id),
+tl AS (SELECT doc_id, string_agg(rtrim(rpad(display_name, wa, ' ') || '  ' || lpad(shown, wb, ' ') || '  ' || rpad(unit, wc, ' ') || '  ' || rpad(category, wd, ' ')), chr(10) ORDER BY ord) AS rows FROM mk JOIN tw USING (doc_id) GROUP BY doc_id),
+ct AS (SELECT doc_id, string_agg('conflict: ' || display_name || ' (' || standardized_name || ')' || chr(10) || lines, chr(10) ORDER BY standardized_name) AS bad FROM cd GROUP BY doc_id)
+SELECT s.doc_id, CASE WHEN n > 0 THEN concat_ws(chr(10), n || ' biomarkers from order-' || s.doc_id, rtrim(rpad('Biomarker', wa, ' ') || '  ' || lpad('Value', wb, ' ') || '  ' || rpad('Unit', wc, ' ') || '  ' || rpad('Category', wd, ' ')),
+ rows, bad, array_to_string(list_transform(ws, lambda w: 'warning: ' || w), chr(10))) ELSE 'No biomarkers found.' END AS shown FROM status s LEFT JOIN tw USING (doc_id) LEFT JOIN tl USING (doc_id) LEFT JOIN ct USING (doc_id) LEFT JOIN wn USING (doc_id)""")
 def terminal_table(spark, d):
-    """What a terminal shows of each document. Tests hold it against a plain formatter."""
+    """What a terminal shows of each document."""
     return output.terminal(_envelope_parts(spark, d))
 
 
@@ -316,6 +347,25 @@ def text_tokens(spark, d):
     return text.candidates(reports(measurements(spark, d), "hub"))
 
 
+@query(f"""WITH {O.TOKENS} SELECT layout::int AS layout, mark, count(*) AS n, count(DISTINCT doc_id) AS n_docs, sum("stop" - start)::bigint AS chars FROM tok GROUP BY ALL""")
+def tokens_in_sql(spark, d):
+    """The matches of running text by the table function, in SQL."""
+    table_functions.register(spark)
+    reports_ = reports(measurements(spark, d), "hub")
+    return spark.sql("SELECT layout, mark, count(*) AS n, count(DISTINCT doc_id) AS n_docs, sum(`end` - start) AS chars FROM report_tokens(TABLE(SELECT * FROM {reports})) GROUP BY layout, mark", reports=reports_)
+
+
+@query(f"WITH {O.M} SELECT raw_name, trim(raw_value) AS raw_value, raw_unit, count(*) AS n FROM m GROUP BY ALL")
+def csv_files(spark, d):
+    """Delimited files by path: all measurements, written with a comment of two lines to each, and read in blocks."""
+    path = shared_folder(spark, "csv")
+    comment = F.concat(F.lit('see "page", '), "doc_id", F.lit("\nor ask"))
+    m = measurements(spark, d).select(F.col("raw_name").alias("Test Name"), F.col("raw_value").alias("Result"), F.col("raw_unit").alias("Units"), comment.alias("Comment"))
+    m.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    good, _ = delimited_files.rows(spark, path)
+    return good.groupBy("raw_name", "raw_value", "raw_unit").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {O.READINGS} SELECT doc_id, ord, layout::int AS layout, raw_name, value, comparator, unit, standardized_name, confidence, resolved FROM readings")
 def text_resolved(spark, d):
     r = text.readings(reports(measurements(spark, d), "hub"))
@@ -419,7 +469,18 @@ def paged_status(spark, d):
     return s.select("doc_id", "resolved", "unresolved", "conflicts", "failed_pages", "rejections", "status")
 
 
-@query()
+_DENSE = f"""{_PAGED}, px AS (SELECT doc_id, page, text, string_split(text, chr(10)) AS ls FROM pg),
+hl AS (SELECT doc_id, page, i, ls[i] AS line, sum(regexp_matches(ls[i], '(?i)^\\s*(?:{"|".join(V.SECTIONS)})\\s*[:\\-]?\\s*$')::int) OVER (PARTITION BY doc_id, page ORDER BY i) AS part FROM px, unnest(range(1, len(ls) + 1)) AS r(i)),
+hs AS (SELECT doc_id, page, part, trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(10)) AS b FROM hl GROUP BY ALL),
+hb AS (SELECT doc_id, page, max(part) AS n, list(b ORDER BY part) FILTER (b <> '') AS headed FROM hs GROUP BY ALL),
+cut AS (SELECT doc_id, page, text, n, headed, contains(text, chr(10) || chr(10)) AS gaps, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda b: trim(b, ' ' || chr(10))), lambda b: b <> '') AS apart,
+ list_reduce(list_transform(ls, lambda l: {{'done': []::varchar[], 'held': l}}), lambda a, x: CASE WHEN a.held <> '' AND strlen(a.held) + strlen(x.held) + 1 > 120 THEN {{'done': list_append(a.done, a.held), 'held': x.held}}
+ ELSE {{'done': a.done, 'held': CASE WHEN a.held = '' THEN x.held ELSE a.held || chr(10) || x.held END}} END) AS fold FROM px JOIN hb USING (doc_id, page)),
+blocks AS (SELECT doc_id, page, CASE WHEN strlen(text) <= 120 THEN [text] WHEN n > 0 AND len(list_filter(headed, lambda b: strlen(b) > 120)) = 0 THEN headed WHEN gaps AND len(list_filter(apart, lambda b: strlen(b) > 120)) = 0 THEN apart
+ ELSE list_filter(list_transform(list_append(fold.done, fold.held), lambda b: trim(b, ' ' || chr(10))), lambda b: b <> '') END AS bs FROM cut)"""
+
+
+@query(f"WITH {_DENSE} SELECT doc_id, page::int AS page, i::int AS block, bs[i] AS text FROM blocks, unnest(range(1, len(bs) + 1)) AS r(i)")
 def dense_split(spark, d):
     return pages.split_dense(pages.pages(_paged(spark, d)), 120).select("doc_id", "page", "block", "text")
 
@@ -583,6 +644,21 @@ def store_list(spark, d):
     return longitudinal.listed(*_store(spark, d)[:2]).withColumn("last_date", F.col("last_date").cast("string"))
 
 
+@query(f"WITH {_STORE} SELECT patient_id, slug, date::varchar AS date, session_id, id, standardized_name, value, unit FROM ex")
+def store_snapshots(spark, d):
+    """The export of a store on disk after two appends, the second of which has all sessions again, and an archive."""
+    s = Store(spark, shared_folder(spark, "store"), buckets=8)
+    r = _resolved(spark, d)
+    patients, sessions, markers = longitudinal.store(r)
+    none = lambda df, *cols: df.withColumns({c: F.lit(None).cast(k) for c, k in cols})
+    patients = none(patients.withColumn("name", F.concat(F.lit("Patient "), "id")), ("sex", "string"), ("dob", "date"))
+    sessions, markers = none(sessions, ("provider", "string")), none(markers, ("reference_range", "string"), ("flagged", "boolean"), ("confidence", "string"))
+    s.append(patients, sessions.filter("id % 2 = 0"), markers)
+    s.append(patients, sessions, markers)
+    s.archive(s.patients().filter("id % 10 = 3"))
+    return s.export().withColumn("date", F.col("date").cast("string"))
+
+
 @query(f"""WITH {O.RESOLVED}, {O.BANDS} SELECT doc_id, ord, value, unit, coalesce(value < hl OR value > hh OR value < sl OR value > sh, false) AS flagged FROM resolved LEFT JOIN band ON sn = standardized_name AND un = unit
 WHERE standardized_name IN ('tsh', 'hba1c') AND value IS NOT NULL""")
 def history_flags(spark, d):

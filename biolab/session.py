@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +29,23 @@ def local_session(app: str = "biolab", cpus: int | None = None, **conf: str) ->
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path where driver and executors share files: under ``spark.checkpoint.dir``, or of our own in local runs without one."""
+    key = "spark.checkpoint.dir"
+    named = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {key} to a folder that the driver and all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="biolab-engine-"))
+            atexit.register(shutil.rmtree, _own[0], True)
+        named = _own[0]
+    path = f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path

@@ -309,3 +309,27 @@ def test_order_keys_order_as_their_parts(spark):
     rows = list(itertools.product(days, [-(2**63), -1, 0, 7, 2**63 - 1], [-(2**31), 0, 2**31 - 1]))
     df = spark.createDataFrame(rows[::-1], "d date, a long, b int").withColumn("k", longitudinal.order_key("d", "a", "b"))
     assert [tuple(r)[:3] for r in df.orderBy("k").collect()] == rows and df.select("k").distinct().count() == len(rows)
+
+
+def test_dense_pages_in_the_jvm(spark):
+    """Headed, blank-line and packed pages against the plain function; pages with a line over the limit too."""
+    import random
+
+    rng = random.Random(7)
+    heads = ["Biochemistry", "HAEMATOLOGY:", "  Lipid -", "Urinalysis", "Lipid panel of today"]
+    texts = []
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 12)):
+            parts.append(rng.choice([rng.choice(heads), " ".join(rng.choice(["TSH", "é2.5", "mg/dL", "漢字"]) for _ in range(rng.randint(0, rng.choice([6, 6, 6, 40]))))]))
+            parts.append(rng.choice(["\n", "\n", "\n\n", "\n \n", "\n\n\n", "\r\n"]))
+        texts.append("".join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").select("doc_id", F.lit(1).alias("page"), "text")
+    for limit in (40, 90):
+        got = {}
+        for r in sorted(pages.split_dense(df, limit).collect(), key=lambda r: (r.doc_id, r.block)):
+            got.setdefault(r.doc_id, []).append(r.text)
+        assert {i: b for i, t in enumerate(texts) if (b := pages.dense_blocks(t, limit))} == got
+    jvm = [t for t in texts if len(t.encode()) > 90 and all(len(x.encode()) <= 90 for x in t.splitlines())]
+    kinds = {bool(pages._SECTION.search(t)) for t in jvm}
+    assert len(jvm) > 60 and kinds == {True, False}
