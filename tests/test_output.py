@@ -333,3 +333,16 @@ def test_dense_pages_in_the_jvm(spark):
     jvm = [t for t in texts if len(t.encode()) > 90 and all(len(x.encode()) <= 90 for x in t.splitlines())]
     kinds = {bool(pages._SECTION.search(t)) for t in jvm}
     assert len(jvm) > 60 and kinds == {True, False}
+
+
+def test_the_table_function_wants_reports(spark):
+    from pyspark.errors import PySparkException
+
+    from biolab.functions import table_functions
+
+    table_functions.register(spark)
+    df = spark.createDataFrame([(1, "TSH: 2 mIU/L"), (2, None)], "doc_id int, content string")
+    got = spark.sql("SELECT * FROM report_tokens(TABLE({t}))", t=df)
+    assert got.schema["doc_id"].dataType.simpleString() == "int" and {tuple(r) for r in got.collect()} == {tuple(r) for r in text.candidates(df).collect()} != set()
+    with pytest.raises(PySparkException):
+        spark.sql("SELECT * FROM report_tokens(TABLE({t}))", t=df.drop("content"))
