@@ -57,3 +57,13 @@ def test_order_is_checked_and_an_empty_table_is_uniform(spark):
     assert kneser_ney.score(docs, kneser_ney.train(docs.limit(0), 1, order=3)).first().score == 0.0
     with pytest.raises(ValueError):
         kneser_ney.train(docs, 1, order=4)
+
+
+def test_pairs_of_too_many_words_are_refused(spark):
+    """A pair of word numbers is a 64-bit number; past that training says so instead of wrapping around."""
+    class Vocabulary:
+        def __len__(self):
+            return 1 << 32
+
+    with pytest.raises(ValueError, match="64 bits"):
+        kneser_ney.count_pairs(None, "", Vocabulary(), 1, None, 2)
