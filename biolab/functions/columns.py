@@ -12,12 +12,14 @@ from . import fixed_values as V
 
 #: What a plain float may look like; casts alone accept more (``5d``, hexadecimal, blanks).
 FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+#: Unicode's white space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 COMPARATORS = "^(<=)*(>=)*<*>*≤*≥*"
 
 
 def trim(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def quoted(name: str) -> Column:

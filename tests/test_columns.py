@@ -63,3 +63,14 @@ def test_search_forms(spark):
     assert one(spark, [("4.10",), ("5",), ("0.0",), ("4.5",)], "a string", columns.value_variants(F.col("a"))) == [["4.10", "4.1"], ["5", "5.0"], ["0.0", "0"], ["4.5"]]
     assert one(spark, [("Total Insulin-like",), ("TSH",), ("free iron zinc",)], "a string", columns.name_token(F.col("a"))) == ["insulin", "tsh", "zinc"]
     assert one(spark, [(5.0,), (5.25,), (2e6,)], "a double", columns.display_value(F.col("a"))) == ["5", "5.25", "2000000.00"]
+
+
+def test_trim_is_unicode_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from biolab.functions import columns
+
+    for c in [*range(0x100), *range(0x1680, 0x1690), *range(0x180E, 0x1810), *range(0x2000, 0x2070), 0x3000, 0xFEFF]:
+        assert (chr(c) in columns.BLANKS) == (chr(c).isspace() and not 0x1C <= c <= 0x1F), hex(c)
+    df = spark.createDataFrame([(f" \u3000\t{x}\x85\n\xa0",) for x in ("a b", "", "\ufeffé ", "(x)")], "t string")
+    assert df.filter(~columns.trim(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
