@@ -12,8 +12,8 @@
    Jaccard on full sets confirms the rest, and components are formed.
 5. Members of a list that are still in different components are met: those outside the list's largest
    component with the others, if their sizes allow a link. Members of long lists do this by the rarest
-   shingles of their full sets instead of the list. Neither a large group of near copies nor a passage on many pages
-   makes all its pairs.
+   shingles of their full sets instead of the list. Neither a passage on many pages nor a large group of near copies with the text
+   that they are copies of makes all its pairs; a group without that text does, as most of its pairs are near the limit.
 
 So a link between sets of K shingles and more is missed with the chance that steps 3 and 4 name, and no other is. With ``exact``
 none is: step 5 then meets the full sets of all classes, whatever lists they share, and no estimate drops a pair of it.
