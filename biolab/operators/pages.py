@@ -174,13 +174,13 @@ def page_conflicts(read: DataFrame) -> DataFrame:
     The first reading counts: later ones with its value and unit are repeats and no candidates. Comparators aren't looked at.
     """
     rows = read.filter("standardized_name is not null and value is not null")
-    first = rows.groupBy("doc_id", "standardized_name").agg(F.min("ord").alias("first_ord"))
-    marked = rows.join(first, ["doc_id", "standardized_name"])
-    of_first = marked.filter("ord = first_ord").select("doc_id", "standardized_name", F.col("value").alias("v0"), F.col("raw_unit_norm").alias("u0"))
-    other = (F.abs(F.col("value") - F.col("v0")) >= 0.0001) | (F.col("raw_unit_norm") != F.col("u0"))
-    keep = marked.join(of_first, ["doc_id", "standardized_name"]).filter((F.col("ord") == F.col("first_ord")) | other)
     each = F.sort_array(F.collect_list(F.struct("ord", "raw_name", "value", F.col("raw_unit_norm").alias("unit"), "page")))
-    return keep.groupBy("doc_id", "standardized_name").agg(each.alias("candidates")).filter(F.size("candidates") > 1)
+    # readings of one marker in a document are few: they are gathered once and looked at in order
+    g = rows.groupBy("doc_id", "standardized_name").agg(each.alias("all")).filter(F.size("all") > 1)
+    first = F.get("all", 0)
+    other = lambda x: (F.abs(x["value"] - first["value"]) >= 0.0001) | (x["unit"] != first["unit"])
+    kept = F.filter("all", lambda x: (x["ord"] == first["ord"]) | other(x))
+    return g.select("doc_id", "standardized_name", columns.once(kept.alias("candidates"))).filter(F.size("candidates") > 1)
 
 
 def page_counts(statuses: DataFrame, markers: DataFrame) -> DataFrame:
