@@ -50,10 +50,14 @@ def stats(df: DataFrame) -> DataFrame:
     return df.agg(F.countDistinct("patient_id").alias("patients"), F.countDistinct("doc_id").alias("sessions"), F.count("*").alias("records"))
 
 
-def store(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(patients, sessions, markers) of resolved rows with patient_id, doc_id and date: a session is a document."""
-    patients = df.select(F.col("patient_id").alias("id")).distinct().select("id", F.concat(F.lit("patient-"), "id").alias("slug"), F.lit(False).alias("archived"))
-    sessions = df.groupBy(F.col("doc_id").alias("id")).agg(F.min("patient_id").alias("patient_id"), F.min("date").alias("date"), F.lit("measurements").alias("source"))
+def store(df: DataFrame, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(patients, sessions, markers) of resolved rows with patient_id, doc_id and date: a session is a document.
+
+    ``rows``: the same rows before they were resolved; patients and sessions, which need no names, are made of them.
+    """
+    rows = df if rows is None else rows
+    patients = rows.select(F.col("patient_id").alias("id")).distinct().select("id", F.concat(F.lit("patient-"), "id").alias("slug"), F.lit(False).alias("archived"))
+    sessions = rows.groupBy(F.col("doc_id").alias("id")).agg(F.min("patient_id").alias("patient_id"), F.min("date").alias("date"), F.lit("measurements").alias("source"))
     markers = df.filter("resolved and value is not null").select(F.col("doc_id").alias("session_id"), F.col("ord").alias("id"), F.col("raw_name").alias("name"), "standardized_name", "value", "unit")
     return patients, sessions, markers
 
@@ -74,7 +78,8 @@ def export(patients: DataFrame, sessions: DataFrame, markers: DataFrame, only_la
     """(patient_id, slug, date, session_id, id, standardized_name, value, unit) of patients that aren't archived; the last of each marker if asked."""
     of = sessions.select(F.col("id").alias("session_id"), "patient_id", "date")
     who = patients.filter("not archived").select(F.col("id").alias("patient_id"), "slug")
-    df = markers.join(of, "session_id").join(who, "patient_id")
+    # sessions, which are fewer and narrower than markers, go to their patients; markers stay with their sessions
+    df = markers.join(of.join(who, "patient_id"), "session_id")
     df = df.select("patient_id", "slug", "date", "session_id", "id", "standardized_name", "value", "unit")
     if not only_latest:
         return df
