@@ -73,7 +73,8 @@ class Store:
         names = [c.split()[0] for c in SCHEMAS[table].split(", ")]
         bucket = F.pmod(F.xxhash64(OWNER[table]), F.lit(self.buckets)).cast("int")
         df = df.select(*names).withColumn("bucket", bucket)
-        df.repartition("bucket").sortWithinPartitions("bucket", OWNER[table]).write.partitionBy("bucket").parquet(f"{self.path}/{table}/batch={batch}")
+        # a bucket's patients are dealt to as many tasks as there are, a patient to one: buckets are few, whatever the table's size
+        df.repartition("bucket", OWNER[table]).sortWithinPartitions("bucket", OWNER[table]).write.partitionBy("bucket").parquet(f"{self.path}/{table}/batch={batch}")
         return table, batch
 
     # ------------------------------------------------------------ reading
