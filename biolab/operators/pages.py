@@ -15,7 +15,7 @@ from biolab.functions import fixed_values as V
 def split_pages(text: Column) -> Column:
     """Pages between form feeds, trimmed, without empty ones; the whole text if none is left."""
     parts = F.filter(F.transform(F.split(text, "\f"), columns.trim), lambda p: p != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
+    return columns.let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(text)))
 
 
 def pages(docs: DataFrame) -> DataFrame:
@@ -105,20 +105,23 @@ def blocks_of_lines(text: Column, limit: int) -> Column:
     return or_else(text.rlike("(?imdU)" + heading), F.split(text, f"(?imdU)(?={heading})"), by_blank)
 
 
+def _cut(text: Column, limit: int) -> Column:
+    """The blocks of a page, null where a line of it is over the limit: such pages are for ``dense_blocks``."""
+    long_line = F.exists(F.split(text, _LINE), lambda x: F.octet_length(x) > limit)
+    return F.when(F.octet_length(text) <= limit, F.array(text)).when(~long_line, columns.let(text, lambda t: blocks_of_lines(t, limit)))
+
+
 def split_dense(page_rows: DataFrame, limit: int = 30_000) -> DataFrame:
-    """(doc_id, page, block, text); only pages with a line over the limit pass through Python."""
-    small = page_rows.filter(F.octet_length("text") <= limit).select("doc_id", "page", F.lit(1).alias("block"), "text")
-    page_rows = page_rows.filter(F.octet_length("text") > limit)
-    long_line = F.exists(F.split("text", _LINE), lambda x: F.octet_length(x) > limit)
-    cut = page_rows.filter(~long_line).select("doc_id", "page", F.posexplode(columns.let(F.col("text"), lambda t: blocks_of_lines(t, limit))).alias("k", "text"))
-    small = small.unionByName(cut.select("doc_id", "page", (F.col("k") + 1).alias("block"), "text"))
+    """(doc_id, page, block, text) in one pass; only the texts of pages with a line over the limit pass through Python."""
 
     @F.pandas_udf("array<string>")
     def blocks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: dense_blocks(t, limit))
+        return texts.map(lambda t: None if t is None else dense_blocks(t, limit))
 
-    large = page_rows.filter(long_line).select("doc_id", "page", F.posexplode(blocks("text")).alias("k", "text"))
-    return small.unionByName(large.select("doc_id", "page", (F.col("k") + 1).alias("block"), "text"))
+    cut = page_rows.select("doc_id", "page", "text", columns.once(_cut(F.col("text"), limit).alias("cut")))
+    blocks = blocks.asNondeterministic()  # else Spark calls it once more, for a filter on what explode gets
+    each = cut.select("doc_id", "page", F.coalesce("cut", blocks(F.when(F.col("cut").isNull(), F.col("text")))).alias("blocks"))
+    return each.select("doc_id", "page", F.posexplode("blocks").alias("k", "text")).select("doc_id", "page", (F.col("k") + 1).alias("block"), "text")
 
 
 def patients(page_rows: DataFrame) -> DataFrame:
@@ -128,42 +131,73 @@ def patients(page_rows: DataFrame) -> DataFrame:
 
 
 def page_results(docs: DataFrame, start, limit: int = 30_000) -> DataFrame:
-    """(doc_id, page, was_split, error, answers) of every page of (doc_id, content): an outside extractor's answers to its blocks.
+    """(doc_id, page, was_split, error, answers, text) of every page of (doc_id, content): an outside extractor's answers to its blocks.
 
     Dense pages are cut into blocks, which makes the page ``was_split``; the errors of a page's blocks are joined. ``start`` as of
-    ``files.extract``.
+    ``files.extract``. A page is one row throughout and keeps its text, so nothing is shuffled here or behind it.
     """
     from biolab.sources import files
 
-    blocks = split_dense(pages(docs), limit)
-    got = files.extract(blocks, start)
-    of = got.groupBy("doc_id", "page").agg(
-        (F.count("*") > 1).alias("was_split"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("block", "error")))), lambda x: x["error"]), "; ").alias("error"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("answer").isNotNull(), F.struct("block", "answer")))), lambda x: x["answer"]).alias("answers"),
-    )
-    return of.withColumn("error", F.nullif("error", F.lit("")))
+    cut = pages(docs).filter("text is not null").select("doc_id", "page", "text", columns.once(_cut(F.col("text"), limit).alias("cut")))
+    ask = files.extractor(start, lambda t: dense_blocks(t, limit))
+    got = cut.select("doc_id", "page", "text", ask("cut", F.when(F.col("cut").isNull(), F.col("text"))).alias("got")).filter(F.size("got.errors") > 0)
+    error = F.nullif(F.array_join(F.array_compact("got.errors"), "; "), F.lit(""))
+    return got.select("doc_id", "page", (F.size("got.errors") > 1).alias("was_split"), error.alias("error"), F.array_compact("got.answers").alias("answers"), "text")
 
 
-def page_markers(results: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, page, ord, name, value, comparator, unit, reference_range, flagged, source_text, verified) of the pages' answers.
+def _usable() -> Column:
+    """Markers of a page that failed without being split are left out."""
+    return F.col("error").isNull() | F.col("was_split")
 
-    Markers of a page that failed without being split are left out. Each is held against the text of its page, which is looked up
-    by number; one whose value isn't near its name there isn't ``verified``.
-    """
+
+def _status() -> Column:
+    """A split page is partial, one with an error failed."""
+    return F.when(F.col("was_split"), "partial").when(F.col("error").isNotNull(), "failed").otherwise("ok")
+
+
+def _marked(results: DataFrame) -> DataFrame:
+    """A row for each marker of a page, ``found``, or one that isn't for an answer without markers and for a page without answers; one row of a page is its ``opening``."""
     from biolab.operators import answers
 
-    usable = results.filter(F.col("error").isNull() | F.col("was_split"))
-    each = usable.select("doc_id", "page", F.posexplode("answers").alias("block", "answer"))
-    items = each.select("doc_id", "page", "block", F.posexplode(answers.items(F.col("answer"))).alias("k", "x")).select("doc_id", "page", "block", "k", "x.*")
+    each = results.select("doc_id", "page", "text", _status().alias("status"), F.posexplode_outer(F.when(_usable(), F.col("answers"))).alias("block", "answer"))
+    items = each.select("doc_id", "page", "text", "status", "block", F.posexplode_outer(answers.items(F.col("answer"))).alias("k", "x")).select("doc_id", "page", "text", "status", "block", "k", "x.*")
     read = items.select("*", columns.once(answers.coerced(F.col("value"), F.col("comparator")).alias("c")))
-    text = pages(docs).withColumnRenamed("text", "page_text")
-    both = read.join(text, ["doc_id", "page"], "left")
-    near = answers.near(F.coalesce("page_text", F.lit("")), F.col("c.written"), F.col("name"))
-    order = Window.partitionBy("doc_id").orderBy("page", "block", "k")
-    return both.select(
-        "doc_id", "page", F.row_number().over(order).alias("ord"), "name", F.col("c.value").alias("value"), F.col("c.comparator").alias("comparator"),
-        columns.normalize_unit(F.coalesce("unit", F.lit(""))).alias("unit"), "reference_range", F.coalesce("flagged", F.lit(False)).alias("flagged"), "source_text", (near & F.col("c.value").isNotNull()).alias("verified"),
+    near = answers.near(F.coalesce("text", F.lit("")), F.col("c.written"), F.col("name"))
+    return read.select(
+        "doc_id", "page", "status", "block", "k", F.col("k").isNotNull().alias("found"), ((F.coalesce("block", F.lit(0)) == 0) & (F.coalesce("k", F.lit(0)) == 0)).alias("opening"), "name",
+        F.col("c.value").alias("value"), F.col("c.comparator").alias("comparator"), columns.normalize_unit(F.coalesce("unit", F.lit(""))).alias("unit"), "reference_range",
+        F.coalesce("flagged", F.lit(False)).alias("flagged"), "source_text", columns.once((near & F.col("c.value").isNotNull()).alias("verified")),
+    )
+
+
+def _place() -> Column:
+    """A marker's place in its document, from 1."""
+    return F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "block", "k"))
+
+
+def page_markers(results: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, ord, name, value, comparator, unit, reference_range, flagged, source_text, verified) of the pages' answers.
+
+    Markers of a page that failed without being split are left out. Each is held against the text of its page, which is looked up in
+    ``docs`` by number where ``results`` don't have it; one whose value isn't near its name there isn't ``verified``.
+    """
+    if "text" not in results.columns:
+        results = results.join(pages(docs), ["doc_id", "page"], "left")
+    found = _marked(results).filter("found")
+    return found.select("doc_id", "page", _place().alias("ord"), "name", "value", "comparator", "unit", "reference_range", "flagged", "source_text", "verified")
+
+
+def page_readings_and_counts(results: DataFrame) -> DataFrame:
+    """Rows to resolve as of ``page_readings``, with failed_pages, partial_pages and rejections that add up to those of ``page_counts``: one pass of the answers.
+
+    What isn't verified, and a page without markers, is a row without a value, which is no reading.
+    """
+    count = lambda cond: cond.cast("long")
+    value = F.when(F.col("verified"), F.col("value"))
+    return _marked(results).select(
+        "doc_id", "page", _place().alias("ord"), F.col("name").alias("raw_name"), value.alias("value"), "comparator", "unit", "reference_range", "flagged", "source_text",
+        count(F.col("opening") & (F.col("status") == "failed")).alias("failed_pages"), count(F.col("opening") & (F.col("status") == "partial")).alias("partial_pages"),
+        count(F.col("found") & ~F.col("verified")).alias("rejections"),
     )
 
 
@@ -195,8 +229,13 @@ def page_readings(markers: DataFrame) -> DataFrame:
     return markers.filter("verified").select("doc_id", "page", "ord", F.col("name").alias("raw_name"), "value", "comparator", "unit", "reference_range", "flagged", "source_text")
 
 
-def page_statuses(results: DataFrame, markers: DataFrame) -> DataFrame:
-    """(doc_id, page, status, error, marker_count): a split page is partial, one with an error failed."""
-    n = markers.groupBy("doc_id", "page").agg(F.count("*").alias("n"))
-    status = F.when(F.col("was_split"), "partial").when(F.col("error").isNotNull(), "failed").otherwise("ok")
-    return results.join(n, ["doc_id", "page"], "left").select("doc_id", "page", status.alias("status"), "error", F.coalesce("n", F.lit(0)).alias("marker_count"))
+def page_statuses(results: DataFrame, markers: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, status, error, marker_count): a split page is partial, one with an error failed. Without ``markers`` they are counted in the answers, in one pass."""
+    from biolab.operators import answers
+
+    if markers is not None:
+        n = markers.groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+        return results.join(n, ["doc_id", "page"], "left").select("doc_id", "page", _status().alias("status"), "error", F.coalesce("n", F.lit(0)).alias("marker_count"))
+    each = results.select("doc_id", "page", "error", _status().alias("status"), F.when(_usable(), F.transform("answers", lambda a: F.coalesce(F.size(answers.items(a)), F.lit(0)))).alias("n"))
+    n = F.aggregate(F.coalesce("n", F.array().cast("array<int>")), F.lit(0).cast("long"), lambda a, x: a + F.greatest(x, F.lit(0)))
+    return each.select("doc_id", "page", "status", "error", n.alias("marker_count"))

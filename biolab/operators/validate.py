@@ -95,6 +95,8 @@ def assess(a: dict[str, Column]) -> Column:
     return F.when(a["failed_pages"] > 0, 2).when((a["resolved"] == 0) | (a["unresolved"] > a["resolved"]) | bad, 1).otherwise(0)
 
 
+#: Counts of a document's pages.
+PAGED = ["failed_pages", "partial_pages", "rejections"]
 COUNTERS = ["resolved", "unresolved", "conflicts", "ambiguous", "unit_gaps", "impossible", "unusual"]
 
 
@@ -113,15 +115,16 @@ def counters(ok: Column, bad: Column, of_kept: list[Column]) -> list[Column]:
 def with_status(df: DataFrame, page_counts: DataFrame | None, *more: str) -> DataFrame:
     """(doc_id, counters, cross_warnings, page counts if given, status, found_nothing, patterns_suffice, and ``more``) from a document's ``counters`` and cross results.
 
-    A document of ``page_counts`` (doc_id, failed_pages, partial_pages, rejections) that has no row in ``df`` has a status too.
+    A document of ``page_counts`` (doc_id, failed_pages, partial_pages, rejections) that has no row in ``df`` has a status too; ``df`` may have these counts itself.
     """
-    df = df.select("doc_id", *[F.col(f"n_{k}").alias(k) for k in COUNTERS], (F.col("pct_warns").cast("int") + F.col("friedewald_warns").cast("int") + F.col("tc_hdl_warns").cast("int")).alias("cross_warnings"), *[F.col(c).alias(f"_{c}") for c in more])
-    paged = ("failed_pages", "partial_pages", "rejections")
-    if page_counts is None:
-        of_pages, shown = dict.fromkeys(paged, F.lit(0)), []
+    paged = [c for c in PAGED if c in df.columns]
+    df = df.select("doc_id", *[F.col(f"n_{k}").alias(k) for k in COUNTERS], (F.col("pct_warns").cast("int") + F.col("friedewald_warns").cast("int") + F.col("tc_hdl_warns").cast("int")).alias("cross_warnings"), *[F.col(c).alias(f"_{c}") for c in more], *paged)
+    if page_counts is not None:
+        df = df.join(page_counts.select("doc_id", *PAGED), "doc_id", "full")
+    if page_counts is None and not paged:
+        of_pages, shown = dict.fromkeys(PAGED, F.lit(0)), []
     else:
-        df = df.join(page_counts.select("doc_id", *paged), "doc_id", "full")
-        of_pages = {k: F.coalesce(k, F.lit(0)) for k in paged}
+        of_pages = {k: F.coalesce(k, F.lit(0)) for k in PAGED}
         shown = [c.alias(k) for k, c in of_pages.items()]
     n = {k: F.coalesce(k, F.lit(0)) for k in (*COUNTERS, "cross_warnings")}
     rank = assess({k: n[k] for k in COUNTERS[:5]} | of_pages)
@@ -136,7 +139,8 @@ def with_status(df: DataFrame, page_counts: DataFrame | None, *more: str) -> Dat
 def document_status(resolved: DataFrame, page_counts: DataFrame | None = None, with_comparator: bool = True) -> DataFrame:
     """A row for each document: counters, warnings and its status, the worst of all checks.
 
-    ``page_counts`` of paged documents, as of ``pages.page_counts``; others have none of these. ``with_comparator`` as of ``conflicts.every_group``.
+    ``page_counts`` of paged documents, as of ``pages.page_counts``; others have none of these. Rows may have these
+    counts themselves, as of ``pages.page_readings_and_counts``: they are added up. ``with_comparator`` as of ``conflicts.every_group``.
 
     Two hash aggregates over one pass of the rows: by (document, marker), then by document. What they hold of a reading is of
     fixed width: its value, the signs of it as bits, and units and comparators as hashes, which are only compared. Documents with
@@ -146,16 +150,18 @@ def document_status(resolved: DataFrame, page_counts: DataFrame | None = None, w
     if_read = lambda c: F.when(read, c)
     df = with_bands(resolved, F.col("standardized_name"), F.col("unit")).withColumn("plausible", band_state(F.col("value")))
     bits = sum((F.coalesce(s, F.lit(False)).cast("int") * (1 << i) for i, s in enumerate(signs())), F.lit(0))
-    df = df.select(*KEY, "value", if_read(F.col("ord")).alias("at"), if_read(F.xxhash64("unit")).alias("unit"), if_read(F.xxhash64("comparator")).alias("mark"), bits.alias("bits"))
+    paged = [c for c in PAGED if page_counts is None and c in df.columns]
+    add = [F.sum(c).alias(c) for c in paged]
+    df = df.select(*KEY, *paged, "value", if_read(F.col("ord")).alias("at"), if_read(F.xxhash64("unit")).alias("unit"), if_read(F.xxhash64("comparator")).alias("mark"), bits.alias("bits"))
     first = lambda c: F.min_by(c, "at").alias(f"first_{c}")
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("value", "unit", "mark") for f in (F.min, F.max)]
-    g = df.groupBy(*KEY).agg(F.count("at").alias("n_readings"), F.min("at").alias("ord"), first("value"), first("unit"), first("bits"), *ends)
+    g = df.groupBy(*KEY).agg(F.count("at").alias("n_readings"), F.min("at").alias("ord"), first("value"), first("unit"), first("bits"), *ends, *add)
     c = F.col
     agree = (c("max_value") - c("first_value") < TOLERANCE) & (c("first_value") - c("min_value") < TOLERANCE) & (c("min_unit") == c("max_unit"))
     if with_comparator:
         agree = agree & (c("min_mark") == c("max_mark"))
     named = c("standardized_name").isNotNull() & (c("n_readings") > 0)
     ok, bad = named & c("agree"), named & ~c("agree")
-    g = g.select(*KEY, "ord", "n_readings", c("first_value").alias("value"), c("first_unit").alias("unit"), c("first_bits").alias("bits"), agree.alias("agree"))
-    df = g.groupBy("doc_id").agg(*counters(ok, bad, [c("bits").bitwiseAND(1 << i) > 0 for i in range(4)]), *_cross_inputs(ok, _keyed))
+    g = g.select(*KEY, *paged, "ord", "n_readings", c("first_value").alias("value"), c("first_unit").alias("unit"), c("first_bits").alias("bits"), agree.alias("agree"))
+    df = g.groupBy("doc_id").agg(*counters(ok, bad, [c("bits").bitwiseAND(1 << i) > 0 for i in range(4)]), *_cross_inputs(ok, _keyed), *add)
     return with_status(df.select("*", *_cross_results(_keyed)), page_counts)

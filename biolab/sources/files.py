@@ -119,6 +119,32 @@ def has_text_layer(text: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(text, r"(?U)\s", "")) > TEXT_LAYER_CHARS, F.lit(False))
 
 
+def _answered(ask: Callable[[str], str], text: str) -> tuple[str | None, str | None]:
+    """(answer, error) to a block of text."""
+    try:
+        if len(text.encode()) < 50:
+            raise ValueError("page too short")
+        return ask(text), None
+    except Exception as e:  # an extractor may fail in any way
+        return None, str(e)
+
+
+def extractor(start: Callable[[], Callable[[str], str]], cut: Callable[[str], list[str]]) -> Callable[..., Column]:
+    """As ``extract`` for whole pages: a function of (blocks, text) that gives the lists ``answers`` and ``errors``, one of both for each block.
+
+    Where there are no blocks, ``text`` is cut by ``cut``. An extractor's answers may differ from call to call, so Spark is told not to repeat it.
+    """
+
+    @F.pandas_udf("answers array<string>, errors array<string>")
+    def answer(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        ask = start()
+        for blocks, texts in batches:
+            got = [[_answered(ask, t) for t in (cut(text) if page is None else page)] for page, text in zip(blocks, texts)]
+            yield pd.DataFrame({"answers": [[a for a, _ in page] for page in got], "errors": [[e for _, e in page] for page in got]})
+
+    return answer.asNondeterministic()
+
+
 def extract(blocks: DataFrame, start: Callable[[], Callable[[str], str]]) -> DataFrame:
     """(doc_id, page, block, answer, error): an outside extractor's answer to each block of text.
 
@@ -130,17 +156,8 @@ def extract(blocks: DataFrame, start: Callable[[], Callable[[str], str]]) -> Dat
     def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = start()
         for pdf in rows:
-            answers, errors = [], []
-            for text in pdf["text"]:
-                try:
-                    if len(text.encode()) < 50:
-                        raise ValueError("page too short")
-                    answers.append(ask(text))
-                    errors.append(None)
-                except Exception as e:  # an extractor may fail in any way
-                    answers.append(None)
-                    errors.append(str(e))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "page": pdf["page"], "block": pdf["block"], "answer": answers, "error": errors})
+            got = [_answered(ask, text) for text in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "page": pdf["page"], "block": pdf["block"], "answer": [a for a, _ in got], "error": [e for _, e in got]})
 
     kind = blocks.schema["doc_id"].dataType.simpleString()
     return blocks.select("doc_id", "page", "block", "text").mapInPandas(batches, f"doc_id {kind}, page int, block int, answer string, error string")
