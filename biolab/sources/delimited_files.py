@@ -1,22 +1,26 @@
 """Delimited report files by path: a large file is read by many tasks, and quoted fields may hold line ends.
 
 Spark's text reader cuts a file into blocks at line ends, so a block may begin inside a quoted field. A first pass counts the quotes of
-each block; the sum of the blocks before it says whether a block begins inside quotes. The second pass reads each block's lines in order and
-joins lines to records. A record that goes on in the next block is put together from its parts, one for each block it is in.
-Nothing but a number for each block is brought together, and nothing is read by the driver.
+each block and finds the columns in each file's first record; the sum of the blocks before a block says whether it begins inside quotes. The
+second pass joins a block's lines to records, a batch of lines at once, and reads their fields. A record that goes on in the next block is
+put together from its parts, one for each block it is in; blocks without such parts aren't read for them.
+Nothing but a few numbers for each block is brought together, and no text passes through the driver.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from biolab.functions import fixed_values as V
-from biolab.sources.tabular import delimiter, role
+from biolab.sources.tabular import role
 
 #: Up to so many blocks (some 100 bytes each) their table is broadcast; beyond it the lines are dealt by block and sorted.
 BROADCAST_BLOCKS = 100_000
@@ -29,116 +33,193 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
 
 
-def blocks(df: DataFrame) -> DataFrame:
-    """(path, block, inside): whether a block begins inside quotes."""
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    n = df.groupBy(*BLOCK).agg(F.sum(quotes).alias("n"))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return n.select(*BLOCK, (F.coalesce(F.sum("n").over(before), F.lit(0)) % 2 == 1).alias("inside"))
+def _runs(batch: pa.RecordBatch):
+    """(path, block, first, end) of each run of rows of one block."""
+    path, block, n = batch.column(0), batch.column(1), batch.num_rows
+    if n:
+        other = lambda c: pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(other(path) | other(block)) + 1).tolist(), n]
+        for a, b in zip(cuts, cuts[1:]):
+            yield path[a].as_py(), block[a].as_py(), a, b
 
 
-def records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, ord, record, closed): the text of each record; ``ord`` rises with the place in the file. Only a file's last record may be left open."""
-    df = lines(spark, paths)
-    of = blocks(df)
-    if of.count() <= BROADCAST_BLOCKS:
-        both = df.join(F.broadcast(of), BLOCK)
-    else:
-        both = df.withColumn("seq", F.monotonically_increasing_id()).join(of, BLOCK).repartition(*BLOCK).sortWithinPartitions(*BLOCK, "seq")
+def _quotes(lines: pa.Array) -> np.ndarray:
+    return pc.count_substring(lines, '"').to_numpy(zero_copy_only=False)
 
-    def batches(source):
-        """Whole records (part null), and those that begin before a block (part 0) or go on behind it (part 1)."""
-        at, n, held, inside, first = None, 0, [], False, False
-        out = [[] for _ in range(5)]
 
-        def put(part):
-            for c, x in zip(out, (*at, at[1] + n - len(held), "\n".join(held), part)):
-                c.append(x)
-            held.clear()
+def _fields(record: str, d: str) -> list[str]:
+    """The fields of a record; of one that has line ends outside quotes, those before the first."""
+    try:
+        row = next(csv.reader([record], delimiter=d), [])
+    except csv.Error:
+        row = next(csv.reader(io.StringIO(record, newline=""), delimiter=d), [])
+    return [x.strip() for x in row]
+
+
+def _head(text: str) -> tuple[str, int | None, int | None, int | None]:
+    """(delimiter, places of name, value and unit) of a file's first record; the delimiter as of ``tabular.delimiter``."""
+    text = text.removeprefix("\ufeff")
+    tabs, semis, commas = (re.split("\r?\n", text)[0].count(d) for d in "\t;,")
+    d = "\t" if tabs >= 2 and tabs >= commas and tabs >= semis else ";" if semis >= 2 and semis >= commas else ","
+    names = _fields(text, d)
+    return (d, *(role(names, k) for k in (V.NAME_HEADERS, V.VALUE_HEADERS, V.UNIT_HEADERS)))
+
+
+ROLES = ["d", "name", "value", "unit"]
+
+
+def blocks(df: DataFrame) -> DataFrame:
+    """(path, block, inside, open, d, name, value, unit): whether a block begins inside quotes, whether it ends inside, and the places of its file's columns."""
+
+    def batches(source):
+        at, n, held, found = None, 0, None, None
 
         def flush():
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
-            b = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["path", "block", "ord", "record", "part"])
-            for c in out:
-                c.clear()
-            return b
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), *[pa.int32()] * 3]
+            row = (*at, n, *(found or (_head("\n".join(held)) if held else (None,) * 4)))
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=[*BLOCK, "n", *ROLES])
 
         for batch in source:
-            for path, block, line, begins in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            quotes = _quotes(batch.column(2))
+            for path, block, a, b in _runs(batch):
+                if (path, block) != at:
+                    if at:
+                        yield flush()
+                    at, n, held, found = (path, block), 0, [], None
+                if block == 0 and not found:
+                    whole = np.flatnonzero((n + np.cumsum(quotes[a:b])) % 2 == 0)
+                    held += batch.column(2).slice(a, whole[0] + 1 if len(whole) else b - a).to_pylist()
+                    found = _head("\n".join(held)) if len(whole) else None
+                n += int(quotes[a:b].sum())
+        if at:
+            yield flush()
+
+    each = df.mapInArrow(batches, "path string, block long, n long, d string, name int, value int, unit int")
+    of, before = Window.partitionBy("path"), Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.coalesce(F.sum("n").over(before), F.lit(0))
+    return each.select(*BLOCK, (known % 2 == 1).alias("inside"), ((known + F.col("n")) % 2 == 1).alias("open"), *[F.max(c).over(of).alias(c) for c in ROLES])
+
+
+FOUND = "path string, ord long, raw_name string, raw_value string, raw_unit string, error string"
+
+
+class _Found:
+    """Rows of FOUND being gathered, and what ``more`` there is to a row."""
+
+    KINDS = [pa.string(), pa.int64(), *[pa.string()] * 4]
+
+    def __init__(self, more: dict[str, pa.DataType] | None = None):
+        self.kinds = self.KINDS + list((more or {}).values())
+        self.names = [x.split(" ")[0] for x in FOUND.split(", ")] + list(more or {})
+        self.out = [[] for _ in self.kinds]
+
+    def put(self, *row):
+        for c, x in zip(self.out, row):
+            c.append(x)
+
+    def read(self, path: str, at: int, record: str, closed: bool, roles: tuple, *more):
+        """Puts a record's row, or its error, if it has any."""
+        d, name, value, unit = roles
+        if name is None or value is None:
+            if at == 0:
+                self.put(path, at, "", "", "", "no test name column" if name is None else "no result column", *more)
+        elif not closed:
+            self.put(path, at, "", "", "", "a quoted field has no end", *more)
+        elif at:
+            row = _fields(record, d)
+            got = [row[i] if i is not None and i < len(row) else "" for i in (name, value, unit)]
+            if got[0] and got[1]:
+                self.put(path, at, *got, None, *more)
+
+    def flush(self) -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(self.out, self.kinds)], names=self.names)
+        self.out = [[] for _ in self.kinds]
+        return batch
+
+
+def _records(df: DataFrame) -> DataFrame:
+    """Rows of FOUND, with part, record and roles, of (path, block, line, inside, roles): read records, whose part is null, and the parts of cut ones.
+
+    Part 0 begins before its block and part 1 goes on behind it; 0 may do both.
+    """
+    kinds = dict(zip(["part", "record", *ROLES], [pa.int32(), pa.string(), pa.string(), *[pa.int32()] * 3]))
+
+    def batches(source):
+        at, n, held, inside, first, roles = None, 0, [], False, False, ()
+        found = _Found(kinds)
+        cut = lambda part: found.put(at[0], at[1] + n - len(held), *[None] * 4, part, "\n".join(held), *roles)
+        for batch in source:
+            quotes = _quotes(batch.column(2))
+            for path, block, a, b in _runs(batch):
                 if (path, block) != at:
                     if held:
-                        put(0 if first and at[1] else 1)
-                    at, n, inside, first = (path, block), 0, begins, begins
-                held.append(line)
-                n += 1
-                if line.count('"') % 2:
-                    inside = not inside
-                if not inside:
-                    put(0 if first else None)
-                    first = False
-            if len(out[0]) >= 1000:
-                yield flush()
+                        cut(0 if first else 1)
+                    at, n, held, inside = (path, block), 0, [], batch.column(3)[a].as_py()
+                    first, roles = inside, tuple(batch.column(i)[a].as_py() for i in range(4, 8))
+                lines = batch.column(2).slice(a, b - a)
+                after = (np.cumsum(quotes[a:b]) + inside) % 2
+                ends = np.flatnonzero(after == 0) + 1
+                inside = bool(after[-1])
+                if len(ends):
+                    starts = [0, *ends[:-1].tolist()]
+                    texts = lines if len(ends) == len(lines) else pc.binary_join(pa.ListArray.from_arrays(pa.array([0, *ends.tolist()], pa.int32()), lines.slice(0, ends[-1])), "\n")
+                    for i, (start, text) in enumerate(zip(starts, texts.to_pylist())):
+                        if i == 0 and (held or first):
+                            held.append(text)
+                            if first:  # its lines before these are counted, not these
+                                found.put(path, block + n + 1 - len(held), *[None] * 4, 0, "\n".join(held), *roles)
+                            else:
+                                found.read(path, block + n + 1 - len(held), "\n".join(held), True, roles, *[None] * 6)
+                            held, first = [], False
+                        else:
+                            found.read(path, block + n + start, text, True, roles, *[None] * 6)
+                rest = lines.slice(ends[-1] if len(ends) else 0).to_pylist()
+                held += rest
+                n += b - a
+            if len(found.out[0]) >= 1000:
+                yield found.flush()
         if held:
-            put(0 if first else 1)
-        yield flush()
+            cut(0 if first else 1)
+        yield found.flush()
 
-    found = both.select(*BLOCK, "line", "inside").mapInArrow(batches, "path string, block long, ord long, record string, part int")
+    return df.select(*BLOCK, "line", "inside", *ROLES).mapInArrow(batches, FOUND + ", part int, record string, d string, name int, value int, unit int")
+
+
+def _joined(found: DataFrame) -> DataFrame:
+    """Rows of FOUND of the records that blocks cut."""
     # a part 1 opens a record that the parts 0 behind it go on with, one a block, until the next part 1
     order = Window.partitionBy("path").orderBy("ord", "part")
     cut = found.filter("part is not null").withColumn("of", F.max(F.when(F.col("part") == 1, F.col("ord"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = cut.groupBy("path", F.col("of").alias("ord")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "record"))), lambda x: x["record"]), "\n").alias("record"))
-    rows = found.filter("part is null").select("path", "ord", "record").unionByName(joined)
-    quotes = F.length("record") - F.length(F.replace("record", F.lit('"'), F.lit("")))
-    return rows.select("path", "ord", "record", (quotes % 2 == 0).alias("closed"))
-
-
-def heads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, head, d): the first record of each file and its delimiter. Of the files' first blocks only the first record is put together."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "record"))), lambda x: x["record"]), "\n")
+    joined = cut.groupBy("path", F.col("of").alias("ord")).agg(text.alias("record"), *[F.max(c).alias(c) for c in ROLES])
 
     def batches(source):
-        held, whole = {}, {}
         for batch in source:
-            for path, line in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if not whole.get(path, False):
-                    held.setdefault(path, []).append(line)
-                    whole[path] = (line.count('"') % 2 == 0) == (path not in whole)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(["\n".join(x) for x in held.values()], pa.string())], names=["path", "head"])
+            found = _Found()
+            for path, at, record, *roles in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                found.read(path, at, record, record.count('"') % 2 == 0, tuple(roles))
+            yield found.flush()
 
-    first = lines(spark, paths).filter("block = 0").mapInArrow(batches, "path string, head string")
-    bare = F.regexp_replace("head", "^\ufeff", "")
-    return first.select("path", bare.alias("head"), delimiter(F.get(F.split(bare, "\r?\n"), 0)).alias("d"))
+    return joined.select("path", "ord", "record", *ROLES).mapInArrow(batches, FOUND)
 
 
 def rows(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """((path, ord, raw_name, raw_value, raw_unit) of all readable records, (path, ord, error) of what can't be read).
+    """((path, ord, raw_name, raw_value, raw_unit) of all readable records, (path, ord, error) of what can't be read); ``ord`` rises with the place in the file.
 
-    A file without a name or a value column has no rows and one error; so has a record whose quotes aren't closed. Records without a name
-    or value are left out, as they are in texts.
+    A file without a name or a value column has no rows and one error; so has a record whose quotes aren't closed, which only a file's last
+    record may be. Records without a name or value are left out, as they are in texts.
     """
-    both = records(spark, paths).join(F.broadcast(heads(spark, paths)) if len(spark.read.text(paths).inputFiles()) <= BROADCAST_BLOCKS else heads(spark, paths), "path")
-
-    def batches(source):
-        for batch in source:
-            out, roles = [[] for _ in range(6)], {}
-            for path, at, record, closed, head, d in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                fields = lambda text: [x.strip() for x in next(csv.reader(io.StringIO(text, newline=""), delimiter=d), [])]
-                if path not in roles:
-                    names = fields(head)
-                    roles[path] = [role(names, k) for k in (V.NAME_HEADERS, V.VALUE_HEADERS, V.UNIT_HEADERS)]
-                name, value, unit = roles[path]
-                got, error = ["", "", ""], None
-                if name is None or value is None:
-                    error = ("no test name column" if name is None else "no result column") if at == 0 else None
-                elif not closed:
-                    error = "a quoted field has no end"
-                elif at:
-                    row = fields(record)
-                    got = [row[i] if i is not None and i < len(row) else "" for i in (name, value, unit)]
-                if error or (got[0] and got[1]):
-                    for c, x in zip(out, (path, at, *got, error)):
-                        c.append(x)
-            kinds = [pa.string(), pa.int64(), *[pa.string()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["path", "ord", "raw_name", "raw_value", "raw_unit", "error"])
-
-    found = both.select("path", "ord", "record", "closed", "head", "d").mapInArrow(batches, "path string, ord long, raw_name string, raw_value string, raw_unit string, error string")
+    df = lines(spark, paths)
+    of = blocks(df)
+    few = of.limit(BROADCAST_BLOCKS + 1).collect()
+    cut = F.col("inside") | F.col("open")
+    if len(few) <= BROADCAST_BLOCKS:
+        of = spark.createDataFrame(few, of.schema)
+        given = lambda of: df.join(F.broadcast(of), BLOCK)
+    else:
+        given = lambda of: df.withColumn("seq", F.monotonically_increasing_id()).join(of, BLOCK).repartition(*BLOCK).sortWithinPartitions(*BLOCK, "seq")
+    names = [x.split(" ")[0] for x in FOUND.split(", ")]
+    found = _records(given(of)).filter("part is null").select(names)
+    if len(few) > BROADCAST_BLOCKS or any(r.inside or r.open for r in few):
+        found = found.unionByName(_joined(_records(given(of.filter(cut)))))
     return found.filter("error is null").drop("error"), found.filter("error is not null").select("path", "ord", "error")
